@@ -136,6 +136,48 @@ def words_of(data: np.ndarray, at: np.ndarray, breaks: np.ndarray = SPACES) -> t
     return begin, end, np.searchsorted(at, begin, "right") - 1
 
 
+class HashTable:
+    """Open addressing from distinct non-zero 64-bit hashes to small numbers over 0."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(hashes)).bit_length())
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.values = np.zeros(1 << bits, values.dtype)
+        waiting, slot = np.arange(len(hashes)), hashes & self.mask
+        while len(waiting):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            at, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            self.keys[at], self.values[at] = hashes[waiting[placed]], values[waiting[placed]]
+            rest = np.ones(len(waiting), bool)
+            rest[placed] = False
+            waiting, slot = waiting[rest], (slot[rest] + np.uint64(1)) & self.mask
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The value of each hash, 0 where it isn't in the table."""
+        slot = hashes & self.mask
+        found = self.keys[slot]
+        out = np.where(found == hashes, self.values[slot], self.values.dtype.type(0))
+        going = np.flatnonzero((found != hashes) & (found != 0))
+        while len(going):
+            slot[going] = (slot[going] + np.uint64(1)) & self.mask
+            found = self.keys[slot[going]]
+            hit = found == hashes[going]
+            out[going[hit]] = self.values[slot[going[hit]]]
+            going = going[~hit & (found != 0)]
+        return out
+
+
+def sample_ids(df: DataFrame, key: str, n: int) -> list:
+    """At most n distinct keys, the least by hash: the bounded sample that models are fitted on."""
+    return [r[0] for r in df.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(n).collect()]
+
+
+def schema_of(df: DataFrame, more: str, without: tuple[str, ...] = ()) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without), more])
+
+
 def batched(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]):
     """A mapInArrow function from a function of one batch."""
 

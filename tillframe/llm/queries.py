@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe_encode_decode
+from .language import op3_language_id
+from .token_counts import op9_token_counts
+from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op6_bpe_encode_decode,)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op6_bpe_encode_decode, op7_toxicity, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
