@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_STATES = 150_000
-MAX_CACHED = 200_000
+MAX_STATES = 100_000
+MAX_CACHED = 120_000
 LONG_PIECE = 64
 
 #: The characters that \s stands for in the pattern.
@@ -124,7 +124,7 @@ class Transducer:
                 x_used, x = x, self.halves(x)[1]
             else:
                 y_used, y = y, self.halves(y)[0]
-        if len(self.pairs) > 500_000:
+        if len(self.pairs) > 150_000:
             self.pairs.clear()
         self.pairs[a << 20 | b] = known
         return known
@@ -292,6 +292,9 @@ class Decoder:
             yield machine.feed(self.decode(ids))
         yield machine.close()
 
+    def text(self, ids: np.ndarray, feed: int) -> str:
+        return "".join(self.stream(ids[x : x + feed] for x in range(0, len(ids), feed)))
+
 
 _made: dict = {}
 
@@ -305,6 +308,16 @@ def _here(kind, shared, *more):
     return _made[key]
 
 
+def _ids(encoder: Encoder, whole: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    return [encoder.encode(whole[b:e].tobytes().decode("utf-8", "replace")) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with a column `out` (array<int>) of the tokens of each whole text.
 
@@ -317,16 +330,11 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
     def work(batch: pa.RecordBatch):
         encoder = _here(Encoder, shared, pattern)
-        column = batch.column(batch.schema.get_field_index(text))
-        whole, at = common.texts_of(column)
-        for i, j in common.chunks(at, 4 * common.CHUNK_BYTES):
-            ids = [encoder.encode(whole[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace")) for k in range(i, j)]
-            ends = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) for x in ids], out=ends[1:])
-            array = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, array], names=[*batch.schema.names, out])
+        whole, at = common.texts_of(batch.column(batch.schema.get_field_index(text)))
+        for i, j in common.chunks(at):
+            yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, _lists(_ids(encoder, whole, at[i : j + 1]))], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(common.batched(work), _with(df, f"{_q(out)} array<int>"))
+    return df.mapInArrow(common.batched(work), common.schema_of(df, f"`{out}` array<int>"))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded", feed: int = 4096) -> DataFrame:
@@ -341,22 +349,29 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
         decoder = _here(Decoder, shared)
         column = batch.column(batch.schema.get_field_index(ids))
         ends, values = np.asarray(column.offsets), np.asarray(column.values)
-        size = np.diff(ends)
-        marks = np.concatenate([[0], np.cumsum(size)])
-        for i, j in common.chunks(marks, common.CHUNK_BYTES):
-            texts = ["".join(decoder.stream(values[x : min(x + feed, e)] for x in range(b, e, feed))) for b, e in zip(ends[i:j].tolist(), ends[i + 1 : j + 1].tolist(), strict=True)]
+        for i, j in common.chunks(ends.astype(np.int64)):
+            texts = [decoder.text(values[b:e], feed) for b, e in zip(ends[i:j].tolist(), ends[i + 1 : j + 1].tolist(), strict=True)]
             array = pa.array(texts, pa.string(), mask=np.asarray(column.slice(i, j - i).is_null()))
             yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, array], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(common.batched(work), _with(df, f"{_q(out)} string"))
+    return df.mapInArrow(common.batched(work), common.schema_of(df, f"`{out}` string"))
 
 
-def _q(name: str) -> str:
-    return f"`{name}`"
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", feed: int = 4096) -> DataFrame:
+    """df without its text, with what encode() and then decode() add, in one pass of one worker."""
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    df = df.drop(ids, out)
+    kept = [f.name for f in df.schema.fields if f.name != text]
 
+    def work(batch: pa.RecordBatch):
+        encoder, decoder = _here(Encoder, shared, pattern), _here(Decoder, shared)
+        whole, at = common.texts_of(batch.column(batch.schema.get_field_index(text)))
+        for i, j in common.chunks(at):
+            found = _ids(encoder, whole, at[i : j + 1])
+            texts = pa.array([decoder.text(x, feed) for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept), _lists(found), texts], names=[*kept, ids, out])
 
-def _with(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"{_q(f.name)} {f.dataType.simpleString()}" for f in df.schema.fields), more])
+    return df.mapInArrow(common.batched(work), common.schema_of(df, f"`{ids}` array<int>, `{out}` string", (text,)))
 
 
 def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:
@@ -369,7 +384,7 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the tokens of every document and of what they decode to."""
     ranks, pattern = vocabulary()
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode(encode(docs, ranks, pattern).drop("text"), ranks)
+    back = round_trip(docs, ranks, pattern)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
