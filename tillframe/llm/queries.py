@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe_encode_decode
+from .decontamination import OP4_SQL, op4_decontamination
 from .language import op3_language_id
 from .token_counts import op9_token_counts
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_bpe_encode_decode, op7_toxicity, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_language_id, op4_decontamination, op6_bpe_encode_decode, op7_toxicity, op9_token_counts)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL}
