@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .bpe import op6_bpe_encode_decode
 from .decontamination import OP4_SQL, op4_decontamination
+from .embedding_join import OP1_SQL, op1_embedding_join
 from .language import op3_language_id
 from .ngram_join import op10_ngram_jaccard_join
 from .token_counts import op9_token_counts
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op4_decontamination, op6_bpe_encode_decode, op7_toxicity, op9_token_counts, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_embedding_join, op3_language_id, op4_decontamination, op6_bpe_encode_decode, op7_toxicity, op9_token_counts, op10_ngram_jaccard_join)}
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_join": OP1_SQL, "op4_decontamination": OP4_SQL}
