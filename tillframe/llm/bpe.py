@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import struct
+import sys
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_STATES = 100_000
-MAX_CACHED = 120_000
+MAX_STATES = 250_000
+MAX_CACHED = 250_000
 LONG_PIECE = 64
 
 #: The characters that \s stands for in the pattern.
@@ -124,7 +125,7 @@ class Transducer:
                 x_used, x = x, self.halves(x)[1]
             else:
                 y_used, y = y, self.halves(y)[0]
-        if len(self.pairs) > 150_000:
+        if len(self.pairs) > 300_000:
             self.pairs.clear()
         self.pairs[a << 20 | b] = known
         return known
@@ -203,17 +204,25 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def match(self, text: str, alone: bool) -> bytes:
+        """The tokens of one match of the pattern, as int32 bytes."""
+        word = text.encode()
+        rank = self.whole.get(word)
+        if rank is not None:
+            return rank.to_bytes(4, sys.byteorder)
+        shared = not alone and text[0] == " " and len(text) <= LONG_PIECE
+        if shared and (known := self.cache.get(text[1:]) or self.older.get(text[1:])):
+            return known
+        out = self.transducer.encode(word)
+        known = struct.pack(f"={len(out)}i", *out)
+        if shared:
+            self.cache[text[1:]] = known
+        return known
+
     def piece(self, text: str) -> bytes:
-        """The tokens of a piece, as int32 bytes."""
-        out: list[int] = []
-        for match in self.matches(text):
-            word = match.encode()
-            rank = self.whole.get(word)
-            if rank is None:
-                out += self.transducer.encode(word)
-            else:
-                out.append(rank)
-        return struct.pack(f"={len(out)}i", *out)
+        """The tokens of a piece, as int32 bytes; a word inside a longer piece is cached too."""
+        found = self.matches(text)
+        return self.match(found[0], True) if len(found) == 1 else b"".join([self.match(m, False) for m in found])
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
