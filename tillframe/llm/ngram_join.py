@@ -6,7 +6,8 @@ n-gram among the first quarter of each, so:
 
 1. a pass counts heavy n-grams; the list is bounded, and serves the order alone;
 2. a pass sends the leading n-grams to buckets, packed into one blob for each batch and
-   bucket; each bucket chains the sets that meet at an n-gram, sizes permitting;
+   bucket; a bucket counts the pairs that meet at an n-gram, or chains the sets where many
+   meet, and pairs that share too few leading n-grams to be similar are left;
 3. connected sets are a family; families are found by distributed components;
 4. each family's whole sets go into a trie in the global order. A set is probed against
    the smaller ones before it: the descent shares the overlap of common beginnings,
@@ -30,7 +31,10 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: Found so often in one batch, and in all, an n-gram is heavy; so many are known at most.
 #: The order they are put in changes the cost, never the result.
-HEAVY_IN_CHUNK, HEAVY, MAX_HEAVY = 4, 24, 200_000
+HEAVY_IN_CHUNK, HEAVY, MAX_HEAVY = 3, 16, 200_000
+#: Sets that meet at an n-gram are paired up to so many, and chained beyond.
+CROWD = 16
+SURE = 1 << 40
 TILE = 3000
 
 _STEP = np.random.default_rng(77).integers(1, 2**63, WORDS + 1, dtype=np.uint64) | np.uint64(1)
@@ -99,14 +103,29 @@ def _chunked(batch: pa.RecordBatch, column: int):
         yield i, j, of, h, *sizes_and_prints(of, h, j - i)
 
 
-def sets_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n, fp): size and fingerprint of the n-gram set of every row."""
+def _leads(size: np.ndarray) -> np.ndarray:
+    """How many n-grams lead a set of this size: two similar sets share one among these."""
+    return size - (size * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1
+
+
+def sets_of(docs: DataFrame, key: str, text: str, heavy: np.ndarray) -> DataFrame:
+    """(id, n, fp, light, last) of every row: its set's size and fingerprint, how many of the
+    leading n-grams are not heavy, and the last of these (its order, as a signed number).
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def work(batch: pa.RecordBatch):
-        for i, j, _, _, size, fp in _chunked(batch, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(fp)], names=["id", "n", "fp"])
+        for i, j, of, h, size, fp in _chunked(batch, 1):
+            of, h, late = _ordered(of, h, shared.value)
+            first = np.cumsum(size) - size
+            lead = (np.arange(len(h)) - first[of] < _leads(size)[of]) & ~late
+            light = np.bincount(of, lead, j - i).astype(np.int32)
+            last = np.zeros(j - i, np.int64)
+            some = light > 0
+            last[some] = (h[first[some] + light[some] - 1] ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size), pa.array(fp), pa.array(light), pa.array(last)], names=["id", "n", "fp", "light", "last"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(common.batched(work), "id long, n long, fp long")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(common.batched(work), "id long, n long, fp long, light int, last long")
 
 
 def heavy_ngrams(docs: DataFrame, text: str) -> np.ndarray:
@@ -128,8 +147,13 @@ def heavy_ngrams(docs: DataFrame, text: str) -> np.ndarray:
     return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def candidate_links(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
-    """(a, b) fingerprints: chains whose connected sets include every pair that is similar."""
+def candidate_links(docs: DataFrame, text: str, heavy: np.ndarray, nodes: DataFrame) -> DataFrame:
+    """(a, b) fingerprints that connect every pair of similar sets; nodes: fp, n, light, last.
+
+    Where few sets meet at an n-gram they are counted pair by pair, and a pair stays if what
+    its leading n-grams share and what may follow them can make it similar. Where many
+    meet, or at a heavy n-gram, they are chained by size.
+    """
     spark = docs.sparkSession
     n_buckets = common.shuffle_partitions(spark)
     shared = spark.sparkContext.broadcast(heavy)
@@ -139,12 +163,11 @@ def candidate_links(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
         for _, _, of, h, size, fp in _chunked(batch, 0):
             of, h, _ = _ordered(of, h, shared.value)
             first = np.cumsum(size) - size
-            leads = size - (size * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR + 1
-            keep = np.arange(len(h)) - first[of] < leads[of]
+            keep = np.arange(len(h)) - first[of] < _leads(size)[of]
             parts.append((h[keep], fp[of[keep]], size[of[keep]].astype(np.int32)))
         h, fp, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         bucket = (h % np.uint64(n_buckets)).astype(np.int32)
-        order = np.lexsort((n, fp, h, bucket))
+        order = np.lexsort((fp, h, bucket))
         same = np.zeros(len(h), bool)
         same[1:] = (h[order][1:] == h[order][:-1]) & (fp[order][1:] == fp[order][:-1])
         order = order[~same]
@@ -154,20 +177,44 @@ def candidate_links(docs: DataFrame, text: str, heavy: np.ndarray) -> DataFrame:
         blobs = [[x[b:e].tobytes() for b, e in zip(first.tolist(), ends, strict=True)] for x in (h, fp, n)]
         return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "h", "fp", "n"])
 
-    def chain(table: pa.Table) -> pa.Table:
+    def meet(table: pa.Table) -> pa.Table:
+        heavy = shared.value
         h, fp, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("h", np.uint64), ("fp", np.int64), ("n", np.int32)))
         order = np.lexsort((fp, n, h))
-        h, fp, n = h[order], fp[order], n[order]
-        near = (h[1:] == h[:-1]) & (fp[1:] != fp[:-1]) & (n[:-1].astype(np.int64) * DENOMINATOR >= n[1:].astype(np.int64) * NUMERATOR)
-        a, b = np.minimum(fp[1:], fp[:-1])[near], np.maximum(fp[1:], fp[:-1])[near]
+        h, fp, n = h[order], fp[order], n[order].astype(np.int64)
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])
+        h, fp, n = h[new], fp[new], n[new]
+        begin = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        many = np.diff(np.r_[begin, len(h)])
+        crowd = many > CROWD
+        if len(heavy):
+            at = np.minimum(np.searchsorted(heavy, h[begin]), len(heavy) - 1)
+            crowd |= heavy[at] == h[begin]
+        crowded = np.repeat(crowd, many)
+        near = n[:-1] * DENOMINATOR >= n[1:] * NUMERATOR
+        chained = np.flatnonzero((h[1:] == h[:-1]) & near & crowded[1:])
+        a, b, c = [fp[chained]], [fp[chained + 1]], [np.full(len(chained), SURE)]
+        for gap in range(1, CROWD):
+            x = np.flatnonzero((h[gap:] == h[:-gap]) & ~crowded[gap:] & (n[:-gap] * DENOMINATOR >= n[gap:] * NUMERATOR)) if len(h) > gap else chained[:0]
+            a.append(fp[x])
+            b.append(fp[x + gap])
+            c.append(np.ones(len(x), np.int64))
+        a, b, c = (np.concatenate(x) for x in (a, b, c))
+        a, b = np.minimum(a, b), np.maximum(a, b)
         order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.table({"a": a[new], "b": b[new]})
+        a, b, c = a[order], b[order], c[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+        return pa.table({"a": a[first], "b": b[first], "c": np.add.reduceat(c, first) if len(first) else c})
 
     sent = docs.select(text).mapInArrow(common.batched(send), "bucket int, h binary, fp binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(chain, "a long, b long")
+    met = sent.groupBy("bucket").applyInArrow(meet, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    x, y = (nodes.select(*(F.col(c).alias(c + k) for c in ("fp", "n", "light", "last"))) for k in "xy")
+    pairs = met.join(x, met.a == x.fpx).join(y, met.b == y.fpy)
+    rest_x, rest_y = F.col("nx") - F.col("lightx"), F.col("ny") - F.col("lighty")
+    rest = F.when(F.col("lastx") < F.col("lasty"), rest_x).when(F.col("lastx") > F.col("lasty"), rest_y).otherwise(F.least(rest_x, rest_y))
+    enough = (NUMERATOR + DENOMINATOR) * (F.col("c") + rest) >= NUMERATOR * (F.col("nx") + F.col("ny"))
+    return pairs.where((F.col("c") >= SURE) | enough).select("a", "b")
 
 
 class Trie:
@@ -249,12 +296,10 @@ def link_family(ids: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> t
     with each other, and within themselves only if all are of one side.
     """
     flat = np.concatenate(sets)
-    late, tokens = flat & np.uint64(1), flat
-    distinct, rank = np.unique(tokens, return_inverse=True)
+    distinct, rank = np.unique(flat, return_inverse=True)
     order = np.lexsort((distinct, distinct & np.uint64(1)))
     place = np.empty(len(distinct), np.int64)
     place[order] = np.arange(len(distinct))
-    del late
     ranks = place[rank]
     ends = np.cumsum([len(s) for s in sets])
     parts = [np.sort(ranks[e - len(s) : e]) for s, e in zip(sets, ends.tolist(), strict=True)]
@@ -282,10 +327,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """
     docs = docs.where(F.col(key).isNotNull()).select(key, text)
     spark = docs.sparkSession
-    rows = common.written(sets_of(docs, key, text), "sets")
     heavy = heavy_ngrams(docs, text)
-    families = common.components(candidate_links(docs, text, heavy), "a", "b", "families")
-    nodes = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"))
+    rows = common.written(sets_of(docs, key, text, heavy), "sets")
+    nodes = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "light", "last")))
+    families = common.components(candidate_links(docs, text, heavy, nodes), "a", "b", "families")
+    nodes = nodes.select("fp", "rep")
     families = common.written(families.select(F.col("node").alias("fp"), F.col("component_id").alias("family")).join(nodes, "fp"), "members")
     large = families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > TILE)
     large = large.select("family", F.ceil(F.col("size") / (TILE / 2)).cast("int").alias("blocks"))
@@ -327,7 +373,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     links = members.groupBy("part").applyInArrow(link, "a long, b long")
     linked = common.components(links, "a", "b", "linked").select(F.col("node").alias("rep"), "component_id")
     labels = nodes.join(linked, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("class_id"))
-    found = rows.join(labels, "fp", "left")
+    found = rows.select("id", "n", "fp").join(labels, "fp", "left")
     return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("component_id"))
 
 
