@@ -1,6 +1,647 @@
-"""The registered core queries and their SQL."""
+"""The registered core queries: what each asks, as DataFrame code, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import columns as fn
+from ..operators import aggregates as ag
+from ..operators import quality as dq
+from ..operators import relational as rel
+from ..operators import segments as sg
+from ..operators import timeseries as ts
+from ..sources.files import table
+from ..streaming import live
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _star(s: SparkSession, d: str) -> DataFrame:
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    orders = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return rel.star(lines, orders, table(s, d, "customer"), table(s, d, "nation"), table(s, d, "region"))
+
+
+def _r(c, n: int = 2):
+    return F.round(c, n)
+
+
+_STAR = "lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
+_MONTHS = "select cast(date_trunc('month', o_orderdate) as date) m, sum(o_totalprice) v from orders group by 1"
+
+# ------------------------------------------------------------- KPIs, joins, groups
+
+
+@query(f"select r_name, cast(date_trunc('month', o_orderdate) as date) as period, round(sum(l_extendedprice * (1 - l_discount)), 4) revenue from {_STAR} group by 1, 2")
+def revenue_by_region_month(s, d):
+    """Net revenue of each region by month."""
+    return _star(s, d).groupBy("r_name", ts.period("o_orderdate", "month").alias("period")).agg(_r(F.sum(rel.net()), 4).alias("revenue"))
+
+
+@query("select round(sum(l_extendedprice * (1 - l_discount)), 4) net, round(sum(l_extendedprice), 2) gross, round(sum(l_extendedprice * l_discount), 4) discount_cost, round(sum(l_extendedprice * (1 - l_discount)) / sum(l_extendedprice), 6) net_ratio from lineitem")
+def kpi_revenue(s, d):
+    """Net and gross revenue and what discounts cost (A14; driver tables have no cost for A15)."""
+    return table(s, d, "lineitem").agg(_r(F.sum(rel.net()), 4).alias("net"), _r(F.sum("l_extendedprice")).alias("gross"), _r(F.sum(F.col("l_extendedprice") * F.col("l_discount")), 4).alias("discount_cost"), _r(fn.safe_ratio(F.sum(rel.net()), F.sum("l_extendedprice")), 6).alias("net_ratio"))
+
+
+@query("with y as (select year(o_orderdate) y, sum(o_totalprice) r from orders group by 1) select cast(y as bigint) as year, round(r, 2) revenue, round((r - lag(r) over (order by y)) / lag(r) over (order by y), 6) growth from y")
+def kpi_yoy(s, d):
+    """Yearly revenue and its growth."""
+    years = table(s, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.sum("o_totalprice").alias("r"))
+    return ts.period_delta(years, "year", "r").select("year", _r("r").alias("revenue"), _r("growth", 6).alias("growth"))
+
+
+@query(f"with m as ({_MONTHS}) select a.m as month, round(a.v, 2) revenue, round((a.v - b.v) / b.v, 6) yoy from m a left join m b on b.m = cast(a.m - interval 12 month as date)")
+def kpi_yoy_monthly(s, d):
+    """Growth on the same month of the year before."""
+    months = table(s, d, "orders").groupBy(ts.period("o_orderdate", "month").alias("month")).agg(F.sum("o_totalprice").alias("v"))
+    return ts.yoy_monthly(months, "month", "v").select("month", _r("v").alias("revenue"), _r("yoy", 6).alias("yoy"))
+
+
+@query("""with c as (select o_custkey, sum(l_extendedprice * (1 - l_discount)) r, count(distinct o_orderkey) o, sum(l_quantity) u from lineitem join orders on l_orderkey = o_orderkey group by 1)
+select round(sum(r), 2) revenue, cast(sum(o) as bigint) orders, round(sum(u), 2) units, round(sum(r) / sum(o), 4) aov, count(*) active_customers, round(sum(case when o > 1 then 1 else 0 end) / count(*), 6) repeat_rate from c""")
+def exec_kpis(s, d):
+    """The executive figures: revenue, orders, units, average order, customers, repeat rate."""
+    lines = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("r", rel.net())
+    k = ag.exec_kpis(lines, "o_orderkey", "o_custkey", "r", "l_quantity")
+    return k.select(_r("revenue").alias("revenue"), "orders", _r("units").alias("units"), _r("aov", 4).alias("aov"), "active_customers", _r("repeat_rate", 6).alias("repeat_rate"))
+
+
+@query("select p_type, round(sum(case when l_returnflag = 'R' then 1 else 0 end) / count(*), 6) return_rate from lineitem join part on l_partkey = p_partkey group by 1")
+def return_rate_by_category(s, d):
+    """Which categories come back."""
+    return table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_type").agg(_r(ag.rate(F.col("l_returnflag") == "R"), 6).alias("return_rate"))
+
+
+@query("select n_name, count(*) customers, round(avg(c_acctbal), 4) balance from customer left join nation on c_nationkey = n_nationkey group by 1")
+def merge_left(s, d):
+    """Customers by nation, those without one kept."""
+    out = rel.merge(table(s, d, "customer").withColumnRenamed("c_nationkey", "k"), table(s, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name"), "k", "left")
+    return out.groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"), _r(F.avg("c_acctbal"), 4).alias("balance"))
+
+
+@query("select coalesce(n_nationkey, c_nationkey, s_nationkey) as k, count(c_custkey) customers, count(s_suppkey) suppliers from nation full join (select * from customer where c_acctbal > 9000) on c_nationkey = n_nationkey full join (select * from supplier where s_acctbal > 9000) on s_nationkey = coalesce(n_nationkey, c_nationkey) group by 1")
+def merge_full(s, d):
+    """Rich customers and suppliers by nation, in full joins whose null keys match."""
+    n = table(s, d, "nation").select(F.col("n_nationkey").alias("k"))
+    c = table(s, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"), "c_custkey")
+    p = table(s, d, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("k"), "s_suppkey")
+    return rel.merge(rel.merge(n, c, "k", "full", True), p, "k", "full", True).groupBy("k").agg(F.count("c_custkey").alias("customers"), F.count("s_suppkey").alias("suppliers"))
+
+
+@query("select o_orderkey from orders where not exists (select 1 from lineitem where l_orderkey = o_orderkey)")
+def orders_without_lines(s, d):
+    """Orders that hold nothing."""
+    return rel.without_match(table(s, d, "orders"), table(s, d, "lineitem"), "o_orderkey", "l_orderkey").select("o_orderkey")
+
+
+@query("select 'orders' as child, count(*) n from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'part', count(*) from lineitem where l_partkey not in (select p_partkey from part) union all select 'customer', count(*) from orders where o_custkey not in (select c_custkey from customer)")
+def fk_violations(s, d):
+    """Keys that lead nowhere."""
+    line, orders = table(s, d, "lineitem"), table(s, d, "orders")
+    n = lambda name, x: x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("child"), "n")
+    return rel.append_all(n("orders", rel.fk_violations(line, orders, "l_orderkey", "o_orderkey")), n("part", rel.fk_violations(line, table(s, d, "part"), "l_partkey", "p_partkey")), n("customer", rel.fk_violations(orders, table(s, d, "customer"), "o_custkey", "c_custkey")))
+
+
+@query("select c_mktsegment, count(*) customers from customer where c_custkey in (select o_custkey from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R') group by 1")
+def returning_customers(s, d):
+    """Customers who sent something back, by segment."""
+    back = table(s, d, "orders").join(table(s, d, "lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("c_custkey"))
+    return rel.with_match(table(s, d, "customer"), back, "c_custkey").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("select case when l_discount < 0.03 then 'low' when l_discount < 0.07 then 'middle' else 'high' end as band, count(*) as lines, round(sum(l_extendedprice * (1 - l_discount)), 4) revenue from lineitem group by 1")
+def discount_bands(s, d):
+    """Revenue by band of discount, by a range join."""
+    bands = s.createDataFrame([("low", -1.0, 0.03), ("middle", 0.03, 0.07), ("high", 0.07, 2.0)], "band string, low double, high double")
+    return rel.band(table(s, d, "lineitem"), "l_discount", bands).groupBy("band").agg(F.count(F.lit(1)).alias("lines"), _r(F.sum(rel.net()), 4).alias("revenue"))
+
+
+@query("select e.event_id, p.event_id as purchase_id from events e asof left join (select event_id, user_id, ts from events where event_type = 'purchase') p on e.user_id = p.user_id and e.ts >= p.ts where e.event_type = 'error'")
+def asof_last_purchase(s, d):
+    """For each error the user's last purchase before it."""
+    e = table(s, d, "events")
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"))
+    return rel.nearest_before(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "ts", ["purchase_id"]).select("event_id", "purchase_id")
+
+
+@query(f"select r_name, c_mktsegment, cast(grouping(r_name) as bigint) g_region, cast(grouping(c_mktsegment) as bigint) g_segment, count(*) orders from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by cube (r_name, c_mktsegment)")
+def cube_region_segment(s, d):
+    """Orders by region and segment with all totals."""
+    places = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    base = table(s, d, "orders").join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    return base.cube("r_name", "c_mktsegment").agg(F.grouping("r_name").cast("long").alias("g_region"), F.grouping("c_mktsegment").cast("long").alias("g_segment"), F.count(F.lit(1)).alias("orders"))
+
+
+@query(f"select r_name, n_name, cast(grouping(r_name) * 2 + grouping(n_name) as bigint) as level, round(sum(l_extendedprice * (1 - l_discount)), 4) revenue from {_STAR} group by rollup (r_name, n_name)")
+def rollup_region_nation(s, d):
+    """Revenue by region and nation with subtotals."""
+    return ag.multi_group(_star(s, d), ["r_name", "n_name"], {"revenue": _r(F.sum(rel.net()), 4)}, subtotals=True)
+
+
+@query(f"select r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) revenue from {_STAR} where r_name = 'ASIA' group by 1, 2")
+def drill_down_asia(s, d):
+    """One step of a drill-down: the nations of a region (C14)."""
+    return ag.drill(_star(s, d), ["r_name", "n_name"], {"revenue": _r(F.sum(rel.net()), 4)}, 1, {"r_name": "ASIA"})
+
+
+@query("select o_orderkey, round(o_totalprice / sum(o_totalprice) over (partition by o_custkey), 6) as share from orders")
+def transform_share(s, d):
+    """Each order's share of its customer's spending (A2)."""
+    return ag.group_transform(table(s, d, "orders"), ["o_custkey"], "t", F.sum("o_totalprice")).select("o_orderkey", _r(F.col("o_totalprice") / F.col("t"), 6).alias("share"))
+
+
+@query("select p_brand, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) wmean from lineitem join part on l_partkey = p_partkey group by 1")
+def custom_weighted_mean(s, d):
+    """Mean price weighted by quantity, by brand (A4)."""
+    return table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(_r(ag.weighted_mean(F.col("l_extendedprice"), F.col("l_quantity")), 4).alias("wmean"))
+
+
+@query("select event_type, round(sum(value * (event_id % 7 + 1)) / sum(event_id % 7 + 1), 6) wmean from events group by 1")
+def udaf_weighted_mean(s, d):
+    """The same as a grouped pandas UDF."""
+    e = table(s, d, "events").withColumn("w", (F.col("event_id") % 7 + 1).cast("double"))
+    return e.groupBy("event_type").agg(_r(ag.weighted_mean_udf("value", "w"), 6).alias("wmean"))
+
+
+@query("select event_type, round(max(value) - min(value), 6) as spread from events group by 1")
+def group_apply_spread(s, d):
+    """A pandas function of each group."""
+    def spread(p):
+        return p.groupby("event_type", as_index=False)["value"].agg(lambda v: round(float(v.max() - v.min()), 6)).rename(columns={"value": "spread"})
+
+    return ag.group_apply(table(s, d, "events").select("event_type", "value"), ["event_type"], spread, "event_type string, spread double")
+
+
+_FLAGS = ["A", "N", "R"]
+
+
+@query("select p_type, round(avg(case when l_returnflag = 'A' then l_quantity end), 6) as A, round(avg(case when l_returnflag = 'N' then l_quantity end), 6) as N, round(avg(case when l_returnflag = 'R' then l_quantity end), 6) as R from lineitem join part on l_partkey = p_partkey group by 1")
+def pivot_quantity(s, d):
+    """Mean quantity, category by return flag (A5)."""
+    j = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return ag.pivot(j, ["p_type"], "l_returnflag", _FLAGS, {"q": _r(F.avg("l_quantity"), 6)})
+
+
+@query("select case when grouping(o_orderstatus) = 1 then 'All' else o_orderstatus end as o_orderstatus, cast(sum(case when year(o_orderdate) = 1995 then 1 else 0 end) as bigint) as \"1995\", cast(sum(case when year(o_orderdate) = 1996 then 1 else 0 end) as bigint) as \"1996\", cast(sum(case when year(o_orderdate) in (1995, 1996) then 1 else 0 end) as bigint) as \"All\" from orders group by rollup (o_orderstatus)")
+def crosstab_status_year(s, d):
+    """Orders by status and year, with margins."""
+    o = table(s, d, "orders").withColumn("y", F.year("o_orderdate").cast("string"))
+    return ag.crosstab(o, "o_orderstatus", "y", ["1995", "1996"], margins=True)
+
+
+@query("select p_partkey, 'p_size' as measure, cast(p_size as double) as value from part union all select p_partkey, 'p_retailprice', p_retailprice from part")
+def melt_part(s, d):
+    """Product measures in long form."""
+    return ag.melt(table(s, d, "part").withColumn("p_size", F.col("p_size").cast("double")), ["p_partkey"], ["p_size", "p_retailprice"], "measure", "value")
+
+
+@query("select o_orderkey, l_partkey, l_quantity from orders left join lineitem on l_orderkey = o_orderkey")
+def explode_items(s, d):
+    """Orders' nested items as rows; empty orders keep one."""
+    lines = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_quantity")).alias("items"))
+    return ag.explode_items(table(s, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", "items"))
+
+
+@query("""with b as (select cast(unnest(range(min(date_trunc('day', o_orderdate)), max(o_orderdate) + interval 1 day, interval 1 day)) as date) period from orders)
+select b.period, round(coalesce(sum(o_totalprice), 0), 2) revenue, count(o_orderkey) orders from b left join orders on cast(o_orderdate as date) = b.period group by 1""")
+def resample_daily(s, d):
+    """Daily revenue, days without orders at zero."""
+    out = ts.resample(table(s, d, "orders"), "o_orderdate", "day", {"revenue": F.sum("o_totalprice"), "orders": F.count("o_orderkey")}, fill={"revenue": 0.0, "orders": 0})
+    return out.select("period", _r("revenue").alias("revenue"), "orders")
+
+
+@query("select cast(date_trunc('month', o_orderdate) + interval 1 month - interval 1 day as date) as month_end, round(sum(o_totalprice), 2) revenue from orders group by 1")
+def resample_month_end(s, d):
+    """Monthly revenue under the month's last day."""
+    return table(s, d, "orders").groupBy(ts.period("o_orderdate", "month", "end").alias("month_end")).agg(_r(F.sum("o_totalprice")).alias("revenue"))
+
+
+@query("""select 'l_quantity' as "column", count(*)::double n, round(avg(l_quantity), 6) mean, round(stddev_samp(l_quantity), 6) std_samp, round(stddev_pop(l_quantity), 6) std_pop, round(var_samp(l_quantity), 4) var_samp, min(l_quantity) as "min", round(quantile_cont(l_quantity, 0.25), 6) p25, round(median(l_quantity), 6) median, round(quantile_cont(l_quantity, 0.75), 6) p75, max(l_quantity) as "max",
+round((select avg(power(l_quantity - m, 3)) / power(avg(power(l_quantity - m, 2)), 1.5) from lineitem, (select avg(l_quantity) m from lineitem)), 4) skewness, round((select avg(power(l_quantity - m, 4)) / power(avg(power(l_quantity - m, 2)), 2) - 3 from lineitem, (select avg(l_quantity) m from lineitem)), 4) kurtosis from lineitem""")
+def describe_quantity(s, d):
+    """The statistics of a measure, sample and population apart."""
+    places = {"n": None, "min": None, "max": None, "var_samp": 4, "skewness": 4, "kurtosis": 4}
+    out = ag.describe_stats(table(s, d, "lineitem"), ["l_quantity"])
+    return out.select("column", *(F.col(c) if places.get(c, 6) is None else _r(c, places.get(c, 6)).alias(c) for c in out.columns[1:]))
+
+
+_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@query(" union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as corr from lineitem" for a in _COLS for b in _COLS))
+def correlation_matrix(s, d):
+    """How measures move together."""
+    return ag.corr_matrix(table(s, d, "lineitem"), _COLS).select("a", "b", _r("corr", 6).alias("corr"))
+
+
+@query("select round(covar_samp(l_quantity, l_discount), 6) covariance, round(regr_slope(l_extendedprice, l_quantity), 4) slope, round(regr_intercept(l_extendedprice, l_quantity), 2) intercept from lineitem")
+def regression(s, d):
+    """Covariance and the line of price on quantity."""
+    return table(s, d, "lineitem").agg(_r(F.covar_samp("l_quantity", "l_discount"), 6).alias("covariance"), _r(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), _r(F.regr_intercept("l_extendedprice", "l_quantity"), 2).alias("intercept"))
+
+
+@query(" union all ".join(f"select '{a}' as i, '{b}' as j, round(sum({a} * {b}), 2) as v from lineitem" for a in ("l_quantity", "l_discount") for b in ("l_quantity", "l_discount")))
+def gram_matrix(s, d):
+    """The matrix product of measures with themselves."""
+    return ag.gram(table(s, d, "lineitem"), ["l_quantity", "l_discount"]).select("i", "j", _r("v").alias("v"))
+
+
+@query("with m as (select c_nationkey as i, c_mktsegment as j, sum(c_acctbal) as v from customer group by 1, 2) select a.j as i, b.j as j, round(sum(a.v * b.v), 0) as v from m a join m b on a.i = b.i group by 1, 2")
+def matrix_product(s, d):
+    """Segments by segments: a matrix times its transpose, in long form."""
+    m = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("i"), F.col("c_mktsegment").alias("j")).agg(F.sum("c_acctbal").alias("v"))
+    return ag.matmul(ag.transpose(m), m).select("i", "j", _r("v", 0).alias("v"))
+
+
+@query("select p_brand, count(distinct l_orderkey) n, count(distinct l_suppkey) suppliers from lineitem join part on l_partkey = p_partkey group by 1")
+def distinct_orders(s, d):
+    """Orders that hold a brand, and its suppliers."""
+    j = table(s, d, "lineitem").join(table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return j.groupBy("p_brand").agg(F.countDistinct("l_orderkey").alias("n"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+# ------------------------------------------------------------- windows and series
+
+_DAILY = "select cast(o_orderdate as date) o_date, sum(o_totalprice) v from orders group by 1"
+
+
+def _daily(s, d):
+    return table(s, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("o_date")).agg(F.sum("o_totalprice").alias("v"))
+
+
+@query(f"with t as ({_DAILY}) select o_date, case when count(v) over w >= 7 then round(avg(v) over w, 4) end ma7 from t window w as (order by o_date rows between 6 preceding and current row)")
+def moving_average_7(s, d):
+    """Seven-day moving average of revenue, once there are seven."""
+    return ts.rolling(_daily(s, d), "o_date", "v", 7).select("o_date", _r("rolling", 4).alias("ma7"))
+
+
+@query(f"with t as ({_DAILY}) select o_date, round(stddev_samp(v) over w, 2) sd, round(max(v) over w, 2) hi, round(min(v) over w, 2) lo, round(sum(v) over w, 2) total from t window w as (order by o_date rows between 29 preceding and current row)")
+def rolling_30(s, d):
+    """Thirty-day rolling deviation, extremes and sum."""
+    df = _daily(s, d)
+    for name, f in (("sd", F.stddev_samp), ("hi", F.max), ("lo", F.min), ("total", F.sum)):
+        df = ts.rolling(df, "o_date", "v", 30, f, min_periods=1, name=name)
+    return df.select("o_date", *(_r(c).alias(c) for c in ("sd", "hi", "lo", "total")))
+
+
+@query("select event_id, round(sum(value) over (partition by user_id order by cast(ts as date) range between interval 6 days preceding and current row), 4) as week from events")
+def rolling_week_by_user(s, d):
+    """What each user spent in the week up to an event."""
+    return ts.rolling_days(table(s, d, "events"), "ts", "value", 7, keys=("user_id",), name="week").select("event_id", _r("week", 4).alias("week"))
+
+
+@query("select p_partkey, round((p_retailprice - min(p_retailprice) over ()) / (max(p_retailprice) over () - min(p_retailprice) over ()), 6) scaled, round((p_retailprice - avg(p_retailprice) over ()) / stddev_samp(p_retailprice) over (), 6) z from part")
+def normalise_prices(s, d):
+    """Prices scaled to 0..1 and standardised."""
+    return ts.zscore(ts.minmax(table(s, d, "part"), "p_retailprice"), "p_retailprice").select("p_partkey", _r("scaled", 6).alias("scaled"), _r("z", 6).alias("z"))
+
+
+@query("select p_partkey, round((p_retailprice - avg(p_retailprice) over (partition by p_type)) / stddev_samp(p_retailprice) over (partition by p_type), 6) z from part")
+def standardise_by_type(s, d):
+    """Prices standardised within their category."""
+    return ts.zscore(table(s, d, "part"), "p_retailprice", ("p_type",)).select("p_partkey", _r("z", 6).alias("z"))
+
+
+_ABC = """with s as (select l_partkey, round(sum(l_extendedprice * (1 - l_discount)), 4) total from lineitem group by 1),
+t as (select l_partkey, total, sum(total) over (order by total desc, l_partkey rows unbounded preceding) / sum(total) over () c, total / sum(total) over () share from s)"""
+
+
+def _revenue_by_part(s, d):
+    return table(s, d, "lineitem").groupBy("l_partkey").agg(_r(F.sum(rel.net()), 4).alias("rev"))
+
+
+@query(f"{_ABC} select l_partkey, total, round(share, 8) as share, round(c, 6) cum_share from t")
+def pareto_products(s, d):
+    """Products by revenue with their cumulative share."""
+    return sg.pareto(_revenue_by_part(s, d), "l_partkey", "rev").select("l_partkey", "total", _r("share", 8).alias("share"), _r("cum_share", 6).alias("cum_share"))
+
+
+@query(f"{_ABC} select case when c <= 0.8 then 'A' when c <= 0.95 then 'B' else 'C' end as class, count(*) products, round(sum(total), 3) revenue from t group by 1")
+def abc_products(s, d):
+    """How many products make the first 80 and 95 per cent."""
+    return sg.abc(_revenue_by_part(s, d), "l_partkey", "rev").groupBy("class").agg(F.count(F.lit(1)).alias("products"), _r(F.sum("total"), 3).alias("revenue"))
+
+
+_TOP = "select l_partkey, round(sum(l_extendedprice * (1 - l_discount)), 4) rev from lineitem group by 1 order by rev {}, l_partkey limit 10"
+
+
+@query(_TOP.format("desc"))
+def top_products(s, d):
+    """The ten best sellers."""
+    return sg.top_n(_revenue_by_part(s, d), [], "rev", 10, "l_partkey")
+
+
+@query(_TOP.format("asc"))
+def bottom_products(s, d):
+    """The ten worst sellers."""
+    return sg.top_n(_revenue_by_part(s, d), [], "rev", 10, "l_partkey", bottom=True)
+
+
+@query("select p_type, p_partkey, p_retailprice, cast(rn as bigint) as \"rank\" from (select *, row_number() over (partition by p_type order by p_retailprice desc, p_partkey) rn from part) where rn <= 3")
+def top_3_by_type(s, d):
+    """The three dearest products of each category."""
+    return sg.top_n(table(s, d, "part"), ["p_type"], "p_retailprice", 3, "p_partkey").select("p_type", "p_partkey", "p_retailprice", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"with t as ({_DAILY}) select o_date, round(v - lag(v) over w, 2) delta, round(lead(v) over w, 2) as following from t window w as (order by o_date)")
+def lag_lead(s, d):
+    """Change on the day before, and the day after."""
+    return ts.period_delta(_daily(s, d), "o_date", "v").select("o_date", _r("delta").alias("delta"), _r("next").alias("following"))
+
+
+@query("""with c as (select o_custkey, max(o_orderdate) a, count(*) b, sum(o_totalprice) m from orders group by 1),
+t as (select ntile(5) over (order by a, o_custkey) r, ntile(5) over (order by b, o_custkey) f, ntile(5) over (order by round(m, 2), o_custkey) m from c)
+select cast(r as bigint) r, cast(f as bigint) f, cast(m as bigint) m, count(*) customers from t group by 1, 2, 3""")
+def rfm_cells(s, d):
+    """Customers by recency, frequency and value, in fifths."""
+    orders = table(s, d, "orders")
+    return sg.rfm(orders, "o_custkey", "o_orderdate", "o_totalprice", "2001-08-02").groupBy("r", "f", "m").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("select p_partkey, round(percent_rank() over w, 6) pct_rank, round(cume_dist() over w, 6) cume_dist from part window w as (partition by p_type order by p_retailprice)")
+def percent_ranks(s, d):
+    """Where a price stands in its category."""
+    return sg.pct_rank(table(s, d, "part"), "p_retailprice", ["p_type"]).select("p_partkey", _r("pct_rank", 6).alias("pct_rank"), _r("cume_dist", 6).alias("cume_dist"))
+
+
+@query("select o_custkey, cast(min(o_orderdate) as date) as first, cast(max(o_orderdate) as date) as last from orders group by 1")
+def first_last_purchase(s, d):
+    """A customer's first and last purchase."""
+    return sg.first_purchase(table(s, d, "orders"), "o_custkey", "o_orderdate").select("o_custkey", F.col("first_ts").cast("date").alias("first"), F.col("last_ts").cast("date").alias("last"))
+
+
+@query(f"with m as ({_MONTHS}) select cast(month(m) as bigint) as month, round(avg(v) / (select avg(v) from m), 6) season_index from m group by 1")
+def seasonality(s, d):
+    """Which months are strong."""
+    return ts.seasonality_index(table(s, d, "orders"), "o_orderdate", "o_totalprice").select("month", _r("season_index", 6).alias("season_index"))
+
+
+@query(f"with m as ({_MONTHS}) select m as period, round(v, 2) revenue, round(sum(v) over (order by m rows unbounded preceding), 2) running from m")
+def sales_trend(s, d):
+    """Monthly revenue and its running total."""
+    months = table(s, d, "orders").groupBy(ts.period("o_orderdate", "month").alias("period")).agg(F.sum("o_totalprice").alias("v"))
+    return ts.running_total(months, "period", "v").select("period", _r("v").alias("revenue"), _r("running").alias("running"))
+
+
+# ------------------------------------------------------------- composites
+
+_OUT = "select event_type, count(*) n from events, (select quantile_cont(value, 0.25) a, quantile_cont(value, 0.75) b from events) where value < a - 1.5 * (b - a) or value > b + 1.5 * (b - a) group by 1"
+
+
+@query(_OUT)
+def outliers_iqr(s, d):
+    """Events with values far outside the quartiles."""
+    return sg.outliers_iqr(table(s, d, "events"), "value").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select event_type, count(*) n from (select event_type, abs(value - avg(value) over ()) / stddev_samp(value) over () z from events) where z > 3 group by 1")
+def outliers_zscore(s, d):
+    """Events more than three deviations out."""
+    return sg.outliers_z(table(s, d, "events"), "value").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COHORT = """with p as (select distinct o_custkey, cast(date_trunc('month', o_orderdate) as date) p from orders), f as (select o_custkey, min(p) c from p group by 1),
+k as (select c as cohort, (year(p) - year(c)) * 12 + month(p) - month(c) as k, count(*) customers from p join f using (o_custkey) group by 1, 2)"""
+
+
+@query(f"{_COHORT} select cohort, cast(k as bigint) as k, customers from k")
+def cohorts_monthly(s, d):
+    """Cohorts of first purchase, month by month."""
+    return sg.cohorts(table(s, d, "orders"), "o_custkey", "o_orderdate")
+
+
+@query("with f as (select o_custkey, min(o_orderdate) fd from orders group by 1) select cast(date_trunc('year', fd) as date) as cohort, cast(year(o_orderdate) - year(fd) as bigint) as k, count(distinct o.o_custkey) customers from orders o join f on o.o_custkey = f.o_custkey group by 1, 2")
+def cohorts_yearly(s, d):
+    """Cohorts of first purchase, year by year."""
+    return sg.cohorts(table(s, d, "orders"), "o_custkey", "o_orderdate", "year")
+
+
+@query(f"{_COHORT} select a.cohort, cast(a.k as bigint) as k, a.customers, b.customers as size, round(a.customers / b.customers, 6) retention from k a join k b on a.cohort = b.cohort and b.k = 0")
+def retention_monthly(s, d):
+    """How many of a cohort still buy (C4)."""
+    return sg.retention(sg.cohorts(table(s, d, "orders"), "o_custkey", "o_orderdate")).withColumn("retention", _r("retention", 6))
+
+
+@query("select cast(dayofweek(o_orderdate) as bigint) as x, cast(month(o_orderdate) as bigint) as y, round(sum(o_totalprice), 2) as v from orders group by 1, 2")
+def heatmap_weekday_month(s, d):
+    """Revenue by weekday (Sunday 0) and month."""
+    return sg.heatmap(table(s, d, "orders"), fn.weekday_sunday0(F.col("o_orderdate")), F.month("o_orderdate").cast("long"), _r(F.sum("o_totalprice")))
+
+
+@query(f"""with m as ({_MONTHS}), n as (select m, v, (year(m) - year(z)) * 12 + month(m) - month(z) t from m, (select min(m) z from m)),
+f as (select regr_slope(v, t) a, regr_intercept(v, t) b, max(t) l, max(m) e, avg(v) o from n), s as (select month(m) cm, avg(v) mean from m group by 1),
+g as (select *, unnest(range(1, 7)) k from f)
+select cast(e + to_months(cast(k as integer)) as date) as period, round((b + a * (l + k)) * mean / o, 0) forecast from g join s on cm = month(cast(e + to_months(cast(k as integer)) as date))""")
+def forecast_6_months(s, d):
+    """The next six months by trend and season (C11)."""
+    return ts.forecast_trend_seasonal(table(s, d, "orders"), "o_orderdate", "o_totalprice", 6).select("period", _r("forecast", 0).alias("forecast"))
+
+
+@query()
+def forecast_holt(s, d):
+    """The next three months by double exponential smoothing (C11); tested by a loop."""
+    months = table(s, d, "orders").groupBy(ts.period("o_orderdate", "month").alias("period")).agg(F.sum("o_totalprice").alias("v"))
+    return ts.holt(months, "period", "v", 0.5, 0.3, 3)
+
+
+@query(f"with t as (select r_name, sum(l_extendedprice * (1 - l_discount)) v from {_STAR} group by 1) select r_name, round(v, 2) revenue, round(v / sum(v) over (), 6) as share from t")
+def region_share(s, d):
+    """Each region's share of revenue."""
+    return sg.share_of_total(_star(s, d), ["r_name"], rel.net(), "v").select("r_name", _r("v").alias("revenue"), _r("share", 6).alias("share"))
+
+
+@query()
+def kmeans_customers(s, d):
+    """Customers in four groups by frequency and value (C7, optional model)."""
+    per = table(s, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("o_totalprice").alias("v"))
+    return sg.kmeans_segments(per, ["n", "v"], 4)
+
+
+# ------------------------------------------------------------- quality
+
+def _rules():
+    return {"ships_after_order": F.col("l_shipdate") >= F.col("o_orderdate"), "discount_in_range": F.col("l_discount").between(0, 0.08), "positive_quantity": F.col("l_quantity") > 0}
+
+
+def _checked(s, d):
+    return table(s, d, "lineitem").join(table(s, d, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+
+
+@query("select reason, count(*) n from (select unnest([case when l_shipdate < o_orderdate then 'ships_after_order' end, case when not (l_discount between 0 and 0.08) then 'discount_in_range' end, case when l_quantity <= 0 then 'positive_quantity' end]) reason from lineitem join orders on l_orderkey = o_orderkey) where reason is not null group by 1")
+def dq_rejections(s, d):
+    """Why lines are quarantined."""
+    return dq.dq_summary(dq.validate_rows(_checked(s, d), _rules())[1])
+
+
+@query("select count(*) accepted from lineitem join orders on l_orderkey = o_orderkey where l_shipdate >= o_orderdate and l_discount between 0 and 0.08 and l_quantity > 0")
+def dq_accepted(s, d):
+    """How many lines pass all rules."""
+    return dq.validate_rows(_checked(s, d), _rules())[0].agg(F.count(F.lit(1)).alias("accepted"))
+
+
+@query("select l_orderkey, l_linenumber, count(*) n from lineitem group by 1, 2 having count(*) > 1")
+def duplicate_lines(s, d):
+    """Line keys that occur more than once."""
+    return ag.find_duplicates(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice from (select *, row_number() over (partition by l_orderkey, l_linenumber order by l_shipdate, l_partkey, l_suppkey, l_extendedprice) rn from lineitem) where rn = 1")
+def dedup_lines(s, d):
+    """One line for each key, the same in every run."""
+    return ag.dedup(table(s, d, "lineitem"), ["l_orderkey", "l_linenumber"], [F.asc(c) for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice")]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+@query("with t as (select o_orderkey, case when o_orderkey % 10 = 0 then null else o_totalprice end p, case when o_orderkey % 7 = 0 then null else o_orderpriority end q from orders) select o_orderkey, round(coalesce(p, (select median(p) from t where q is not null)), 2) p, q, p is null as p_was_null from t where q is not null")
+def null_strategies(s, d):
+    """Drop, impute and flag, a strategy for each column."""
+    o = table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")).alias("p"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderpriority")).alias("q"))
+    out = dq.handle_nulls(o.withColumn("f", F.col("p")), {"q": dq.Drop(), "f": dq.Flag(), "p": dq.Impute("median")})
+    return out.select("o_orderkey", _r("p").alias("p"), "q", F.col("f_missing").alias("p_was_null"))
+
+
+@query("select event_id, try_cast(case when event_id % 3 = 0 then 'x' || event_id else cast(event_id as varchar) end as bigint) as n, try_cast(case when event_id % 5 = 0 then 'nan?' else cast(user_id as varchar) end as double) as v from events")
+def convert_types(s, d):
+    """Dirty text to numbers, null where it isn't one (P5)."""
+    e = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("x"), "event_id")).otherwise(F.col("event_id").cast("string")).alias("n"), F.when(F.col("event_id") % 5 == 0, "nan?").otherwise(F.col("user_id").cast("string")).alias("v"))
+    return rel.convert(e, _schema("event_id long, n long, v double"))
+
+
+def _schema(ddl: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl)
+
+
+@query("select p_type, cast(dense_rank() over (order by p_type) - 1 as bigint) as p_type_code, n from (select p_type, count(*) n from part group by 1)")
+def encode_categories(s, d):
+    """A category's code and how often it occurs (P10)."""
+    encoded, _ = dq.dictionary_encode(table(s, d, "part"), "p_type")
+    return encoded.groupBy("p_type", F.col("p_type_code").cast("long").alias("p_type_code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def downcast_report(s, d):
+    """What narrower types save a row."""
+    _, report = dq.downcast(table(s, d, "lineitem"))
+    return s.createDataFrame(report, "column string, was string, now string, bytes_saved int")
+
+
+@query("select cast(count(*) as bigint) as lines, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) k from events")
+def json_property(s, d):
+    """A figure out of JSON text (F8)."""
+    return table(s, d, "events").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+
+
+# ------------------------------------------------------------- pages: filter, search, paginate, functions
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderstatus in ('F', 'O') and o_totalprice >= 100000 and o_totalprice <= 300000 and o_orderpriority = '1-URGENT'")
+def sidebar_filters(s, d):
+    """Several filters at once, pushed to the scan."""
+    return rel.apply_filters(table(s, d, "orders"), {"o_orderstatus": {"F", "O"}, "o_totalprice": (100000.0, 300000.0), "o_orderpriority": "1-URGENT"}).select("o_orderkey", "o_totalprice")
+
+
+@query("select c_custkey, c_name from customer where c_name ilike '%77%' or c_mktsegment ilike '%build%'")
+def search_customers(s, d):
+    """Customers in which a text occurs."""
+    hit = rel.search(table(s, d, "customer"), ["c_name"], "77").select("c_custkey", "c_name")
+    return hit.unionByName(rel.search(table(s, d, "customer"), ["c_mktsegment"], "Build").select("c_custkey", "c_name")).distinct()
+
+
+@query("select o_orderkey, o_totalprice from orders where o_totalprice > 100000 order by o_totalprice, o_orderkey limit 25")
+def page_of_orders(s, d):
+    """The page after a given row, by key and not by offset (L2, L3)."""
+    return rel.page(table(s, d, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"], 25, (100000.0, 1 << 62)).select("o_orderkey", "o_totalprice")
+
+
+@query("select p_partkey, upper(trim(p_name)) as name, regexp_replace(p_brand, '[^0-9]', '', 'g') as digits, case when p_size < 10 then 'small' when p_size < 30 then 'middle' else 'large' end as size_band from part")
+def clean_and_band(s, d):
+    """Cleaned names and banded sizes."""
+    return table(s, d, "part").select("p_partkey", F.upper(fn.clean_text(F.col("p_name"))).alias("name"), F.regexp_replace("p_brand", "[^0-9]", "").alias("digits"), fn.bands(F.col("p_size"), [10, 30], ["small", "middle", "large"]).alias("size_band"))
+
+
+@query("select o_orderkey, cast(year(o_orderdate) as bigint) y, cast(quarter(o_orderdate) as bigint) q, cast(o_orderdate + interval 3 month as date) due, cast(date_diff('day', cast(o_orderdate as date), date '2002-01-01') as bigint) age from orders")
+def date_functions(s, d):
+    """Parts of dates, dates ahead, and ages."""
+    return table(s, d, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("y"), F.quarter("o_orderdate").cast("long").alias("q"), F.add_months(F.col("o_orderdate").cast("date"), 3).alias("due"), F.datediff(F.lit("2002-01-01").cast("date"), F.col("o_orderdate").cast("date")).cast("long").alias("age"))
+
+
+@query("select o_custkey, round(sum(o_totalprice * o_totalprice), 0) as energy, cast(count(*) as bigint) as n from orders group by 1")
+def array_functions(s, d):
+    """An inner product over an array of each customer's orders."""
+    a = table(s, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v"))
+    return a.select("o_custkey", _r(fn.dot(F.col("v"), F.col("v")), 0).alias("energy"), F.size("v").cast("long").alias("n"))
+
+
+@query("select c_nationkey as k from customer intersect select s_nationkey from supplier")
+def set_intersection(s, d):
+    """Nations with both customers and suppliers."""
+    return table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(table(s, d, "supplier").select("s_nationkey"))
+
+
+@query("select 'customer' as kind, c_custkey as id, c_acctbal as balance from customer union all select 'supplier', s_suppkey, s_acctbal from supplier")
+def union_parties(s, d):
+    """Customers and suppliers in one list."""
+    return rel.append_all(table(s, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")), table(s, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
+
+
+@query("select cast(unnest(range(timestamp '2024-01-01', timestamp '2024-03-01', interval 1 day)) as date) as date, dayofweek(cast(unnest(range(timestamp '2024-01-01', timestamp '2024-03-01', interval 1 day)) as date)) in (0, 6) as weekend")
+def calendar_udtf(s, d):
+    """The days of two months, from a table function."""
+    import datetime
+
+    return fn.calendar(datetime.date(2024, 1, 1), datetime.date(2024, 2, 29))
+
+
+# ------------------------------------------------------------- time windows, in batch as on a stream
+
+
+@query("select cast(date_trunc('day', ts) as date) as day, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2")
+def tumbling_daily(s, d):
+    """Events by day and type, by the windows of the live panel."""
+    e = table(s, d, "events")
+    out = live.tumbling(e, "ts", "1 day", keys=("event_type",), n=F.count(F.lit(1)), total=F.sum("value"))
+    return out.select(F.col("window.start").cast("date").alias("day"), "event_type", "n", _r("total", 4).alias("total"))
+
+
+@query("select cast(floor(epoch(w)) as bigint) as start, count(*) n from (select unnest(range(time_bucket(interval 6 hour, ts) - interval 18 hour, time_bucket(interval 6 hour, ts) + interval 1 second, interval 6 hour)) w from events) group by 1")
+def sliding_daily(s, d):
+    """Events in the day from every sixth hour on."""
+    out = live.sliding(table(s, d, "events"), "ts", "1 day", "6 hours", n=F.count(F.lit(1)))
+    return out.select(F.unix_timestamp(F.col("window.start").cast("timestamp")).alias("start"), "n")
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over w < interval 12 hour then 0 else 1 end b from events window w as (partition by user_id order by ts)),
+n as (select user_id, ts, sum(b) over (partition by user_id order by ts rows unbounded preceding) s from g)
+select user_id, cast(floor(epoch(min(ts))) as bigint) as start, count(*) n from n group by user_id, s""")
+def sessions(s, d):
+    """Runs of a user's events with gaps under twelve hours."""
+    out = live.session(table(s, d, "events"), "ts", "12 hours", ("user_id",), n=F.count(F.lit(1)))
+    return out.select("user_id", F.unix_timestamp(F.col("session_window.start").cast("timestamp")).alias("start"), "n")
+
+
+@query()
+def generated_margin(s, d):
+    """Revenue, cost and margin by category of the generated data."""
+    from ..sources.generator import generate
+
+    t = generate(s, 5000)
+    lines = ag.explode_items(t["orders"].where("status = 'complete'")).withColumn("revenue", F.col("qty") * F.col("unit_price").cast("double") * (1 - F.col("discount")))
+    joined = lines.join(t["products"].select("product_id", "category_id", "unit_cost"), "product_id").withColumn("cost", F.col("qty") * F.col("unit_cost").cast("double"))
+    return ag.kpi_margin(joined, ["category_id"], "revenue", "cost")
