@@ -17,7 +17,7 @@ def validate_schema(df: DataFrame, schema: T.StructType) -> list[str]:
     """What differs from the declared schema: missing, unexpected and wrongly typed columns."""
     have, want = {f.name: f.dataType for f in df.schema.fields}, {f.name: f.dataType for f in schema.fields}
     out = [f"missing: {c}" for c in want if c not in have] + [f"unexpected: {c}" for c in have if c not in want]
-    return out + [f"type of {c}: {have[c].simpleString()}, not {want[c].simpleString()}" for c in want if c in have and have[c] != want[c]]
+    return out + [f"type of {c}: {have[c].simpleString()}, not {want[c].simpleString()}" for c in want if c in have and have[c].simpleString() != want[c].simpleString()]
 
 
 def with_reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
