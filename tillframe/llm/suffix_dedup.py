@@ -27,6 +27,8 @@ from . import common
 LENGTH, GRAM = 400, 128
 SPAN = LENGTH - GRAM + 1
 GROUP = 1500
+#: A group over GROUP is divided into ranges so wide, then narrower; at 1 it is settled.
+WIDTHS = (64, 8, 1)
 SHALLOW = 24
 
 
@@ -259,13 +261,15 @@ def _settled(items: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFra
     return same.select("k", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo") + LENGTH).alias("e")), rest, many
 
 
-def _narrower(begin: int, a: int, lo: int, hi: int, body: bytes, parts: int):
-    """The runs that a run is divided into: (a, lo, hi, common bytes, body)."""
-    width = max(1, -(-(hi - lo + 1) // parts))
-    for low in range(lo, hi + 1, width):
-        high = min(hi, low + width - 1)
-        piece = body[hi - high : hi - low + LENGTH]
-        yield a, low, high, body[hi - low : hi - high + LENGTH], piece
+def _narrower(lo: int, hi: int, body: bytes, width: int):
+    """The runs that a run is divided into: (lo, hi, the bytes that all strings of its range have in common, body).
+
+    Ranges are the same multiples of width for every run, so equal strings stay together.
+    """
+    for low in range(lo - lo % width, hi + 1, width):
+        high = min(low + width, SPAN) - 1
+        own_low, own_high = max(lo, low), min(hi, high)
+        yield own_low, own_high, body[hi - low : hi - high + LENGTH], body[hi - own_high : hi - own_low + LENGTH]
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,7 +278,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     docs = keyed(docs, key, text)
     runs = common.written(runs_of(docs), "runs")
     grams = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("body") != F.max("body")).alias("mixed")).where("n > 1")
-    repeated = common.written(runs.join(grams.select("gram", "mixed"), "gram"), "repeated")
+    grams = common.written(grams.select("gram", "mixed"), "grams")
+    repeated = common.written(runs.join(grams, "gram"), "repeated")
     spans = [repeated.where("not mixed").select("k", (F.col("a") - F.col("hi")).alias("s"), (F.col("a") - F.col("lo") + LENGTH).alias("e"))]
     same, rest, _ = _settled(repeated.where("mixed").drop("mixed"), "kinds")
     spans.append(same)
@@ -312,28 +317,30 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                     out.extend((int(k[x]), int(a[x]) - to, int(a[x]) - from_ + LENGTH) for from_, to in found)
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("k", "s", "e"), zip(*out, strict=True) if out else ((), (), ()), strict=True)})
 
-    def divide(batch: pa.RecordBatch):
-        rows = batch.to_pydict()
-        out = []
-        for k, a, lo, hi, raw in zip(*(rows[c] for c in ("k", "a", "lo", "hi", "bytes")), strict=True):
-            for x, low, high, core, piece in _narrower(a - hi, a, lo, hi, raw, 8):
-                h = np.frombuffer(core, np.uint8)
-                sums = common.prefix_sums(h)
-                gram = common.string_hashes(sums, np.array([0]), np.array([len(h)]))[0]
-                out.append((int(gram.view(np.int64)) ^ low, 0, k, x, low, high, piece))
-            if len(out) > 2000:
+    def divider(width: int):
+        def divide(batch: pa.RecordBatch):
+            rows = batch.to_pydict()
+            out = []
+            for k, a, lo, hi, raw in zip(*(rows[c] for c in ("k", "a", "lo", "hi", "bytes")), strict=True):
+                for low, high, core, piece in _narrower(lo, hi, raw, width):
+                    sums = common.prefix_sums(np.frombuffer(core, np.uint8))
+                    gram = common.string_hashes(sums, np.array([0]), np.array([len(core)])).view(np.int64)[0]
+                    out.append((int(gram) ^ (low // width), 0, k, a, low, high, piece))
+                if len(out) > 2000:
+                    yield _batch(out)
+                    out = []
+            if out:
                 yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
 
-    while True:
+        return common.batched(divide)
+
+    for width in (*WIDTHS, 0):
         small = items.where(F.col("kinds") <= GROUP).withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(n_parts)))
         spans.append(small.groupBy("part").applyInArrow(sort, "k long, s long, e long"))
         large = items.where(F.col("kinds") > GROUP)
-        if large.isEmpty():
+        if not width or large.isEmpty():
             break
-        parts = large.mapInArrow(common.batched(divide), _ITEM).drop("kinds").withColumn("body", F.xxhash64("bytes"))
+        parts = large.mapInArrow(divider(width), _ITEM).drop("kinds").withColumn("body", F.xxhash64("bytes"))
         same, rest, _ = _settled(common.written(parts, "divided"), "kinds")
         spans.append(same)
         items = common.written(rest.select("gram", "kinds", "k", "a", "lo", "hi", "bytes"), "bodies")
