@@ -33,7 +33,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: The order they are put in changes the cost, never the result.
 HEAVY_IN_CHUNK, HEAVY, MAX_HEAVY = 3, 16, 200_000
 #: Sets that meet at an n-gram are paired up to so many, and chained beyond.
-CROWD = 16
+CROWD = 64
 SURE = 1 << 40
 TILE = 3000
 
@@ -195,8 +195,11 @@ def candidate_links(docs: DataFrame, text: str, heavy: np.ndarray, nodes: DataFr
         near = n[:-1] * DENOMINATOR >= n[1:] * NUMERATOR
         chained = np.flatnonzero((h[1:] == h[:-1]) & near & crowded[1:])
         a, b, c = [fp[chained]], [fp[chained + 1]], [np.full(len(chained), SURE)]
+        left = np.flatnonzero(~crowded & np.repeat(many > 1, many))
         for gap in range(1, CROWD):
-            x = np.flatnonzero((h[gap:] == h[:-gap]) & ~crowded[gap:] & (n[:-gap] * DENOMINATOR >= n[gap:] * NUMERATOR)) if len(h) > gap else chained[:0]
+            left = left[left + gap < len(h)]
+            left = left[h[left + gap] == h[left]]
+            x = left[n[left] * DENOMINATOR >= n[left + gap] * NUMERATOR]
             a.append(fp[x])
             b.append(fp[x + gap])
             c.append(np.ones(len(x), np.int64))
