@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_STATES = 250_000
-MAX_CACHED = 250_000
+MAX_STATES = 170_000
+MAX_CACHED = 120_000
 LONG_PIECE = 64
+#: Tokens are numbers of so many bits.
+BITS, LOW = 17, (1 << 17) - 1
 
 #: The characters that \s stands for in the pattern.
 WHITE = "\t\n\x0b\x0c\r\x20\x85\xa0                　"
@@ -85,10 +87,10 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        start = ((0, -1),)
+        start = (0,)
         self.states = [start]
         self.number = {start: 0}
-        self.moves: dict[int, tuple[int, int]] = {}
+        self.moves: dict[int, int] = {}
 
     def halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; (-1, -1) for a single byte."""
@@ -125,23 +127,27 @@ class Transducer:
                 x_used, x = x, self.halves(x)[1]
             else:
                 y_used, y = y, self.halves(y)[0]
-        if len(self.pairs) > 300_000:
+        if len(self.pairs) > 150_000:
             self.pairs.clear()
         self.pairs[a << 20 | b] = known
         return known
 
-    def move(self, state: int, byte: int) -> tuple[int, int]:
-        """Determinise one transition: the state after byte, and the token that ends there."""
+    def move(self, state: int, byte: int) -> int:
+        """Determinise one transition: the state after byte, and below it the token that ends there.
+
+        A state is a tuple of numbers: a vocabulary prefix, and below it 1 + the token before.
+        """
         child, opens, tokens = self.child, self.open, self.token
         grown, ended = [], -1
-        for node, last in self.states[state]:
-            after = child.get(node << 8 | byte)
+        for item in self.states[state]:
+            after = child.get(item >> BITS << 8 | byte)
             if after is not None:
+                last = item & LOW
                 if opens[after]:
-                    grown.append((after, last))
-                if ended < 0 and (t := tokens[after]) >= 0 and (last < 0 or self.stable(last, t)):
+                    grown.append(after << BITS | last)
+                if ended < 0 and (t := tokens[after]) >= 0 and (not last or self.stable(last - 1, t)):
                     ended = t
-        grown.append((0, ended))
+        grown.append(ended + 1)
         key = tuple(grown)
         to = self.number.get(key)
         if to is None:
@@ -150,9 +156,10 @@ class Transducer:
                 state = -1
             to = self.number[key] = len(self.states)
             self.states.append(key)
+        step = to << BITS | ended
         if state >= 0:
-            self.moves[state << 8 | byte] = (to, ended)
-        return to, ended
+            self.moves[state << 8 | byte] = step
+        return step
 
     def encode(self, word: bytes) -> list[int]:
         """The tokens of one match of the pattern."""
@@ -164,13 +171,43 @@ class Transducer:
             if step is None:
                 step = self.move(state, c)
                 moves = self.moves
-            state, t = step
-            ended.append(t)
+            state = step >> BITS
+            ended.append(step & LOW)
             if len(ended) >= 4 * self.longest:
                 ended = ended[self.settle(state, ended, out) :]
         self.trace(ended, len(ended), out)
         return out
 
+    def encode_sorted(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """Each of the sorted words with its tokens; what a word begins like the last is not read again."""
+        before, states, ended = b"", [0], []
+        for word in words:
+            if len(word) > 2 * self.longest:
+                yield word, self.encode(word)
+                before, states, ended = b"", [0], []
+                continue
+            same, most = 0, min(len(before), len(word))
+            while same < most and before[same] == word[same]:
+                same += 1
+            del states[same + 1 :], ended[same:]
+            state, moves, before = states[same], self.moves, word
+            for c in word[same:]:
+                step = moves.get(state << 8 | c)
+                if step is None:
+                    step = self.move(state, c)
+                    if moves is not self.moves:  # all was forgotten, the states kept here too
+                        before = b""
+                        break
+                state = step >> BITS
+                states.append(state)
+                ended.append(step & LOW)
+            out: list[int] = []
+            if before:
+                self.trace(ended, len(ended), out)
+            else:
+                states, ended, out = [0], [], self.encode(word)
+            yield word, out
+
     def trace(self, ended: list[int], end: int, out: list[int]) -> None:
         """Append the tokens that lead to position end, following each to where it began."""
         back = []
@@ -183,8 +220,8 @@ class Transducer:
     def settle(self, state: int, ended: list[int], out: list[int]) -> int:
         """Emit the tokens on which all open positions agree; returns the bytes they cover."""
         ways = [{0}]
-        for node, _ in self.states[state]:
-            end, way = len(ended) - self.depth[node], set()
+        for item in self.states[state]:
+            end, way = len(ended) - self.depth[item >> BITS], set()
             while end > 0:
                 way.add(end)
                 end -= self.size[ended[end - 1]]
@@ -204,42 +241,52 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def match(self, text: str, alone: bool) -> bytes:
-        """The tokens of one match of the pattern, as int32 bytes."""
-        word = text.encode()
-        rank = self.whole.get(word)
-        if rank is not None:
-            return rank.to_bytes(4, sys.byteorder)
-        shared = not alone and text[0] == " " and len(text) <= LONG_PIECE
-        if shared and (known := self.cache.get(text[1:]) or self.older.get(text[1:])):
-            return known
-        out = self.transducer.encode(word)
-        known = struct.pack(f"={len(out)}i", *out)
-        if shared:
-            self.cache[text[1:]] = known
-        return known
-
-    def piece(self, text: str) -> bytes:
-        """The tokens of a piece, as int32 bytes; a word inside a longer piece is cached too."""
-        found = self.matches(text)
-        return self.match(found[0], True) if len(found) == 1 else b"".join([self.match(m, False) for m in found])
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        first, *rest = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+    def resolve(self, missing: set[str]) -> dict[str, bytes]:
+        """The tokens of the pieces, as int32 bytes. Words that several pieces hold are encoded once."""
+        found = {p: [m.encode() for m in self.matches(p)] for p in missing}
+        known = {}
+        new = set()
+        for words in found.values():
+            for w in words:
+                rank = self.whole.get(w)
+                if rank is None:
+                    new.add(w)
+                else:
+                    known[w] = rank.to_bytes(4, sys.byteorder)
+        for w, out in self.transducer.encode_sorted(sorted(new)):
+            known[w] = struct.pack(f"={len(out)}i", *out)
+        return {p: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for p, words in found.items()}
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The tokens of each text. All pieces but a text's first begin with a space, which the cache leaves out."""
         if len(self.cache) > MAX_CACHED:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
-        known = list(map(cache.get, rest))
-        if None in known:
-            for i, p in enumerate(known):
-                if p is None:
-                    p = rest[i]
-                    known[i] = cache.get(p) or older.get(p) or self.piece(" " + p)
-                    if len(p) <= LONG_PIECE:
-                        cache[p] = known[i]
-        return np.frombuffer(b"".join([self.piece(first), *known]), np.int32)
+        split = [_CUT.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        missing: set[str] = set()
+        for parts in split:
+            known = list(map(cache.get, parts))
+            if None in known[1:]:
+                missing.update([p for p, k in zip(parts[1:], known[1:], strict=True) if k is None])
+        long = {}
+        for p in [p for p in missing if p in older]:
+            cache[p] = older[p]
+            missing.discard(p)
+        firsts = {parts[0] for parts in split if parts[0]}
+        done = self.resolve({" " + p for p in missing} | firsts)
+        for p in missing:
+            (cache if len(p) <= LONG_PIECE else long)[p] = done[" " + p]
+        out = []
+        for parts in split:
+            known = list(map(cache.get, parts))
+            known[0] = done[parts[0]] if parts[0] else b""
+            if long:
+                known = [long[p] if k is None else k for p, k in zip(parts, known, strict=True)]
+            out.append(np.frombuffer(b"".join(known), np.int32))
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
 
 
 class Utf8:
@@ -318,7 +365,7 @@ def _here(kind, shared, *more):
 
 
 def _ids(encoder: Encoder, whole: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    return [encoder.encode(whole[b:e].tobytes().decode("utf-8", "replace")) for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return encoder.encode_all([whole[b:e].tobytes().decode("utf-8", "replace") for b, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
 
 
 def _lists(ids: list[np.ndarray]) -> pa.Array:

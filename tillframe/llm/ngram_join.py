@@ -173,7 +173,7 @@ def candidate_links(docs: DataFrame, text: str, heavy: np.ndarray, nodes: DataFr
         order = order[~same]
         h, fp, n, bucket = h[order], fp[order], n[order], bucket[order]
         used, first = np.unique(bucket, return_index=True)
-        ends = [*first[1:].tolist(), len(h)]
+        ends = [*first[1:].tolist(), len(h)][: len(first)]
         blobs = [[x[b:e].tobytes() for b, e in zip(first.tolist(), ends, strict=True)] for x in (h, fp, n)]
         return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "h", "fp", "n"])
 
