@@ -352,16 +352,14 @@ class Decoder:
         return "".join(self.stream(ids[x : x + feed] for x in range(0, len(ids), feed)))
 
 
-_made: dict = {}
-
-
 def _here(kind, shared, *more):
-    """The worker's own encoder or decoder, kept from task to task."""
+    """The worker's own encoder or decoder, kept from task to task for one vocabulary."""
     key = (kind, shared.__dict__.get("_path") or id(shared), *more)
-    if key not in _made:
-        _made.clear() if len(_made) > 8 else None
-        _made[key] = kind(shared.value, *more)
-    return _made[key]
+    if key not in common.kept:
+        for old in [k for k in common.kept if k[0] is kind]:
+            del common.kept[old]
+        common.kept[key] = kind(shared.value, *more)
+    return common.kept[key]
 
 
 def _ids(encoder: Encoder, whole: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -390,7 +388,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         for i, j in common.chunks(at):
             yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, _lists(_ids(encoder, whole, at[i : j + 1]))], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(common.batched(work), common.schema_of(df, f"`{out}` array<int>"))
+    return df.mapInArrow(common.batched(work, "bpe"), common.schema_of(df, f"`{out}` array<int>"))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded", feed: int = 4096) -> DataFrame:
@@ -410,7 +408,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
             array = pa.array(texts, pa.string(), mask=np.asarray(column.slice(i, j - i).is_null()))
             yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, array], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(common.batched(work), common.schema_of(df, f"`{out}` string"))
+    return df.mapInArrow(common.batched(work, "bpe"), common.schema_of(df, f"`{out}` string"))
 
 
 def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded", feed: int = 4096) -> DataFrame:
@@ -427,7 +425,7 @@ def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
             texts = pa.array([decoder.text(x, feed) for x in found], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).slice(i, j - i) for c in kept), _lists(found), texts], names=[*kept, ids, out])
 
-    return df.mapInArrow(common.batched(work), common.schema_of(df, f"`{ids}` array<int>, `{out}` string", (text,)))
+    return df.mapInArrow(common.batched(work, "bpe"), common.schema_of(df, f"`{ids}` array<int>, `{out}` string", (text,)))
 
 
 def vocabulary(path: str | None = None) -> tuple[dict[bytes, int], str]:

@@ -178,10 +178,18 @@ def schema_of(df: DataFrame, more: str, without: tuple[str, ...] = ()) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without), more])
 
 
-def batched(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]):
-    """A mapInArrow function from a function of one batch."""
+#: What a worker keeps from task to task, and for whom; workers outlive queries, so another owner's goes.
+kept: dict = {}
+_owner = [""]
+
+
+def batched(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], owner: str = ""):
+    """A mapInArrow function from a function of one batch. Only tasks of one owner share what is kept."""
 
     def run(batches):
+        if _owner[0] != owner:
+            kept.clear()
+            _owner[0] = owner
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
