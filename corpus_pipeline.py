@@ -13,8 +13,12 @@ from tillframe.llm import bpe, common, decontamination, language, ngram_join, pi
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids; rows with a null doc_id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows whose doc_id is among ids; rows with a null doc_id stay.
+
+    The ids are written first: so Spark knows their size, and broadcasts few of them
+    where it would otherwise deal out all texts.
+    """
+    return docs.join(common.written(ids.select("doc_id").distinct(), "left_out"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
