@@ -422,7 +422,6 @@ def test_ngram_join_equals_brute_force(spark, empty, monkeypatch, tile, crowd, h
     monkeypatch.setattr(ngram_join, "TILE", tile)
     monkeypatch.setattr(ngram_join, "CROWD", crowd)
     monkeypatch.setattr(ngram_join, "HEAVY", heavy)
-    monkeypatch.setattr(ngram_join, "HEAVY_IN_CHUNK", min(heavy, 3))
     texts = made(7, 120) + made(8, 60, 30)
     base = " ".join(f"w{k}" for k in range(60)).split()
     texts += [" ".join(base[:k] + ["zz"] + base[k + 1 :]) for k in range(0, 60, 3)]

@@ -4,7 +4,8 @@ Every text is a set of word n-grams, held as 64-bit hashes in one global order:
 the heavy ones (found in many texts) last. Two sets that reach the similarity share an
 n-gram among the first quarter of each, so:
 
-1. a pass counts heavy n-grams; the list is bounded, and serves the order alone;
+1. a pass counts how many sets each n-gram leads; the list of the heavy is bounded, and
+   serves the order alone;
 2. a pass sends the leading n-grams to buckets, packed into one blob for each batch and
    bucket; a bucket counts the pairs that meet at an n-gram, or chains the sets where many
    meet, and pairs that share too few leading n-grams to be similar are left;
@@ -29,11 +30,11 @@ from . import common
 WORDS = 5
 #: Similarity at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
-#: Found so often in one batch, and in all, an n-gram is heavy; so many are known at most.
-#: The order they are put in changes the cost, never the result.
-HEAVY_IN_CHUNK, HEAVY, MAX_HEAVY = 3, 16, 200_000
+#: Leading more sets than this, an n-gram is heavy; so many are known at most, the commonest
+#: first. The order they are put in changes the cost, never the result.
+HEAVY, MAX_HEAVY = 16, 400_000
 #: Sets that meet at an n-gram are paired up to so many, and chained beyond.
-CROWD = 64
+CROWD = 24
 SURE = 1 << 40
 TILE = 3000
 
@@ -129,20 +130,34 @@ def sets_of(docs: DataFrame, key: str, text: str, heavy: np.ndarray) -> DataFram
 
 
 def heavy_ngrams(docs: DataFrame, text: str) -> np.ndarray:
-    """Sorted hashes of at most MAX_HEAVY n-grams that many different sets hold."""
+    """Sorted hashes of the n-grams, at most MAX_HEAVY, that lead over HEAVY sets in the order by hash."""
+    n_buckets = common.shuffle_partitions(docs.sparkSession)
 
-    def work(batch: pa.RecordBatch):
-        parts, seen = [], set()
+    def send(batch: pa.RecordBatch):
+        parts = []
         for _, _, of, h, size, fp in _chunked(batch, 0):
-            new = np.array([s > 0 and f not in seen and not seen.add(f) for f, s in zip(fp.tolist(), size.tolist(), strict=True)], bool)
-            u, n = np.unique(h[new[of]], return_counts=True)
-            parts.append((u, n))
-        u, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
-        many = n >= HEAVY_IN_CHUNK
-        return pa.RecordBatch.from_arrays([pa.array(u[many].view(np.int64)), pa.array(n[many])], names=["h", "n"])
-
-    found = docs.select(text).mapInArrow(common.batched(work), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY)
+            first = np.cumsum(size) - size
+            _, one = np.unique(fp, return_index=True)
+            new = np.zeros(len(fp), bool)
+            new[one] = True
+            keep = (np.arange(len(h)) - first[of] < _leads(size)[of]) & new[of]
+            parts.append(h[keep])
+        h, n = np.unique(np.concatenate(parts), return_counts=True)
+        bucket = (h % np.uint64(n_buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        h, n, bucket = h[order], n[order].astype(np.int32), bucket[order]
+        used, first = np.unique(bucket, return_index=True)
+        ends = [*first[1:].tolist(), len(h)][: len(first)]
+        blobs = [[x[b:e].tobytes() for b, e in zip(first.tolist(), ends, strict=True)] for x in (h, n)]
+        return pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "h", "n"])
+
+    def count(table: pa.Table) -> pa.Table:
+        h, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("h", np.uint64), ("n", np.int32)))
+        u, inverse = np.unique(h, return_inverse=True)
+        n = np.bincount(inverse, n, len(u)).astype(np.int64)
+        return pa.table({"h": u[n > HEAVY].view(np.int64), "n": n[n > HEAVY]})
+
+    found = docs.select(text).mapInArrow(common.batched(send), "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(count, "h long, n long")
     top = found.orderBy(F.desc("n"), "h").limit(MAX_HEAVY).select("h").toPandas()
     return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
 
