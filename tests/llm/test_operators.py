@@ -333,7 +333,7 @@ def test_transducer_equals_merging(tik):
 
 
 def test_toxicity_on_held_out_labels(spark, empty):
-    docs, labels = common.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), common.read(spark, "/root/testdata/sf0.01", "labels")
+    docs, labels = common.read(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text"), common.read(spark, "/root/testdata/sf0.1", "labels")
     seen = labels.where("doc_id % 3 <> 0")
     chain = toxicity.train(docs, seen, toxicity.CATEGORIES)
     held = toxicity.score(docs, chain).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()

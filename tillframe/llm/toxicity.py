@@ -20,6 +20,8 @@ from . import common
 #: Labelled documents that the models are fitted on, at most; the least by hash of their id.
 TRAIN_DOCUMENTS = 6000
 FEATURES = 3000
+#: A word counts for a category if its shares in the two classes differ by so many deviations.
+SIGNIFICANT = 6.0
 FOLDS = 5
 
 #: ASCII that ends a word here; everything but letters, digits and bytes over 127.
@@ -87,10 +89,11 @@ def fit(hashes: list[np.ndarray], labels: np.ndarray, categories: list[str]) ->
     for k in range(m):
         y = labels[:, k] > 0
         with_ = np.bincount(word, y[of], len(words))
-        odds = (with_ + 0.5) / (y.sum() + 1) / ((df - with_ + 0.5) / (n - y.sum() + 1))
-        gain = np.abs(np.log(odds)) * np.sqrt(df) * (df >= 3)
+        ones, share = max(y.sum(), 1), df / n
+        spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / ones + 1 / max(n - ones, 1)))
+        gain = np.abs(with_ / ones - (df - with_) / max(n - ones, 1)) / spread * (df >= 3)
         top = np.argsort(-gain, kind="stable")[:FEATURES]
-        chosen[top[gain[top] > 0]] = True
+        chosen[top[gain[top] >= SIGNIFICANT]] = True
     number = np.cumsum(chosen) - 1
     keep = chosen[word] if len(word) else np.zeros(0, bool)
     of, word, words = of[keep], number[word[keep]], words[chosen]
