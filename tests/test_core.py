@@ -203,6 +203,15 @@ def test_ntiles_match_spark(spark):
     assert sg.ntiles(df, [F.asc("v"), F.asc("id")], 5, "b").exceptAll(want).count() == 0
 
 
+def test_row_numbers_beyond_the_sample_of_bounds(spark):
+    """Far more rows than range bounds are drawn from, with columns beside the order's."""
+    n = 400_000
+    df = spark.range(0, n, 1, 8).select(((F.col("id") * 7919) % n).alias("v"), F.col("id").alias("a"), F.xxhash64("id").alias("b"))
+    ranked = sg.running_over_all(df, [F.asc("v")], None, "i")
+    wrong = F.sum(F.when(F.col("i") != F.col("v") + 1, 1).otherwise(0))
+    assert ranked.agg(F.count("b"), wrong, F.sum("a"), F.min("i_total"), F.max("i_total")).first() == (n, 0, n * (n - 1) // 2, n, n)
+
+
 # ---------------------------------------------------------------- plans
 
 

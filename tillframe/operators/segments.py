@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 
 def running_over_all(df: DataFrame, order: list[Column], value: Column | None = None, name: str = "running") -> DataFrame:
     """df with the running sum of value (the row number, if none) in a total order, and <name>_total.
 
     Rows are range-partitioned, summed within partitions, and shifted by the totals before.
+    The partitioned rows are written once: read from two plans, each would draw its own bounds.
     """
     value = F.lit(1).cast("long") if value is None else value
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.withColumn("_v", value).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    parts = written(df.withColumn("_v", value).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     within = parts.withColumn("_w", F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     totals = parts.groupBy("_p").agg(F.sum("_v").alias("_t"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

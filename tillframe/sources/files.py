@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -31,6 +33,26 @@ def write_processed(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of this machine only where none is set (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        folder = tempfile.mkdtemp(prefix="tillframe-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: lineage ends here."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """A report as one CSV file; meant for results already aggregated."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
