@@ -174,6 +174,17 @@ def test_reconcile_keeps_base_and_best():
     assert pii.reconcile(base, found) == [("ip", 10, 20), ("card", 8, 10), ("phone", 0, 8)]
 
 
+def test_tagger_reads_long_forms_whole():
+    """Wherever windows begin, and however far a form goes on beside its @."""
+    tagger = pii.trained()
+    for form in ("firstname.longer.lastname [@] mailserver.long-company.com", "maria_fernandalonggonzalez [@] mail3.administrationministerio.com"):
+        for k in range(0, 90, 7):
+            for text in ("word " * 30 + form + " and more words", "w 12 " * 20 + "a" * k + " " + form + " w 12" * 20):
+                marked = [text[s:e] for _, kind, s, e in pii.tagged_spans(tagger, [text])[0] if kind == "email"]
+                assert marked == [form], (k, marked)
+    pii.tagged_spans(tagger, ["9" * 30_000, "a" * 30_000 + "@" + "b" * 3000])
+
+
 def test_pii_on_edge_cases(spark, empty):
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "é mail a.b@c.de now", "en", "s", 0), (3, "é mail a.b@c.de now", "en", "s", 0), (4, "w " * 40_000 + "1.2.3.4", "en", "s", 0)]
     df = spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit(1))

@@ -4,7 +4,8 @@ The patterns' spans always stay. The tagger, trained in numpy from labelled span
 written forms that the patterns don't know, such as telephone numbers without a country
 code. Every form it is taught holds a digit or an @, so it reads the stretches around
 those, in overlapping windows; text without them has nothing it could mark. Viterbi
-decodes each window. Spans cut by a window's edge lie whole in the next window, and the
+decodes each window. A span that touches a window's edge inside the text, and lies whole
+in no other window, gets a window of its own that grows until the span ends within it. The
 best set of spans that don't overlap, over all windows of a text and beside those of the
 patterns, is chosen by dynamic programming over the whole text.
 """
@@ -74,6 +75,8 @@ EMBED, HIDDEN = 10, 16
 WINDOW, STRIDE, CONTEXT = 80, 40, 24
 STEPS, BATCH = 240, 32
 MARGIN = 1.0
+#: Characters that are decoded at once, unless one window has more.
+CELLS = 512 * WINDOW
 
 _SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789 .,-+()@:/_%#\"'=\n"
 _NUMBER = {c: k + 3 for k, c in enumerate(_SYMBOLS)}  # 0: past the end, 1: capital, 2: other
@@ -100,8 +103,8 @@ class Tagger:
             bias[HIDDEN : 2 * HIDDEN] = 1
             self.p |= {way + "x": draw(EMBED, 4 * HIDDEN), way + "h": draw(HIDDEN, 4 * HIDDEN), way + "b": bias}
 
-    def run(self, x: np.ndarray, way: str) -> tuple[np.ndarray, list]:
-        """Hidden states (time, batch, HIDDEN) for symbols x (time, batch), with what training needs."""
+    def run(self, x: np.ndarray, way: str, keep: bool = True) -> tuple[np.ndarray, list]:
+        """Hidden states (time, batch, HIDDEN) for symbols x (time, batch), with what training needs if keep."""
         table = self.p["embed"] @ self.p[way + "x"] + self.p[way + "b"]
         n = HIDDEN
         h = c = np.zeros((x.shape[1], n), np.float32)
@@ -109,16 +112,17 @@ class Tagger:
         for t in x:
             z = table[t] + h @ self.p[way + "h"]
             i, f, o, g = _sigmoid(z[:, :n]), _sigmoid(z[:, n : 2 * n]), _sigmoid(z[:, 2 * n : 3 * n]), np.tanh(z[:, 3 * n :])
-            kept.append((i, f, o, g, c, h))
+            if keep:
+                kept.append((i, f, o, g, c, h))
             c = f * c + i * g
             h = o * np.tanh(c)
             out.append(h)
         return np.stack(out), kept
 
-    def scores(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Tag scores (time, batch, TAGS)."""
-        ahead, kept_f = self.run(x, "f")
-        back, kept_b = self.run(x[::-1], "b")
+    def scores(self, x: np.ndarray, keep: bool = True) -> tuple[np.ndarray, tuple]:
+        """Tag scores (time, batch, TAGS), with what training needs if keep."""
+        ahead, kept_f = self.run(x, "f", keep)
+        back, kept_b = self.run(x[::-1], "b", keep)
         both = np.concatenate([ahead, back[::-1]], 2)
         return both @ self.p["out"] + self.p["out_b"], (both, kept_f, kept_b)
 
@@ -127,7 +131,7 @@ class Tagger:
         best, links = u[0], []
         for t in range(1, len(u)):
             options = best[:, :, None] + self.p["next"]
-            links.append(options.argmax(1))
+            links.append(options.argmax(1).astype(np.int8))
             best = options.max(1) + u[t]
         tags = [best.argmax(1)]
         for link in reversed(links):
@@ -267,31 +271,70 @@ def plausible(kind: str, text: str) -> bool:
     return bool(_ONLY_NUMBER.fullmatch(text)) and (13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15 and len(re.findall(r"[0-9]+", text)) >= 3)
 
 
-def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[float, str, int, int]]]:
-    """For each text, the plausible spans (weight, kind, start, end) of all its windows."""
-    windows = [(n, b, min(b + WINDOW, e), e) for n, text in enumerate(texts) for s, e in stretches(text) for b in range(s, max(s + 1, e - WINDOW + STRIDE), STRIDE)]
-    out: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
-    for k in range(0, len(windows), 512):
-        some = windows[k : k + 512]
-        x = np.zeros((len(some), WINDOW), np.int64)
-        for row, (n, b, e, _) in enumerate(some):
+def decoded(tagger: Tagger, texts: list[str], windows: list[tuple[int, int, int]]):
+    """Of each window (text, start, end): its number, its tags, and its scores by character and tag."""
+    order = sorted(range(len(windows)), key=lambda k: windows[k][2] - windows[k][1])
+    while order:
+        long = windows[order[-1]][2] - windows[order[-1]][1]
+        some = [order.pop() for _ in range(min(len(order), max(1, CELLS // long)))]
+        x = np.zeros((len(some), long), np.int64)
+        for row, k in enumerate(some):
+            n, b, e = windows[k]
             x[row, : e - b] = symbols(texts[n][b:e])
-        u, _ = tagger.scores(x.T)
+        u = tagger.scores(x.T, False)[0]
         tags, u = tagger.decode(u).T, u.transpose(1, 0, 2)
-        for row, (n, b, e, last) in enumerate(some):
-            line = tags[row, : e - b]
+        for row, k in enumerate(some):
+            size = windows[k][2] - windows[k][1]
+            yield k, tags[row, :size], u[row, :size]
+
+
+def united(cut: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Parts (text, start, end), those of a text that overlap or touch made one."""
+    out: list[list[int]] = []
+    for n, s, e in sorted(cut):
+        if out and out[-1][0] == n and s <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], e)
+        else:
+            out.append([n, s, e])
+    return [(n, s, e) for n, s, e in out]
+
+
+def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[float, str, int, int]]]:
+    """For each text, the plausible spans (weight, kind, start, end), each read whole in some window."""
+    windows = [(n, b, min(b + WINDOW, e)) for n, text in enumerate(texts) for s, e in stretches(text) for b in range(s, max(s + 1, e - WINDOW + STRIDE), STRIDE)]
+    targets = windows
+    out: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
+    while windows:
+        cut, whole = [], []
+        for k, line, u in decoded(tagger, texts, windows):
+            (n, b, e), (_, low, high) = windows[k], targets[k]
             cuts = np.flatnonzero(np.diff(np.r_[-1, line, -1]))
-            for s, t in zip(cuts, cuts[1:], strict=False):
+            for s, t in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
                 tag = int(line[s])
-                if not tag or (s == 0 and b > 0 and texts[n][b - 1 : b].strip()) or (t == e - b and e < last):
+                if not tag or b + s >= high or b + t <= low:
                     continue
                 word = texts[n][b + s : b + t]
+                if (s == 0 and b > 0) or (b + t == e and e < len(texts[n])):
+                    if KINDS[tag - 1] == "email" or len(digits_of(word)) <= 19:  # with more digits it is of no kind, however far it goes
+                        cut.append((n, b + s, b + t))
+                    continue
+                whole.append((n, b + s, b + t))
                 trimmed = word.strip(" \n.,:|")
                 if plausible(KINDS[tag - 1], trimmed):
-                    start = b + int(s) + word.find(trimmed)
-                    margin = float((u[row, s:t, tag] - u[row, s:t, 0]).mean())
+                    start = b + s + word.find(trimmed)
+                    margin = float((u[s:t, tag] - u[s:t, 0]).mean())
                     if margin >= MARGIN:
                         out[n].append((margin * len(trimmed), KINDS[tag - 1], start, start + len(trimmed)))
+        targets, whole = united(cut), sorted(whole)
+        furthest: dict[tuple[int, int], int] = {}
+        high = 0
+        for k, (n, s, e) in enumerate(whole):
+            high = e if k == 0 or whole[k - 1][0] != n else max(high, e)
+            furthest[n, s] = high
+        keys = list(furthest)
+        inside = lambda n, s, e: (k := bisect_right(keys, (n, s))) > 0 and keys[k - 1][0] == n and furthest[keys[k - 1]] >= e
+        targets = [x for x in targets if not inside(*x)]
+        windows = [(n, max(0, s - max(STRIDE, e - s)), min(len(texts[n]), e + max(STRIDE, e - s))) for n, s, e in targets]
     return out
 
 
