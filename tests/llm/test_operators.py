@@ -376,6 +376,32 @@ def test_lm_scores(spark, docs, empty):
     assert len(odd) == 3 and all(r.held_out for r in odd if r.doc_id is None)
 
 
+def test_lm_scores_equal_plain_interpolation(spark, docs):
+    """Every score is the sum of logarithms at the learned weights themselves."""
+    rows = {r.doc_id: r for r in language_model.score(docs).collect()}
+    texts = {r.doc_id: words(r.text) + [None] for r in docs.collect()}
+    fold = {k: zlib.crc32(str(k).encode()) % 10 for k in texts}
+
+    def events(of, counted):
+        """(bucket of the context, bigram estimate over P1, P1) of each token of the texts of, by the counts of the texts counted."""
+        pairs = lambda t: zip([None, *t], t)  # noqa: E731, B905  a text's begin is as frequent as its end
+        one, two = Counter(w for k in counted for w in texts[k]), Counter(p for k in counted for p in pairs(texts[k]))
+        n, v = sum(one.values()), len(one)
+        p1 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+        return {k: [(sum(one[h] >= e for e in language_model.EDGES) - 1, two[h, w] / max(one[h], 1) / p1(w), p1(w)) for h, w in pairs(texts[k])] for k in of}
+
+    histogram = np.zeros((len(language_model.EDGES), language_model.BINS), np.int64)
+    for held in events([k for k in texts if fold[k] == 1], [k for k in texts if fold[k] > 1]).values():
+        for b, ratio, _ in held:
+            if b >= 0:
+                histogram[b, int((math.log2(ratio) - language_model.LOWEST) * language_model.STEPS) + 1 if ratio else 0] += 1
+    weights = language_model.interpolation_weights(histogram)
+    assert histogram.sum() > 100 and any(abs(w * 20 - round(w * 20)) > 1e-3 for w in weights)
+    for k, of in events(texts, [k for k in texts if fold[k] > 0]).items():
+        want = sum(math.log10(p1) + (math.log10(weights[b] * ratio + 1 - weights[b]) if b >= 0 else 0) for b, ratio, p1 in of)
+        assert math.isclose(rows[k].score, want, rel_tol=1e-9), k
+
+
 def test_interpolation_weights():
     """Events of a known mixture give its weight back."""
     h = np.zeros((len(language_model.EDGES), language_model.BINS), np.int64)
@@ -385,6 +411,12 @@ def test_interpolation_weights():
     assert abs(w[2] - 0.3) < 0.01 and w[0] == 0
 
 
+def test_interpolation_weights_leave_a_chance_to_new_bigrams():
+    h = np.zeros((len(language_model.EDGES), language_model.BINS), np.int64)
+    h[1, -1] = 99
+    assert abs(language_model.interpolation_weights(h)[1] - 0.99) < 1e-9
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -10,9 +10,9 @@ Documents are dealt to blocks by a hash of their id. Each block asks for the cou
 its distinct words and bigrams with one packed array per bucket of hashes; a bucket adds
 up what all blocks have and answers each in the order it asked. So counts are whole, no
 table of words is ever broadcast, and what moves is a few bytes for each distinct bigram
-of a block. The answering pass leaves, for each document and bucket, the logarithm's sum
-at every weight of a grid, and of the held-out events a histogram; the weights that the
-histogram yields, rounded to the grid, then pick the scores.
+of a block. The held-out events are a fold of the documents; these alone are read once for
+a histogram, with the counts that leave them out. The weights that the histogram yields
+then score all documents, with the counts of all training texts.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ FOLDS, HELD_OUT, DELETED = 10, 0, 1
 ALPHA = 0.1
 #: Context-frequency buckets begin at these counts; unseen contexts leave all to P1.
 EDGES = np.array([1, 4, 32, 256, 2048, 16384])
-GRID = 20
 #: The histogram's bins: log2 of (bigram estimate / P1), in steps of 1/16, and one for zero.
 BINS, LOWEST, STEPS = 640, -12, 16
 BLOCKS_PER_PARTITION = 2
@@ -58,9 +57,10 @@ def bigrams_of(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return before, common.mix(before * _WORD + tokens * _NEXT)
 
 
-def packed(docs: DataFrame, key: str, text: str, n_blocks: int) -> DataFrame:
-    """(block, ids, folds, sizes, texts): the documents of a batch and block in one row of compressed bytes."""
+def packed(docs: DataFrame, key: str, text: str, n_blocks: int, deleted: bool = False) -> DataFrame:
+    """(block, ids, folds, sizes, texts): the documents (the deleted ones alone, if asked) of a batch and block in one row of compressed bytes."""
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("block"), F.col(key).cast("long").alias("id"), F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT)).cast("int").alias("fold"), F.col(text))
+    rows = rows.where(F.col("fold") == DELETED) if deleted else rows
 
     def work(batch: pa.RecordBatch):
         block, fold = batch.column(0).to_numpy(), batch.column(2).to_numpy()
@@ -122,7 +122,7 @@ def ask(docs: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def answer(asked: DataFrame) -> DataFrame:
-    """(block, kind, bucket, fit, all, n, v, n_fit, v_fit): for each block the counts it asked for, and for block -1 the totals of a bucket's words."""
+    """(block, kind, bucket, fit, all, n, v, n_fit, v_fit): for each block the counts it asked for (fit: of what its deleted texts hold), and for block -1 the totals of a bucket's words."""
 
     def work(table: pa.Table) -> pa.Table:
         kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
@@ -136,7 +136,8 @@ def answer(asked: DataFrame) -> DataFrame:
         out = []
         for k, e, h in zip(order, ends, hs, strict=True):
             at = inverse[e - len(h) : e]
-            out.append((table.column("block")[k].as_py(), kind, bucket, fit[at].tobytes(), every[at].tobytes(), 0, 0, 0, 0))
+            deleted = np.frombuffer(table.column("deleted")[k].as_py(), np.uint32) > 0
+            out.append((table.column("block")[k].as_py(), kind, bucket, fit[at[deleted]].tobytes(), every[at].tobytes(), 0, 0, 0, 0))
         if kind == 0:
             out.append((-1, kind, bucket, None, None, int(every.sum(dtype=np.int64)), int((every > 0).sum()), int(fit.sum(dtype=np.int64)), int((fit > 0).sum())))
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4)
@@ -152,64 +153,70 @@ def _ratios(word: np.ndarray, context: np.ndarray, both: np.ndarray, n: int, v:
     return bucket, both / np.maximum(context, 1) / p1
 
 
-def evaluate(docs: DataFrame, answers: DataFrame, totals: tuple[int, int, int, int], n_buckets: int) -> DataFrame:
-    """A row per document: id, fold, n_tokens, n_known, logs, gains; and one per block with its histogram."""
-    n, v, n_fit, v_fit = totals
-    weights = np.arange(GRID) / GRID
+def _events(table: pa.Table, told: pa.Table, counts_of: str, n: int, v: int, n_buckets: int) -> tuple[np.ndarray, ...]:
+    """Of a block's documents ids, folds and token counts; of its tokens document, word count, context bucket and ratio."""
+    ids, folds, tokens, counts = _unpacked(table)
+    before, pairs = bigrams_of(tokens, counts)
+    rows = sorted(told.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+    words, both = (np.concatenate([np.frombuffer(r[counts_of], np.uint32) for r in rows if r["kind"] == kind]).astype(np.float64) for kind in (0, 1))
+    _, _, where = _distinct(tokens, n_buckets)
+    _, _, pair = _distinct(pairs, n_buckets)
+    ends = np.cumsum(counts)
+    first = np.zeros(len(tokens), bool)
+    first[ends - counts] = True
+    previous = np.r_[0, where[:-1]]
+    previous[first] = where[ends[-1] - 1]  # a text's begin is as frequent as its end
+    return ids, folds, counts, np.repeat(np.arange(len(ids)), counts), words[where], *_ratios(words[where], words[previous], both[pair], n, v)
+
+
+def held_out_histogram(deleted: DataFrame, answers: DataFrame, n: int, v: int, n_buckets: int) -> DataFrame:
+    """(histogram): of each block's deleted events, how many there are by context bucket and ratio."""
 
     def work(table: pa.Table, told: pa.Table) -> pa.Table:
-        ids, folds, tokens, counts = _unpacked(table)
-        before, pairs = bigrams_of(tokens, counts)
-        rows = sorted(told.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
-        found = {(kind, c): np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows if r["kind"] == kind]).astype(np.float64) for kind in (0, 1) for c in ("fit", "all")}
-        u, _, where = _distinct(tokens, n_buckets)
-        _, _, pair = _distinct(pairs, n_buckets)
-        ends = np.cumsum(counts)
-        first = np.zeros(len(tokens), bool)
-        first[ends - counts] = True
-        previous = np.r_[0, where[:-1]]
-        previous[first] = where[ends[-1] - 1]  # a text's begin is as frequent as its end
-        of = np.repeat(np.arange(len(ids)), counts)
-        word = found[0, "all"][where]
-        bucket, ratio = _ratios(word, found[0, "all"][previous], found[1, "all"][pair], n, v)
-        gains = np.zeros((len(ids), len(EDGES), GRID), np.float64)
-        seen = bucket >= 0
-        cell = of[seen] * len(EDGES) + bucket[seen]
-        for g in range(1, GRID):
-            gains[:, :, g] = np.bincount(cell, np.log10(weights[g] * ratio[seen] + 1 - weights[g]), len(ids) * len(EDGES)).reshape(len(ids), len(EDGES))
-        logs = np.bincount(of, np.log10(word + ALPHA), len(ids))
-        known = np.bincount(of, word > 0, len(ids)).astype(np.int64)
-        kept_out = folds[of] == DELETED
-        bucket, ratio = _ratios(found[0, "fit"][where], found[0, "fit"][previous], found[1, "fit"][pair], n_fit, v_fit)
-        kept_out &= bucket >= 0
-        bins = np.zeros(kept_out.sum(), np.int64)
-        r = ratio[kept_out]
-        some = r > 0
-        bins[some] = np.clip((np.log2(r[some]) - LOWEST) * STEPS, 0, BINS - 2).astype(np.int64) + 1
-        histogram = np.bincount(bucket[kept_out] * BINS + bins, minlength=len(EDGES) * BINS).astype(np.int64)
-        m = len(ids)
-        flat = gains.reshape(m, -1).astype(np.float32)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-        null = ids == -(2**63)
-        docs_ = pa.table([pa.array(ids, mask=null), pa.array(folds), pa.array(counts), pa.array(known), pa.array(logs), lists, pa.nulls(m, pa.binary())], names=_NAMES)
-        one = pa.table([pa.nulls(1, pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.list_(pa.float32())), pa.array([histogram.tobytes()], pa.binary())], names=_NAMES)
-        return pa.concat_tables([docs_.cast(one.schema), one])
-
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, "id long, fold int, n_tokens long, n_known long, logs double, gains array<float>, histogram binary")
-
-
-_NAMES = ["id", "fold", "n_tokens", "n_known", "logs", "gains", "histogram"]
+        total = np.zeros(len(EDGES) * BINS, np.int64)
+        if table.num_rows:
+            *_, bucket, ratio = _events(table, told, "fit", n, v, n_buckets)
+            seen = bucket >= 0
+            r = ratio[seen]
+            bins = np.zeros(len(r), np.int64)
+            some = r > 0
+            bins[some] = np.clip((np.log2(r[some]) - LOWEST) * STEPS, 0, BINS - 2).astype(np.int64) + 1
+            total += np.bincount(bucket[seen] * BINS + bins, minlength=len(total))
+        return pa.table({"histogram": pa.array([total.tobytes()], pa.binary())})
+
+    told = answers.select("block", "kind", "bucket", "fit")
+    return deleted.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(work, "histogram binary")
+
+
+def evaluate(docs: DataFrame, answers: DataFrame, weights: np.ndarray, n: int, v: int, n_buckets: int) -> DataFrame:
+    """A row per document: id, fold, n_tokens, n_known, base, score."""
+
+    def work(table: pa.Table, told: pa.Table) -> pa.Table:
+        ids, folds, counts, of, word, bucket, ratio = _events(table, told, "all", n, v, n_buckets)
+        m, seen = len(ids), bucket >= 0
+        base = np.bincount(of, np.log10(word + ALPHA), m) - counts * np.log10(n + ALPHA * (v + 1))
+        w = weights[bucket[seen]]
+        gain = np.bincount(of[seen], np.log10(w * ratio[seen] + 1 - w), m)
+        known = np.bincount(of, word > 0, m).astype(np.int64)
+        return pa.table([pa.array(ids, mask=ids == -(2**63)), pa.array(folds), pa.array(counts), pa.array(known), pa.array(base), pa.array(base + gain)], names=["id", "fold", "n_tokens", "n_known", "base", "score"])
+
+    told = answers.select("block", "kind", "bucket", "all")
+    return docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(work, "id long, fold int, n_tokens long, n_known long, base double, score double")
 
 
 def interpolation_weights(histogram: np.ndarray, rounds: int = 200) -> np.ndarray:
-    """The weight of each context bucket, by expectation-maximisation over held-out events."""
+    """The weight of each context bucket, by expectation-maximisation over held-out events.
+
+    Of n events at most n / (n + 1): a weight of 1 would give no chance to bigrams that are new.
+    """
     ratio = np.r_[0.0, 2.0 ** ((np.arange(BINS - 1) + 0.5) / STEPS + LOWEST)]
     out = np.zeros(len(EDGES))
     for b, n in enumerate(histogram.reshape(len(EDGES), BINS)):
-        weight = 0.5
+        weight, some = 0.5, n > 0
         for _ in range(rounds if n.sum() else 0):
-            weight = float((n * weight * ratio / (weight * ratio + 1 - weight)).sum() / n.sum())
-        out[b] = weight if n.sum() else 0.0
+            x = weight * ratio[some]
+            weight = float((n[some] * x / (x + 1 - weight)).sum() / n.sum())
+        out[b] = min(weight, n.sum() / (n.sum() + 1)) if n.sum() else 0.0
     return out
 
 
@@ -226,7 +233,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     answers = common.written(answer(ask(blocks, n_buckets)), "answers")
     totals = answers.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n_fit", "v_fit"))).first()
     n, v, n_fit, v_fit = (int(x) for x in totals)
-    found = common.written(evaluate(blocks, answers.where("block >= 0"), (n, v, n_fit, v_fit), n_buckets), "evaluated")
+    told = answers.where("block >= 0")
 
     def add(batches):
         total = np.zeros(len(EDGES) * BINS, np.int64)
@@ -235,12 +242,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 total += np.frombuffer(x, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["histogram"])
 
-    parts = found.where("fold = -1").select("histogram").coalesce(8).mapInArrow(add, "histogram binary").collect()
+    deleted = packed(docs, key, text, BLOCKS_PER_PARTITION * n_buckets, True)
+    found = common.written(held_out_histogram(deleted, told, n_fit, v_fit, n_buckets), "histograms")
+    parts = found.coalesce(8).mapInArrow(add, "histogram binary").collect()
     histogram = sum((np.frombuffer(bytes(r.histogram), np.int64) for r in parts), np.zeros(len(EDGES) * BINS, np.int64))
-    grid = np.clip(np.rint(interpolation_weights(histogram) * GRID), 0, GRID - 1).astype(int)
-    base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(n + ALPHA * (v + 1)))
-    gain = sum((F.element_at("gains", F.lit(int(b * GRID + g + 1))).cast("double") for b, g in enumerate(grid)), F.lit(0.0))
-    return found.where("fold >= 0").select(F.col("id").alias(key), (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (base + gain).alias("score"))
+    scored = evaluate(blocks, told, interpolation_weights(histogram), n, v, n_buckets)
+    return scored.select(F.col("id").alias(key), (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
