@@ -216,6 +216,21 @@ def test_evidence_outweighs_a_short_text(spark):
     assert r.lang == "fr" and r.confidence > 0.9
 
 
+def test_declared_language_stands_anywhere(spark, tmp_path):
+    """Behind a long comment, script or blank run; not inside one."""
+    fronts = ["", "<!-- <html lang=xx> " + "c" * 5000 + " -->", "<script>" + "x = '<html lang=xx>';" * 200 + "</script>", " \n" * 3000, "<!--[if IE]><html lang='xx'><![endif]-->"]
+    pages = [(k, "https://a.b/", f"{front}<HTML class=a lang='fr-FR'><body>la maison</body></html>") for k, front in enumerate(fronts)] + [(8, "https://a.b/", "<html><p lang=fr>"), (9, "https://a.b/", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "la maison", "fr", "s", 9)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    known, language.identify = language.identify, lambda df, *a, **k: seen.append(df.where("kind = 'page'").collect()) or known(df, *a, **k)
+    try:
+        assert language.op3_language_id(spark, str(tmp_path)).count() == len(pages) + 1
+    finally:
+        language.identify = known
+    assert {r.page_id: r.declared and r.declared.lower() for r in seen[0]} == {k: "fr" for k in range(len(fronts))} | {8: None, 9: None}
+
+
 def test_address(spark):
     df = spark.createDataFrame([("https://m.a.example.com:80/x",), ("nonsense",), (None,)], "url string")
     host, domain, suffix = language.address(F.col("url"))

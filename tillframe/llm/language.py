@@ -99,10 +99,18 @@ def text_evidence(df: DataFrame, model: TextModel, text: str) -> DataFrame:
     return df.mapInArrow(common.batched(work), common.schema_of(df, "ll array<double>, letters long", (text,)))
 
 
+def _bare(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
+
+
 def visible(html: Column) -> Column:
     """The text that a page shows: no scripts, styles, comments or tags."""
-    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", " ")
-    return F.regexp_replace(bare, r"<[^>]*>", " ")
+    return F.regexp_replace(_bare(html), r"<[^>]*>", " ")
+
+
+def declared_in(html: Column) -> Column:
+    """The language of the first html tag that declares one, wherever it stands outside scripts, styles and comments; null where there is none."""
+    return F.nullif(F.regexp_extract(_bare(html), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1), F.lit(""))
 
 
 def address(url: Column) -> tuple[Column, Column, Column]:
@@ -175,7 +183,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.read(spark, sf_dir, "pages")
     host, domain, suffix = address(F.col("url"))
     none = F.lit(None).cast("string")
-    declared = F.nullif(F.regexp_extract("html", r"(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", 1), F.lit(""))
+    declared = declared_in(F.col("html"))
     pages = pages.select(F.lit("page").alias("kind"), F.lit(None).cast("long").alias("doc_id"), "page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), declared.alias("declared"), visible(F.col("html")).alias("text"))
     rows = docs.select(F.lit("document").alias("kind"), "doc_id", F.lit(None).cast("long").alias("page_id"), F.col("source").alias("host"), none.alias("domain"), none.alias("suffix"), none.alias("declared"), "text")
     both = identify(pages.unionByName(rows), model, host=F.col("host"), domain=F.col("domain"), suffix=F.col("suffix"), declared=F.col("declared"))
