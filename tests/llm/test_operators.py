@@ -325,34 +325,69 @@ ODD = [None, "", " ", "  ", "a  b", "\n \n x", "x  　 y ", "日本語 漢字 
 
 
 def test_bpe_equals_the_library(spark, docs, empty, tik, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_STATES", 300)
-    monkeypatch.setattr(bpe, "MAX_CACHED", 20)
+    for bound, n in (("MAX_STATES", 300), ("MAX_PAIRS", 50), ("MAX_PIECES", 40), ("LONG_WORD", 20), ("TOGETHER", 256)):
+        monkeypatch.setattr(bpe, bound, n)
     common.kept.clear()
     ranks, pattern = bpe.vocabulary()
     df = docs.unionByName(spark.createDataFrame([(1000 + k, t, "x", "y", 0) for k, t in enumerate(ODD)], DOCS)).withColumn("decoded", F.lit(1))
     rows = bpe.round_trip(df.select("doc_id", "decoded", "text", F.col("text").alias("was")), ranks, pattern).collect()
     assert len(rows) == df.count()
     for r in rows:
-        assert r.ids == tik.encode_ordinary(r.was or "") and r.decoded == (r.was or "")
+        assert r.ids == tik.encode_ordinary(r.was or "") and bytes(r.decoded).decode() == (r.was or "") and r.well_formed
     two = bpe.decode(bpe.encode(df.select("doc_id", "text"), ranks, pattern), ranks, feed=1)
     assert all(r.decoded == (r.text or "") for r in two.collect())
     assert bpe.round_trip(empty, ranks, pattern).count() == 0
 
 
+ILL_FORMED = ["aé😀日".encode() * 3, b"\xff\xc3", b"\xe2\x82", b"ok\xf0\x9f\x98", b"\xc3\xa9\xa9", b"\xed\xa0\x80x", b"\xf4\x90\x80\x80", b"\xe0\x80\xaf\xc0\xaf", b"\xf0\x9f\xc3\xa9"]
+
+
 def test_utf8_machine():
-    for raw in ["aé😀日".encode() * 3, b"\xff\xc3", b"\xe2\x82", b"ok\xf0\x9f\x98", b"\xc3\xa9\xa9"]:
+    r = random.Random(2)
+    for raw in [*ILL_FORMED, *(bytes(r.choice(b"a\xc3\xa9\xe2\x82\xac\xf0\x9f\x98\x80\xed\xff") for _ in range(r.randint(1, 9))) for _ in range(500))]:
         for step in (1, 2, 3, 5):
             m = bpe.Utf8()
-            text = "".join(m.feed(raw[k : k + step]) for k in range(0, len(raw), step)) + m.close()
-            assert text == raw.decode("utf-8", "replace")
+            text = b"".join(m.feed(raw[k : k + step]) for k in range(0, len(raw), step)) + m.close()
+            assert text.decode() == raw.decode("utf-8", "replace")
+
+
+def test_decoder_streams_whole_characters(tik):
+    decoder = bpe.Decoder(bpe.vocabulary()[0])
+    for raw in [*ILL_FORMED, "naïve 日本語 漢字 😀é 🤷🏽‍♀️ ".encode() * 5]:
+        ids = np.array([tik.encode_single_token(bytes([c])) for c in raw] + tik.encode("ok 漢字 😀"))
+        for feed in (1, 2, 7, 4096):
+            parts = list(decoder.stream(ids[k : k + feed] for k in range(0, len(ids), feed)))
+            assert "".join(parts) == decoder.decode(ids).decode("utf-8", "replace")
 
 
 def test_transducer_equals_merging(tik):
     t = bpe.Transducer(bpe.vocabulary()[0])
     r = random.Random(8)
-    for _ in range(2000):
-        w = "".join(r.choice(" theandoingtion's") for _ in range(r.randint(1, 700 if r.random() < 0.02 else 14)))
-        assert t.encode(w.encode()) == [x for m in [w.encode()] for x in tik._encode_single_piece(m)]
+    words = ["".join(r.choice(" theandoingtion's") for _ in range(r.randint(1, 700 if r.random() < 0.02 else 14))).encode() for _ in range(2000)]
+    want = [tik._encode_single_piece(w) for w in words]
+    assert [t.encode(w) for w in words[:400]] == want[:400]
+    ends = np.cumsum([len(w) for w in words])
+    tokens, counts = t.encode_many(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+    assert tokens.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_tokens_leave_after_a_bounded_lookahead(tik):
+    """Long words don't wait for their end: what is held back stays within a few tokens' length."""
+    ranks = bpe.vocabulary()[0]
+    t, words, r = bpe.Transducer(ranks), {v: k for k, v in ranks.items()}, random.Random(9)
+    for word in ["".join(r.choice("aeionrtlsdc") for _ in range(1500)), "abc" * 500, "a" * 900]:
+        read = [0]
+
+        def bytes_of(word=word, read=read):
+            for c in word.encode():
+                read[0] += 1
+                yield c
+
+        left, most = 0, 0
+        for token in t.stream(bytes_of()):
+            most = max(most, read[0] - left)
+            left += len(words[token])
+        assert left == len(word) and most <= 2 * max(map(len, ranks)), most
 
 
 # ---------------------------------------------------------------- 7

@@ -120,10 +120,24 @@ class HashTable:
     """Open addressing from distinct non-zero 64-bit hashes to small numbers over 0."""
 
     def __init__(self, hashes: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(hashes)).bit_length())
+        self.size = 0
+        self._room(len(hashes), values.dtype)
+        self.add(hashes, values)
+
+    def _room(self, n: int, kind: np.dtype) -> None:
+        bits = max(4, int(2 * n).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
-        self.values = np.zeros(1 << bits, values.dtype)
+        self.values = np.zeros(1 << bits, kind)
+
+    def add(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        """Put in distinct hashes that are not there yet."""
+        if 2 * (self.size + len(hashes)) > len(self.keys):
+            held = np.flatnonzero(self.keys)
+            hashes, values = np.concatenate([self.keys[held], hashes]), np.concatenate([self.values[held], values])
+            self.size = 0
+            self._room(2 * len(hashes), values.dtype)
+        self.size += len(hashes)
         waiting, slot = np.arange(len(hashes)), hashes & self.mask
         while len(waiting):
             free = np.flatnonzero(self.keys[slot] == 0)

@@ -25,15 +25,15 @@ MAX_CACHED = 400_000
 
 #: Lead bytes of white space outside ASCII; no cut before these.
 _RARE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
-_NO_CUT = common.SPACES.copy()
-_NO_CUT[[0x1C, 0x1D, 0x1E, 0x1F, *_RARE_LEADS]] = True
+NO_CUT = common.SPACES.copy()
+NO_CUT[[0x1C, 0x1D, 0x1E, 0x1F, *_RARE_LEADS]] = True
 
 
 def pieces(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begin and end of each piece of data, which holds the texts at[0]..at[-1]."""
     cut = np.zeros(len(data) + 1, bool)
     if len(data):
-        cut[:-2] = (data[:-1] == 0x20) & ~_NO_CUT[data[1:]]
+        cut[:-2] = (data[:-1] == 0x20) & ~NO_CUT[data[1:]]
         cut[at[1:][at[1:] > 0] - 1] = False
     cut[at] = True
     places = np.flatnonzero(cut)
