@@ -51,7 +51,7 @@ def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.vocabulary()
     docs = docs.select("doc_id", "lang", "source", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha"), "text")
     found = bpe.round_trip(docs, ranks, pattern)
-    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2(F.encode("decoded", "UTF-8"), 256) == F.col("sha")).alias("round_trip"))
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"))
 
 
 STAGES = [
