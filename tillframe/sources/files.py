@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,23 +35,35 @@ def write_processed(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir. Where none is set, one of this machine in local mode; an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tillframe-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends here."""
+    """df as a table in the shared folder, read back: lineage ends here. discard() deletes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of written() that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
