@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -247,17 +248,37 @@ def test_query_matches_its_sql(spark, name):
 
 def test_decontamination_of_short_items(spark, docs, empty):
     bench = spark.createDataFrame([(1, "the QUICK brown"), (2, "a b c d e f g h i j k l"), (3, None), (4, "!!"), (5, "quick")], "item_id long, text string")
-    texts = spark.createDataFrame([(1, "see the quick, brown fox"), (2, "x a b c d e f g h i j y"), (3, None), (4, ""), (4, "quick quick")], "doc_id long, text string").withColumn("items", F.lit(1)).drop("items")
+    texts = spark.createDataFrame([(1, "see the quick, brown fox"), (2, "x a b c d e f g h i j y"), (3, None), (4, ""), (4, "quick quick")], "doc_id long, text string").withColumn("items", F.lit(1)).withColumn("hits", F.lit("x")).withColumn("key", F.lit(2)).withColumn("own", F.lit(3)).withColumn("a.b", F.lit(4)).withColumn("hash", F.lit(5))
     rows = decontamination.scan(texts, decontamination.benchmark_windows(bench)).select("doc_id", "n_words", F.sort_array(decontamination.covered(F.col("hits"))).alias("c"), "items").collect()
     got = sorted((r.doc_id, r.n_words, r.c, r["items"]) for r in rows)
     assert got == [(1, 5, [2, 3, 4], ["1", "5"]), (2, 12, list(range(2, 12)), ["2"]), (3, 0, [], []), (4, 0, [], []), (4, 2, [1, 2], ["5"])]
     scanned = decontamination.scan(texts, decontamination.benchmark_windows(bench))
+    assert sorted(scanned.columns) == sorted({*texts.columns, "n_words"} - {"text"})
+    texts = texts.drop("a.b")
     cut = {r.doc_id: r.text for r in decontamination.remove_spans(texts.where("doc_id < 3"), scanned, "doc_id").collect()}
     assert cut == {1: "see  ,  fox", 2: "x           y"}
     assert decontamination.scan(empty, decontamination.benchmark_windows(bench)).count() == 0
     assert decontamination.scan(docs, decontamination.benchmark_windows(bench.where("false"))).where(F.size("hits") > 0).count() == 0
 
 
+def test_decontamination_of_long_texts(spark, monkeypatch):
+    """Hits lie in any segment, or across two; time goes with the words."""
+    bench = spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(12))), (None, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")], "item_id long, text string")
+    windows = decontamination.benchmark_windows(bench)
+    n = 640_000
+    text = [f"w{k % 977}" for k in range(n)]
+    at = (0, decontamination.SEGMENT - 5, 5 * decontamination.SEGMENT, n - 12)
+    for a in at:
+        text[a : a + 12] = [f"b{k}" for k in range(12)]
+    texts = spark.createDataFrame([(1, " ".join(text)), (2, "x q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")], "doc_id long, text string")
+    for most in (decontamination.MAX_BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontamination, "MAX_BROADCAST_BYTES", most)
+        began = time.monotonic()
+        got = {r.doc_id: (r.n_words, sorted(h.start for h in r.hits), r["items"]) for r in decontamination.scan(texts, windows).collect()}
+        assert got == {1: (n, sorted(a + k for a in at for k in (1, 2, 3)), ["1"]), 2: (11, [2], [])}
+        assert time.monotonic() - began < 60
+
+
 # ---------------------------------------------------------------- 5
 
 

@@ -1,10 +1,11 @@
 """Benchmark decontamination with DataFrame functions alone.
 
 Benchmark texts become a set of n-word windows, normalised as the documents are; an item
-of fewer words is one window. The set is broadcast, behind a check of its size, and
+of fewer words is one window. The set is broadcast, behind a check of its bytes, and
 every document's windows are probed by hash in the pass that reads it; a hit is verified
-word by word. Documents are never shuffled: only a few numbers of each row are, to bring
-its hits together.
+word by word. A text is first divided into overlapping segments, so what a window costs
+does not depend on the length of its text. Documents are never shuffled: only a few
+numbers of each row are, to bring its hits together.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-#: Windows that are broadcast at most (about 200 bytes each); beyond, Spark joins by shuffle.
-MAX_BROADCAST_WINDOWS = 200_000
+#: Words of a segment, besides those it shares with the next.
+SEGMENT = 1024
+#: The windows with their items are broadcast up to so many bytes; beyond, Spark joins by shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
 
 #: Fixed values.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,52 +31,55 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
 
 
-def _starts(n: Column, size: int) -> Column:
-    """1, 2, ... for each window of so many words among n."""
-    return F.when(n >= size, F.sequence(F.lit(1), n - F.lit(size - 1))).otherwise(F.array().cast("array<int>"))
-
-
-def _window_hashes(n: Column, size: int) -> Column:
-    return F.transform(_starts(n, size), lambda i: F.xxhash64(F.slice("w", i, F.lit(size))))
-
-
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
-    """One row per distinct window: hash, size, gram array<string>, items array<string>."""
-    w = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w"))
+    """One row per distinct window: hash, size, gram array<string>, items array<string>.
+
+    Items without words have no window. Windows of an item with a null id count as hits
+    and add nothing to items; repeated items count once.
+    """
+    w = benchmark.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w"))
     w = w.withColumn("size", F.least(F.size("w"), F.lit(window))).where("size > 0")
     grams = w.select("item", "size", F.explode(F.expr("transform(sequence(1, size(w) - size + 1), i -> slice(w, i, size))")).alias("gram"))
     return grams.groupBy("gram", "size").agg(F.collect_set("item").alias("items")).withColumn("hash", F.xxhash64("gram"))
 
 
+def _grams(size: int) -> Column:
+    """The windows of so many words of a segment s, by their start in the text."""
+    n = F.size("s.w") - F.lit(size - 1)
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.least(n, F.lit(SEGMENT)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct((F.col("s.before") + i).alias("start"), F.slice("s.w", i, F.lit(size)).alias("gram")))
+
+
 def scan(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, with n_words, hits (array of struct<start,size>) and items.
 
     hits holds the windows that occur, start counted in words from 1; items the ids of
     the benchmark items they belong to, as sorted strings. Null and empty texts have no
-    words; rows are judged one by one, so repeated rows and keys stay as they are.
+    words; rows are judged one by one, so repeated rows and keys stay as they are;
+    columns of the new names are replaced, whatever the others are called. An empty
+    table, or one without windows, gives no hits.
     """
     windows = common.written(windows, "windows")
-    found = windows.agg(F.count(F.lit(1)), F.sort_array(F.collect_set("size"))).first()
-    sizes = found[1] or [WINDOW]
-    if found[0] <= MAX_BROADCAST_WINDOWS:
+    n_bytes = F.sum(F.size("gram") * 16 + F.octet_length(F.array_join("gram", "")) + 64 + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16))
+    total, sizes = windows.agg(n_bytes, F.sort_array(F.collect_set("size"))).first()
+    sizes = sizes or [WINDOW]
+    if (total or 0) <= MAX_BROADCAST_BYTES:
         windows = F.broadcast(windows)
-    kept = [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*kept, F.monotonically_increasing_id().alias("row")).alias("key"), words(F.col(text)).alias("w"))
-    rows = rows.withColumn("n_words", F.size("w"))
-    n = F.col("n_words")
-    grams = [_window_hashes(n, m) for m in sizes]
-    rows = rows.select("key", "w", "n_words", F.posexplode_outer(F.concat(*grams)).alias("pos", "hash"))
-    before = F.lit(0)
-    for k, m in reversed(list(enumerate(sizes))):
-        skipped = sum((F.greatest(n - F.lit(x - 1), F.lit(0)) for x in sizes[:k]), F.lit(0))
-        before = F.when(F.col("g.size") == m, skipped).otherwise(before)
-    start = F.col("pos") - before + 1
-    joined = rows.alias("d").join(windows.alias("g"), F.col("d.hash") == F.col("g.hash"), "left")
-    same = F.coalesce((start > 0) & (F.slice("w", F.greatest(start, F.lit(1)), F.col("g.size")) == F.col("gram")), F.lit(False))
-    hits = joined.select("key", "n_words", "pos", F.when(same, F.struct(start.alias("start"), F.col("g.size").alias("size"))).alias("hit"), F.when(same, F.col("items")).alias("items"))
-    hits = hits.where("hit is not null or pos is null or pos = 0")
-    found = hits.groupBy("key.row").agg(F.first("key").alias("key"), F.first("n_words").cast("long").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select(*(f"key.{c}" for c in kept), "n_words", "hits", "items")
+    kept = [c for c in docs.columns if c not in (text, "n_words", "hits", "items")]
+    row = F.struct(F.struct(*(F.col(f"`{c}`") for c in kept), F.lit(0).alias("_")).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    rows = docs.select(row.alias("key"), words(F.col(f"`{text}`")).alias("w"))
+    begins = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1, F.lit(SEGMENT))).otherwise(F.array(F.lit(0)))
+    # a segment: the words before it, and its own with those that its last windows go on into
+    segments = F.transform(begins, lambda b: F.struct(b.alias("before"), F.slice("w", b + 1, F.lit(SEGMENT + max(sizes) - 1)).alias("w")))
+    rows = rows.select("key", F.size("w").cast("long").alias("n_words"), F.explode(segments).alias("s"))
+    grams = F.concat(*(_grams(m) for m in sizes))
+    rows = rows.select("key", "n_words", (F.col("s.before") == 0).alias("first"), F.posexplode_outer(grams).alias("pos", "own"))
+    rows = rows.select("key", "n_words", (F.col("first") & (F.coalesce("pos", F.lit(0)) == 0)).alias("first"), "own", F.xxhash64("own.gram").alias("hash"))
+    same = F.coalesce(F.col("own.gram") == F.col("gram"), F.lit(False))
+    joined = rows.join(windows, "hash", "left").where(same | F.col("first"))
+    hits = joined.select("key", "n_words", F.when(same, F.struct(F.col("own.start"), F.col("size"))).alias("hit"), F.when(same, F.col("items")).alias("items"))
+    found = hits.groupBy("key.row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.select(*(F.col("key.kept")[c].alias(c) for c in kept), "n_words", "hits", "items")
 
 
 def covered(hits: Column) -> Column:
@@ -122,7 +128,7 @@ p as (
   from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) i from d, (select distinct m from g) where len(w) >= m)),
 h as (select doc_id, item_id, i, p.m m from p join g on p.gram = g.gram and p.m = g.m),
 c as (select doc_id, count(distinct k) n_hit from (select doc_id, unnest(range(i, i + m)) k from h) group by doc_id),
-t as (select doc_id, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, cast(item_id as varchar) item from h) group by doc_id)
+t as (select doc_id, count(item) n_items, string_agg(item, ',' order by item) items from (select distinct doc_id, cast(item_id as varchar) item from h) group by doc_id)
 select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items,
   sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join c on d.doc_id = c.doc_id left join t on d.doc_id = t.doc_id
