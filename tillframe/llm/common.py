@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import shared_folder, written  # noqa: F401
+from ..sources.files import discard, shared_folder, written  # noqa: F401
 
 CHUNK_BYTES = 1 << 20
 
@@ -25,6 +25,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows, of a few numbers each, that are broadcast at most: some 64 MB.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, to be joined: broadcast behind a count of its rows, else the built side of a shuffled join."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table.hint("shuffle_hash")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -202,7 +211,7 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
     """(node, component_id) of every node of edges: component_id is the least node it reaches.
 
     Alternating large-star and small-star steps, each an aggregation and a join on the
-    node; every round is written to the shared folder. Edges with a null end or equal
+    node; every round is written to the shared folder, where it replaces the last. Edges with a null end or equal
     ends are left out, repeated edges count once. No link leaves the executors: the
     driver sees one count and one checksum a round.
     """
@@ -214,8 +223,9 @@ def components(edges: DataFrame, a: str, b: str, name: str = "components") -> Da
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        links = written(small, name)
+        small_ = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        before, links = links, written(small_, name)
+        discard(before)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

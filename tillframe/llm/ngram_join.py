@@ -69,13 +69,23 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes.append(common.mix(h))
         owners.append(short)
     h, of = np.concatenate(hashes), np.concatenate(owners)
-    order = np.lexsort((h, of))
+    order = by_text(h, of)
     h, of = h[order], of[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
     return of[new], h[new]
 
 
+def by_text(h: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The order of hashes by text number and then value: one sort of packed keys, and a second only where their top bits tie."""
+    if not len(of) or int(of.max()) >= 1 << 20:
+        return np.lexsort((h, of))
+    packed = of.astype(np.uint64) << np.uint64(44) | h >> np.uint64(20)
+    order = np.argsort(packed)
+    packed, sorted_ = packed[order], h[order]
+    return np.lexsort((h, of)) if ((packed[1:] == packed[:-1]) & (sorted_[1:] != sorted_[:-1])).any() else order
+
+
 def sizes_and_prints(of: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """Size and 64-bit fingerprint of each text's set."""
     size = np.bincount(of, minlength=n_texts)
@@ -88,12 +98,11 @@ def sizes_and_prints(of: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.nd
 
 def _ordered(of: np.ndarray, h: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same pairs with the heavy n-grams of each text last; heavy: sorted hashes."""
-    if len(heavy) and len(h):
-        at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
-        late = heavy[at] == h
-    else:
-        late = np.zeros(len(h), bool)
-    order = np.lexsort((h, late, of))
+    if not len(heavy) or not len(h):
+        return of, h, np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
+    late = heavy[at] == h
+    order = np.argsort(of << 1 | late, kind="stable")
     return of[order], h[order], late[order]
 
 
@@ -350,10 +359,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     nodes = rows.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "light", "last")))
     families = common.components(candidate_links(docs, text, heavy, nodes), "a", "b", "families")
     nodes = nodes.select("fp", "rep")
-    families = common.written(families.select(F.col("node").alias("fp"), F.col("component_id").alias("family")).join(nodes, "fp"), "members")
+    families = common.written(families.select(F.col("node").alias("fp"), F.col("component_id").alias("family")).join(nodes, "fp"), "families")
     large = families.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > TILE)
     large = large.select("family", F.ceil(F.col("size") / (TILE / 2)).cast("int").alias("blocks"))
-    wanted = families.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    wanted = common.written(families.join(large, "family", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), "members")
     shared = spark.sparkContext.broadcast(heavy)
 
     def whole_sets(batch: pa.RecordBatch):
@@ -368,7 +377,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             blobs = pa.array([raw[ends[k] - 8 * size[k] : ends[k]] for k in keep], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)).take(pa.array(keep + i)) for c in ("rep", "fp", "family", "blocks")), blobs], names=["rep", "fp", "family", "blocks", "tokens"])
 
-    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text)).join(wanted, "rep").select("rep", "fp", "family", "blocks", text)
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text)).join(common.small(wanted), "rep").select("rep", "fp", "family", "blocks", text)
     members = texts.mapInArrow(common.batched(whole_sets), "rep long, fp long, family long, blocks int, tokens binary")
     members = members.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
