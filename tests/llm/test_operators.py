@@ -217,6 +217,37 @@ def test_evidence_outweighs_a_short_text(spark):
     assert r.lang == "fr" and r.confidence > 0.9
 
 
+def test_language_fusion_equals_plain_bayes(spark):
+    """The posterior of every row from its likelihoods and the other rows' counts."""
+    docs = common.read(spark, SF, "documents").select("doc_id", "text", "source", "lang")
+    model = language.train(docs)
+    r = random.Random(12)
+    texts = [x.text for x in docs.orderBy("doc_id").collect()]
+    rows = [(k, (t[: r.randint(0, 30)] if k % 3 else t), r.choice(["a.de", "b.de", "c.fr", None]), r.choice(["de", "fr", None]), r.choice(["de", "xx", None])) for k, t in enumerate(texts)] + [(900, None, "a.de", "de", "de"), (901, "", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string, suffix string, said string")
+    seen = {x.doc_id: x for x in language.text_evidence(df, model, "text").collect()}
+    names = model.languages
+    vote = {k: int(np.argmax(x.ll)) if x.letters else None for k, x in seen.items()}
+    total = np.array([sum(v == n for v in vote.values()) + 1.0 for n in range(len(names))])
+    for keep in (False, True):
+        got = {x.doc_id: x for x in language.identify(df, model, host=F.col("host"), suffix=F.col("suffix"), declared=F.col("said"), keep_text=keep).collect()}
+        assert len(got) == len(rows) and all(("text" in x.asDict()) == keep for x in got.values())
+        for k, _, *stated in rows:
+            own = np.array([float(vote[k] == n) for n in range(len(names))])
+            count = lambda c, v, own=own: np.array([sum(x[c] == v and vote[x[0]] == n for x in rows) for n in range(len(names))], float) - own
+            p = total / total.sum()
+            for c in (3, 2):
+                n = count(c, stated[c - 2]) if stated[c - 2] else np.zeros(len(names))
+                p = (n + language.LEAN * p) / (n.sum() + language.LEAN)
+            score = np.array(seen[k].ll) + np.log(p)
+            if stated[2]:
+                score += np.log((count(4, stated[2]) + 1) / (total - own + 1))
+            posterior = np.exp(score - score.max())
+            posterior /= posterior.sum()
+            assert got[k].lang == names[int(np.argmax(score))] and math.isclose(got[k].confidence, posterior.max(), rel_tol=1e-9)
+            assert got[k].rejected == (seen[k].letters == 0 or posterior.max() < language.MIN_CONFIDENCE)
+
+
 def test_declared_language_stands_anywhere(spark, tmp_path):
     """Behind a long comment, script or blank run; not inside one."""
     fronts = ["", "<!-- <html lang=xx> " + "c" * 5000 + " -->", "<script>" + "x = '<html lang=xx>';" * 200 + "</script>", " \n" * 3000, "<!--[if IE]><html lang='xx'><![endif]-->"]

@@ -32,6 +32,14 @@ def test_language_keeps_clean_documents(stages):
     assert len(stages["language_id"]) == len(stages["documents"])
 
 
+def test_language_rejects_what_it_cannot_tell(spark):
+    docs = common.read(spark, SF, "documents")
+    odd = [(None, None, None, "s", 0), (7, "", None, "s", 0), (7, "12 34 -- 56", "en", "s", 0), (None, "el la de los que", None, None, 9)]
+    rows = cp.language_id(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), SF).collect()
+    kept = [r for r in rows if r.doc_id is None or r.text == ""]
+    assert [(r.text, r.lang) for r in kept] == [("el la de los que", "es")] and len(rows) == docs.count() + 1
+
+
 def test_one_of_each_group_stays(stages):
     rows = sorted(stages["language_id"], key=lambda r: r.doc_id)
     classes = plain_classes([r.text for r in rows])

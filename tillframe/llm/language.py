@@ -64,7 +64,7 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", key: str
         names = sorted(found)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[x].astype(np.int64).tobytes() for x in names], pa.binary())], names=["language", "counts"])
 
-    rows = docs.where(F.col(key).isin(ids)).select(language, text).coalesce(4).mapInArrow(count, "language string, counts binary").collect() if ids else []
+    rows = docs.where(F.col(key).isin(ids)).select(language, text).repartition(4).mapInArrow(count, "language string, counts binary").collect() if ids else []
     total: dict[str, np.ndarray] = {}
     for r in rows:
         total[r.language] = total.get(r.language, 0) + np.frombuffer(r.counts, np.int64)
@@ -73,10 +73,10 @@ def train(docs: DataFrame, text: str = "text", language: str = "lang", key: str
     return TextModel(names or ["und"], np.log(counts / counts.sum(0)).astype(np.float32))
 
 
-def text_evidence(df: DataFrame, model: TextModel, text: str) -> DataFrame:
-    """df without its text, with ll array<double> (log likelihood by language, the highest 0) and letters long."""
+def text_evidence(df: DataFrame, model: TextModel, text: str, keep_text: bool = False) -> DataFrame:
+    """df, without its text unless keep_text, with ll array<double> (log likelihood by language, the highest 0) and letters long."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    kept = [f.name for f in df.schema.fields if f.name != text]
+    kept = [f.name for f in df.schema.fields if keep_text or f.name != text]
 
     def work(batch: pa.RecordBatch):
         table = shared.value.table
@@ -96,7 +96,7 @@ def text_evidence(df: DataFrame, model: TextModel, text: str) -> DataFrame:
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, ll.size + 1, ll.shape[1], dtype=np.int32)), pa.array(ll.ravel()))
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), lists, pa.array(letters)], names=[*kept, "ll", "letters"])
 
-    return df.mapInArrow(common.batched(work), common.schema_of(df, "ll array<double>, letters long", (text,)))
+    return df.mapInArrow(common.batched(work), common.schema_of(df, "ll array<double>, letters long", () if keep_text else (text,)))
 
 
 def _bare(html: Column) -> Column:
@@ -119,61 +119,59 @@ def address(url: Column) -> tuple[Column, Column, Column]:
     return host, F.regexp_extract(host, r"([^.]+\.)?[^.]+$", 0), F.regexp_extract(host, r"[^.]+$", 0)
 
 
-def _counts(df: DataFrame, keys: list[str], languages: list[str], name: str) -> DataFrame:
+def _counts(df: DataFrame, key: str, languages: list[str], name: str) -> DataFrame:
+    """(key, name): how many rows of each key suggest each language by their texts."""
     sums = F.array(*(F.sum(F.when(F.col("by_text") == x, 1.0).otherwise(0.0)) for x in languages))
-    return df.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(sums.alias(name))
+    return common.small(common.written(df.where(F.col(key).isNotNull()).groupBy(key).agg(sums.alias(name)), name))
 
 
-def identify(df: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None) -> DataFrame:
-    """df without its text, with lang, confidence, letters, lang_by_text and rejected.
+def identify(df: DataFrame, model: TextModel, text: str = "text", host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, declared: Column | None = None, keep_text: bool = False) -> DataFrame:
+    """df, without its text unless keep_text, with lang, confidence, letters, lang_by_text and rejected.
 
     Evidence that is not given, or null, says nothing; null and empty texts have no text
-    evidence. A row is rejected if its text has no letter, or the most likely language's
-    posterior is below MIN_CONFIDENCE. Ties go to the first language by name. Columns of
-    the new names are replaced; repeated rows stay repeated.
+    evidence. What a row's own text suggests is left out of the counts that judge it. A
+    row is rejected if its text has no letter, or the most likely language's posterior is
+    below MIN_CONFIDENCE. Ties go to the first language by name. Columns of the new names
+    are replaced; repeated rows stay repeated; an empty table gives an empty table.
     """
     names = ("ll", "letters", "by_text", "lang", "confidence", "lang_by_text", "rejected")
     none = F.lit(None).cast("string")
-    df = df.drop(*names)
     given = {"host_": host, "domain_": domain, "suffix_": suffix, "declared_": declared}
-    df = df.select("*", *((none if c is None else F.lower(c)).alias(k) for k, c in given.items()))
+    df = df.select("*", *((none if c is None else F.lower(c)).alias(k) for k, c in given.items())).drop(*names)
     languages = model.languages
     zeros = F.array(*(F.lit(0.0) for _ in languages))
     best = lambda c: F.element_at(F.array(*(F.lit(x) for x in languages)), F.array_position(c, F.array_max(c)).cast("int"))
-    rows = text_evidence(df, model, text).withColumn("by_text", F.when(F.col("letters") > 0, best(F.col("ll"))))
-    rows = common.written(rows, "language")
-    total = rows.where("by_text is not null").agg(*(F.sum(F.when(F.col("by_text") == x, 1.0).otherwise(0.0)) for x in languages)).first()
+    judged = lambda e: e.withColumn("by_text", F.when(F.col("letters") > 0, best(F.col("ll"))))
+    seen = common.written(judged(text_evidence(df.select(*given, text) if keep_text else df, model, text)), "language")
+    rows = judged(text_evidence(df, model, text, True)) if keep_text else seen
+    total = seen.where("by_text is not null").agg(*(F.sum(F.when(F.col("by_text") == x, 1.0).otherwise(0.0)) for x in languages)).first()
     total = [float(x or 0) + 1.0 for x in total]
     share = F.array(*(F.lit(x / sum(total)) for x in total))
+    own = F.array(*(F.when(F.col("by_text") == x, 1.0).otherwise(0.0) for x in languages))
+    others = lambda name: F.zip_with(F.coalesce(name, zeros), F.when(F.col(name).isNull(), zeros).otherwise(own), lambda n, o: n - o)
 
-    def leaning(own: str, above: Column) -> Column:
-        """Counts of a level, leaning on the shares of the level above."""
-        own_ = F.coalesce(F.col(own), zeros)
-        n = F.aggregate(own_, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(own_, above, lambda x, a: (x + LEAN * a) / (n + LEAN))
-
-    if suffix is not None:
-        rows = rows.join(_counts(rows, ["suffix_"], languages, "n_suffix"), "suffix_", "left")
-    if domain is not None:
-        rows = rows.join(_counts(rows, ["domain_"], languages, "n_domain"), "domain_", "left")
-    if host is not None:
-        rows = rows.join(_counts(rows, ["host_"], languages, "n_host"), "host_", "left")
-    if declared is not None:
-        rows = rows.join(_counts(rows, ["declared_"], languages, "n_declared"), "declared_", "left")
+    def leaning(name: str, above: Column) -> Column:
+        """Counts of a level without the row's own, leaning on the shares of the level above."""
+        n = F.aggregate(others(name), F.lit(0.0), lambda a, x: a + x)
+        return F.zip_with(others(name), above, lambda x, a: (x + LEAN * a) / (n + LEAN))
+
+    for key, name, c in (("suffix_", "n_suffix", suffix), ("domain_", "n_domain", domain), ("host_", "n_host", host), ("declared_", "n_declared", declared)):
+        if c is not None:
+            rows = rows.join(_counts(seen, key, languages, name), key, "left")
     prior = share
     for level in ("n_suffix", "n_domain", "n_host"):
         if level in rows.columns:
             prior = leaning(level, prior)
     score = F.zip_with("ll", prior, lambda a, p: a + F.log(p))
     if declared is not None:  # how likely the declaration is in each language
-        said = F.zip_with(F.coalesce("n_declared", zeros), F.array(*(F.lit(x) for x in total)), lambda n, t: F.log((n + 1.0) / (t + 1.0)))
+        said = F.zip_with(others("n_declared"), F.zip_with(F.array(*(F.lit(x) for x in total)), own, lambda t, o: t - o), lambda n, t: F.log((n + 1.0) / (t + 1.0)))
         score = F.when(F.col("n_declared").isNull(), score).otherwise(F.zip_with(score, said, lambda a, b: a + b))
     rows = rows.withColumn("score_", score).withColumn("top_", F.array_max("score_"))
     rows = rows.withColumn("confidence", 1 / F.aggregate(F.transform("score_", lambda x: F.exp(x - F.col("top_"))), F.lit(0.0), lambda a, x: a + x))
     rows = rows.withColumn("lang", best(F.col("score_"))).withColumn("lang_by_text", F.col("by_text"))
     rows = rows.withColumn("rejected", (F.col("letters") == 0) | (F.col("confidence") < MIN_CONFIDENCE))
-    drop = {text, "ll", "letters"}
-    return rows.select(*(c for c in df.columns if c not in drop and c not in given), "lang", "confidence", "letters", "lang_by_text", "rejected")
+    drop = {*given, *((), (text,))[not keep_text]}
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns if c not in drop), "lang", "confidence", "letters", "lang_by_text", "rejected")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

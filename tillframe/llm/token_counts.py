@@ -72,7 +72,7 @@ def frequent_pieces(df: DataFrame, text: str, key: str, spec: str) -> common.Has
 
     total: Counter = Counter()
     if ids:
-        for piece, n in df.where(F.col(key).isin(ids)).select(text).coalesce(1).mapInArrow(count, "piece binary, n long").collect():
+        for piece, n in df.where(F.col(key).isin(ids)).select(text).repartition(4).mapInArrow(count, "piece binary, n long").collect():
             total[bytes(piece)] += n
     top = [p for p, _ in total.most_common(TABLE_ENTRIES)]
     tokenizer = tokenizer_of(spec)
