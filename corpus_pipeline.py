@@ -13,41 +13,50 @@ from tillframe.llm import bpe, common, decontamination, language, ngram_join, pi
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is among ids; rows with a null doc_id stay.
+    """docs without the rows whose doc_id is among ids.
 
-    The ids are written first: so Spark knows their size, and broadcasts few of them
-    where it would otherwise deal out all texts.
+    The ids are written first and counted, so Spark broadcasts them up to a bound, and
+    deals out texts beyond it alone.
     """
-    return docs.join(common.written(ids.select("doc_id").distinct(), "left_out"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(common.small(common.written(ids.select("doc_id").distinct(), "left_out")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: text likelihood and the prior of their source."""
+    """Documents whose language can be told, by text likelihood and the prior of their source.
+
+    Judged row by row in one pass over the texts, so null and repeated ids stay apart. A
+    document that states no language gets the one found; null and empty texts are rejected.
+    """
     model = language.train(docs.select("doc_id", "text", "lang"))
-    found = language.identify(docs.select("doc_id", "source", "text"), model, host=F.col("source"))
-    return _without(docs, found.where("rejected"))
+    stated = docs.withColumnRenamed("lang", "stated")
+    found = language.identify(stated, model, host=F.col("source"), keep_text=True).where("not rejected")
+    return found.withColumn("lang", F.coalesce("stated", "lang")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id."""
+    """Of each group of near-duplicates the document with the least id.
+
+    Rows of one id are one document; a row without an id stands for itself and stays.
+    Texts without words are like no other, so they stay.
+    """
     return _without(docs, ngram_join.join(docs).where("component_id <> doc_id"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts have none."""
     windows = decontamination.benchmark_windows(common.read(spark, sf_dir, "benchmark"))
     scanned = decontamination.scan(docs.select("doc_id", "text"), windows)
     return _without(docs, scanned.where(F.size("hits") > 0))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by the name of its kind."""
+    """All documents, personal data replaced by the name of its kind; null texts stay null."""
     clean = pii.masked(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of all documents, and whether they decode to the text they came from."""
+    """The tokens of all documents, and whether they decode to the text they came from; null and empty texts have none."""
     ranks, pattern = bpe.vocabulary()
     docs = docs.select("doc_id", "lang", "source", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha"), "text")
     found = bpe.round_trip(docs, ranks, pattern)
