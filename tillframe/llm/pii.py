@@ -1,18 +1,21 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with a CRF.
 
 The patterns' spans always stay. The tagger, trained in numpy from labelled spans, adds
-written forms that the patterns don't know, such as telephone numbers without a country
-code. Every form it is taught holds a digit or an @, so it reads the stretches around
-those, in overlapping windows; text without them has nothing it could mark. Viterbi
-decodes each window. A span that touches a window's edge inside the text, and lies whole
-in no other window, gets a window of its own that grows until the span ends within it. The
-best set of spans that don't overlap, over all windows of a text and beside those of the
-patterns, is chosen by dynamic programming over the whole text.
+what the patterns don't know: other written forms of the same kinds, such as telephone
+numbers without a country code, and secrets, such as passwords and access keys. A screen,
+counted from the same labelled texts, reads every character of every text: it passes over
+stretches in which all trigrams of character classes belong to prose alone. All else is
+tagged in overlapping windows, and Viterbi decodes each. A span that touches a window's
+edge inside the text, and lies whole in no other window, gets a window of its own that
+grows until the span ends within it. The best set of spans that don't overlap, over all
+windows of a text and beside those of the patterns, is chosen by dynamic programming over
+the whole text.
 """
 
 from __future__ import annotations
 
 import functools
+import random
 import re
 from bisect import bisect_right
 
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the tagger marks: the same, and what has no pattern.
+TAGGED = (*KINDS, "secret")
 
 # ---------------------------------------------------------------- patterns
 
@@ -70,10 +75,10 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
 
 # ---------------------------------------------------------------- the tagger
 
-TAGS = 1 + len(KINDS)  # 0: none
-EMBED, HIDDEN = 10, 16
+TAGS = 1 + len(TAGGED)  # 0: none
+EMBED, HIDDEN = 12, 20
 WINDOW, STRIDE, CONTEXT = 80, 40, 24
-STEPS, BATCH = 240, 32
+STEPS, BATCH = 450, 32
 MARGIN = 1.0
 #: Characters that are decoded at once, unless one window has more.
 CELLS = 512 * WINDOW
@@ -184,61 +189,122 @@ class Tagger:
         return g
 
 
-def labelled_windows(r: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """n windows of made text with labelled spans (symbols and tags, time by batch)."""
-    digit = lambda k: "".join(map(str, r.integers(0, 10, k)))
-    letters = np.array(list("etaoinshrdlucmfwypvbgkjqxzéèüñ"))
-    word = lambda: "".join(r.choice(letters[: int(r.integers(8, 30))], int(r.integers(1, 11))))
-    pick = lambda *x: x[int(r.integers(len(x)))]
+def labelled_texts(r: random.Random, n: int) -> list[tuple[str, list[int]]]:
+    """n made texts of at least a window, with the tag of each character."""
+    digits, hexadecimal, upper = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    letters = "etaoinshrdlucmfwypvbgkjqxzéèüñ"
+    some = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
+    digit = lambda k: some(digits, k)
+    word = lambda: some(letters[: r.randrange(8, 30)], r.randrange(1, 11))
+    pick = lambda *x: r.choice(x)
 
     def email():
-        name = word() + pick("", ".", "_", "-") + word() + pick("", digit(2))
+        name = word() + pick("", ".", "_", "-") + word() + pick("", digit(2), "." + digit(2))
         host = pick(word() + "." + word(), "mail" + digit(1) + "." + word() + ".com", word() + ".org")
         return name + pick("@", "@", " @ ", "(@)", " [@] ") + host
 
     def ip():
-        parts = [str(int(k)) for k in r.integers(0, 256, 4)]
+        parts = [str(r.randrange(256)) for _ in range(4)]
         return pick(".", ".", " . ", "[.]").join(parts)
 
     def card():
-        d = digit(int(pick(15, 16, 16)))
+        d = digit(pick(15, 16, 16))
         return pick(d, *(s.join(d[k : k + 4] for k in range(0, len(d), 4)) for s in (" ", "-", ".", "/")))
 
     def phone():
         a, b, c = digit(3), digit(3), digit(4)
-        return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digit(2)} {digit(3)} {digit(7)}", f"00{digit(2)} {a} {b}{c}", f"({a}) {b} {c}")
+        return pick(f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digit(2)} {digit(3)} {digit(7)}", f"00{digit(2)} {a} {b}{c}", f"({a}) {b} {c}")
+
+    def secret():
+        """What leads to a secret, the secret, and what closes it."""
+        name = pick("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_token", "pwd", "key")
+        value = pick(some(hexadecimal, r.randrange(16, 44)), some(hexadecimal, 40), some(hexadecimal, 18), some(upper + "abcdefghijklmnopqrstuvwxyz", r.randrange(16, 36)))
+        quote = pick("", '"', "'")
+        if r.random() < 0.3:
+            return "", pick("AKIA", "AKIA", "ASIA") + some(upper, 7) + digit(1) + some(upper, 8), ""
+        return name + pick("=", "=", " = ", ": ", ":") + quote, value, quote
 
     def other():
-        return pick(digit(int(r.integers(1, 7))), f"{digit(1)}.{digit(1)}", f"version {digit(1)}.{digit(1)}.{digit(2)}", f"20{digit(2)}-0{digit(1)}-1{digit(1)}", f"{digit(2)}/{digit(2)}/20{digit(2)}", f"${digit(3)}.{digit(2)}", "".join(r.choice(list("0123456789abcdef"), 40)), f"#{digit(8)}", f"{digit(2)}:{digit(2)}", f"@{word()}", f"id={digit(10)}{word()}", f"{digit(1)},{digit(3)},{digit(3)}")
+        return pick(digit(r.randrange(1, 7)), f"{digit(1)}.{digit(1)}", f"version {digit(1)}.{digit(1)}.{digit(2)}", f"20{digit(2)}-0{digit(1)}-1{digit(1)}", f"{digit(2)}/{digit(2)}/20{digit(2)}", f"${digit(3)}.{digit(2)}", "commit " + some(hexadecimal, 40), f"#{digit(8)}", f"{digit(2)}:{digit(2)}", f"@{word()}", f"id={digit(10)}{word()}", f"{digit(1)},{digit(3)},{digit(3)}", f"{word()}={word()}", f'{word()} = "{word()}"', word().upper() + word().upper(), some("*&#$%|", r.randrange(1, 9)), word() + pick("", ".", ",") + some("*&#$%|", r.randrange(1, 5)), word() + some(".,;!?", r.randrange(2, 5)) + pick("", word()), f"{word()}-{digit(2)}")
 
-    x, y = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
-    for row in range(n):
+    def prose():
+        return pick(word(), word(), word(), word().capitalize(), word() + pick(",", ".", ".\n", ";", ":", "!", "?"), f"({word()})", f"{word()}-{word()}", f"{word()}'{word()}", f'"{word()}"', "| " + word())
+
+    out = []
+    for _ in range(n):
         text, tags = "", []
-        while len(text) < WINDOW:
-            k = int(r.integers(0, 14))
-            part = (email, ip, card, phone)[k]() if k < 4 else other() if k < 7 else word()
-            if r.random() < 0.1:
-                part = part.upper() if k >= 4 else part
-            text += part
-            tags += [k + 1 if k < 4 else 0] * len(part)
-            gap = pick(" ", " ", " ", ", ", ". ", ".\n", " | ", ": ")
+        while len(text) < WINDOW + 12:
+            k = r.randrange(16)
+            if k == 4:
+                before, part, after = secret()
+                text, tags = text + before, tags + [0] * len(before)
+            else:
+                part, after = ((email, ip, card, phone)[k]() if k < 4 else other() if k < 8 else prose()), ""
+            part = part.upper() if k >= 5 and r.random() < 0.05 else part
+            text += part + after
+            tags += [k + 1 if k < 5 else 0] * len(part) + [0] * len(after)
+            gap = pick(" ", " ", " ", " ", ", ", ". ", ".\n", "\n", " | ", ": ")
             text += gap
             tags += [0] * len(gap)
-        skip, end = int(r.integers(0, 12)), WINDOW if r.random() < 0.5 else int(r.integers(20, WINDOW))
-        n_kept = len(symbols(text)[skip : skip + end])
-        x[row, :n_kept], y[row, :n_kept] = symbols(text)[skip : skip + end], tags[skip : skip + end]
+        out.append((text, tags))
+    return out
+
+
+@functools.lru_cache(maxsize=1)
+def pool(seed: int = 17, n: int = 4000) -> list[tuple[str, list[int]]]:
+    """The labelled texts that the tagger and its screen learn from."""
+    return labelled_texts(random.Random(seed), n)
+
+
+def labelled_windows(r: random.Random, n: int, texts: list[tuple[str, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """n windows drawn from labelled texts (symbols and tags, time by batch)."""
+    x, y = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
+    for row, (text, tags) in enumerate(r.choices(texts, k=n)):
+        skip, end = r.randrange(12), WINDOW if r.random() < 0.5 else r.randrange(20, WINDOW)
+        found = symbols(text)[skip : skip + end]
+        x[row, : len(found)], y[row, : len(found)] = found, tags[skip : skip + end]
     return x.T, y.T
 
 
+#: Classes of bytes for the screen; bytes that are in none, those outside ASCII among them, are letters.
+_CLASSES = (" \t\n\r", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "@", ".", "-", ":", "=", "\"'`", "([{", ")]}", "/_\\", "+", ",;!?", "#$%&*|~^<>")
+_CLASS = np.zeros(256, np.uint16)
+for _k, _members in enumerate(_CLASSES):
+    _CLASS[list(_members.encode())] = _k + 1
+def trigrams(data: np.ndarray) -> np.ndarray:
+    """The number of the trigram of classes around each byte but the first and last."""
+    c = _CLASS[data]
+    return c[:-2] << 8 | c[1:-1] << 4 | c[2:]
+
+
+@functools.lru_cache(maxsize=1)
+def screen() -> np.ndarray:
+    """Of each trigram of classes, whether a stretch that holds it is tagged.
+
+    Telling are those that touch a labelled span so often that every labelled span holds
+    one, however high that bar can be, and those that the labelled texts don't have.
+    """
+    inside, every, spans = np.zeros(4096), np.zeros(4096), []
+    for text, tags in pool():
+        tri = trigrams(np.frombuffer(text.encode(), np.uint8))
+        tag = np.repeat(np.array(tags), [len(c.encode()) for c in text])
+        inside += np.bincount(tri[(tag[:-2] > 0) | (tag[1:-1] > 0) | (tag[2:] > 0)], minlength=4096)
+        every += np.bincount(tri, minlength=4096)
+        cuts = np.flatnonzero(np.diff(np.r_[-1, tag, -1]))
+        spans += [tri[max(b - 1, 0) : e - 1] for b, e in zip(cuts.tolist(), cuts[1:].tolist(), strict=False) if tag[b] and e < len(tag)]
+    share = inside / np.maximum(every, 1)
+    return (every == 0) | (share >= min(share[x].max() for x in spans))
+
+
 @functools.lru_cache(maxsize=1)
 def trained(seed: int = 11) -> Tagger:
     """The tagger, fitted by Adam to made windows; the same for the same seed."""
-    r, tagger = np.random.default_rng(seed), Tagger()
+    r, tagger = random.Random(seed), Tagger()
     mean = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     square = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     for step in range(1, STEPS + 1):
         rate = 0.02 * min(1, step / 20) * (1 - step / (STEPS + 1))
-        for k, g in tagger.gradients(*labelled_windows(r, BATCH)).items():
+        for k, g in tagger.gradients(*labelled_windows(r, BATCH, pool())).items():
             g = np.clip(g, -5, 5)
             mean[k] = 0.9 * mean[k] + 0.1 * g
             square[k] = 0.99 * square[k] + 0.01 * g * g
@@ -246,18 +312,26 @@ def trained(seed: int = 11) -> Tagger:
     return tagger
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of text within CONTEXT of a digit or an @."""
-    out: list[list[int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
-        b, e = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and b <= out[-1][1]:
-            out[-1][1] = e
-        else:
-            out.append([b, e])
-    return [(b, e) for b, e in out]
+def stretches(marks: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """The parts of a text of so many characters within CONTEXT of the marks, which are sorted."""
+    if not len(marks):
+        return []
+    cuts = np.flatnonzero(np.diff(marks) > 2 * CONTEXT)
+    begins, ends = marks[np.r_[0, cuts + 1]] - CONTEXT, marks[np.r_[cuts, len(marks) - 1]] + 1 + CONTEXT
+    return list(zip(np.maximum(begins, 0).tolist(), np.minimum(ends, size).tolist(), strict=True))
+
 
+def screened(text: str) -> list[tuple[int, int]]:
+    """The stretches of a text that the screen does not pass over."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    if len(raw) < 3:
+        return []
+    at = np.flatnonzero(screen()[trigrams(raw)]) + 1
+    return stretches((np.cumsum((raw & 0xC0) != 0x80) - 1)[at], len(text))
 
+
+#: An address as written, of which neither side goes on over white space.
+_WRITTEN_EMAIL = re.compile(r"\S+ ?[\[(]?@[\])]? ?\S+")
 _ONLY_NUMBER = re.compile(r"[0-9+()./\x20-]+")
 
 
@@ -265,9 +339,11 @@ def plausible(kind: str, text: str) -> bool:
     """Whether a span that the tagger marks can be of its kind at all."""
     d = digits_of(text)
     if kind == "email":
-        return "@" in text and bool(re.search(r"[^\s@]\S*.*@.*\S\.\S", text))
+        return bool(re.search(r"\w.*@.*\w\.\w", text))
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]{1,3}(?:[\s\[\]().]+[0-9]{1,3}){3}", text)) and all(int(x) <= 255 for x in re.findall(r"[0-9]+", text))
+    if kind == "secret":
+        return len(text) >= 12 and not re.search(r"\s", text) and len(d) >= 2
     return bool(_ONLY_NUMBER.fullmatch(text)) and (13 <= len(d) <= 19 and luhn(d) if kind == "card" else 9 <= len(d) <= 15 and len(re.findall(r"[0-9]+", text)) >= 3)
 
 
@@ -301,7 +377,7 @@ def united(cut: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[float, str, int, int]]]:
     """For each text, the plausible spans (weight, kind, start, end), each read whole in some window."""
-    windows = [(n, b, min(b + WINDOW, e)) for n, text in enumerate(texts) for s, e in stretches(text) for b in range(s, max(s + 1, e - WINDOW + STRIDE), STRIDE)]
+    windows = [(n, b, min(b + WINDOW, e)) for n, text in enumerate(texts) for s, e in screened(text) for b in range(s, max(s + 1, e - WINDOW + STRIDE), STRIDE)]
     targets = windows
     out: list[list[tuple[float, str, int, int]]] = [[] for _ in texts]
     while windows:
@@ -315,16 +391,18 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[float, str
                     continue
                 word = texts[n][b + s : b + t]
                 if (s == 0 and b > 0) or (b + t == e and e < len(texts[n])):
-                    if KINDS[tag - 1] == "email" or len(digits_of(word)) <= 19:  # with more digits it is of no kind, however far it goes
+                    if TAGGED[tag - 1] in ("email", "secret") or len(digits_of(word)) <= 19:  # a number of more digits is of no kind, however far it goes
                         cut.append((n, b + s, b + t))
                     continue
                 whole.append((n, b + s, b + t))
-                trimmed = word.strip(" \n.,:|")
-                if plausible(KINDS[tag - 1], trimmed):
+                trimmed = word.strip(" \n.,:|\"'=")
+                if TAGGED[tag - 1] == "email" and (m := _WRITTEN_EMAIL.search(trimmed)):
+                    trimmed = m.group()
+                if plausible(TAGGED[tag - 1], trimmed):
                     start = b + s + word.find(trimmed)
                     margin = float((u[s:t, tag] - u[s:t, 0]).mean())
                     if margin >= MARGIN:
-                        out[n].append((margin * len(trimmed), KINDS[tag - 1], start, start + len(trimmed)))
+                        out[n].append((margin * len(trimmed), TAGGED[tag - 1], start, start + len(trimmed)))
         targets, whole = united(cut), sorted(whole)
         furthest: dict[tuple[int, int], int] = {}
         high = 0
@@ -335,6 +413,17 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[float, str
         inside = lambda n, s, e: (k := bisect_right(keys, (n, s))) > 0 and keys[k - 1][0] == n and furthest[keys[k - 1]] >= e
         targets = [x for x in targets if not inside(*x)]
         windows = [(n, max(0, s - max(STRIDE, e - s)), min(len(texts[n]), e + max(STRIDE, e - s))) for n, s, e in targets]
+    return [_widest(found) for found in out]
+
+
+def _widest(found: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
+    """found without what lies inside a longer span of its kind: another window has read it further."""
+    out: list[tuple[float, str, int, int]] = []
+    end: dict[str, int] = {}
+    for x in sorted(set(found), key=lambda x: (x[2], -x[3], -x[0])):
+        if x[3] > end.get(x[1], -1):
+            out.append(x)
+            end[x[1]] = x[3]
     return out
 
 
@@ -360,70 +449,87 @@ def reconcile(base: list[tuple[str, int, int]], found: list[tuple[float, str, in
         if use:
             added.append(free[k - 1][1:])
         k = before if use else k - 1
-    return sorted({*base, *added}, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+    return sorted({*base, *added}, key=lambda x: (TAGGED.index(x[0]), x[1], x[2]))
 
 
 _SPANS = "array<struct<kind:string,start:long,end:long>>"
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-_TRIGGER = np.zeros(256, bool)
-_TRIGGER[[*range(48, 58), 64]] = True
+Spans = list[tuple[str, int, int]]
+
 
+def _found(texts: list[str], tagger: Tagger) -> list[tuple[Spans, Spans]]:
+    """The patterns' spans of each text, and those with what the tagger adds."""
+    out = []
+    for text, found in zip(texts, tagged_spans(tagger, texts), strict=True):
+        own = pattern_spans(text)
+        out.append((own, reconcile(own, found)))
+    return out
 
-def find(docs: DataFrame, text: str = "text", tagger: Tagger | None = None, keep_text: bool = False) -> DataFrame:
-    """docs, without its text unless keep_text, with base and spans: arrays of (kind, start, end).
+
+def _read(batch: pa.RecordBatch, text: str, tagger: Tagger):
+    """The rows of a batch that may hold anything: row number, text, base, spans."""
+    whole, at = common.texts_of(batch.column(batch.schema.get_field_index(text)))
+    suspect = screen()
+    for i, j in common.chunks(at):
+        data = whole[at[i] : at[j]]
+        if len(data) > 2:
+            hits = np.flatnonzero(suspect[trigrams(data)]) + 1 + at[i]
+            rows = np.unique(np.searchsorted(at, hits, "right") - 1)
+            texts = [whole[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace") for r in rows]
+            yield from zip(rows.tolist(), texts, _found(texts, tagger), strict=True)
+
+
+def find(docs: DataFrame, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
+    """docs without its text, with base and spans: arrays of (kind, start, end).
 
     Starts and ends count code points, ends are exclusive. base holds what the patterns
     find, spans that and what the tagger adds, both by kind and start. Null and empty
     texts have none; repeated rows stay repeated; columns of the new names are replaced.
+    An empty table gives an empty table.
     """
     docs = docs.drop("base", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(tagger or trained())
-    kept = [f.name for f in docs.schema.fields if keep_text or f.name != text]
+    kept = [f.name for f in docs.schema.fields if f.name != text]
 
     def work(batch: pa.RecordBatch):
-        whole, at = common.texts_of(batch.column(batch.schema.get_field_index(text)))
         base: list[list] = [[]] * batch.num_rows
         spans: list[list] = [[]] * batch.num_rows
-        for i, j in common.chunks(at):
-            hits = np.flatnonzero(_TRIGGER[whole[at[i] : at[j]]]) + at[i]
-            rows = np.unique(np.searchsorted(at, hits, "right") - 1)
-            texts = [whole[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace") for r in rows]
-            for r, t, found in zip(rows, texts, tagged_spans(shared.value, texts), strict=True):
-                own = pattern_spans(t)
-                base[r] = [dict(zip(("kind", "start", "end"), x, strict=True)) for x in own]
-                spans[r] = [dict(zip(("kind", "start", "end"), x, strict=True)) for x in reconcile(own, found)]
+        for r, _, (own, all_) in _read(batch, text, shared.value):
+            base[r] = [dict(zip(("kind", "start", "end"), x, strict=True)) for x in own]
+            spans[r] = [dict(zip(("kind", "start", "end"), x, strict=True)) for x in all_]
         return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(base, _SPAN_TYPE), pa.array(spans, _SPAN_TYPE)], names=[*kept, "base", "spans"])
 
-    return docs.mapInArrow(common.batched(work), common.schema_of(docs, f"base {_SPANS}, spans {_SPANS}", () if keep_text else (text,)))
+    return docs.mapInArrow(common.batched(work), common.schema_of(docs, f"base {_SPANS}, spans {_SPANS}", (text,)))
 
 
 def masked(docs: DataFrame, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
     """docs with every span of its texts replaced by its kind in brackets; the rest stays.
 
-    A null text stays null. Where a pattern's spans overlap, the mask covers their union
-    under the kind that begins first.
+    A null text stays null. Where spans of patterns overlap, the mask covers their union
+    under the kind that begins first. Other columns pass through, whatever their names.
     """
-    found = find(docs, text, tagger, keep_text=True)
+    shared = docs.sparkSession.sparkContext.broadcast(tagger or trained())
 
     def work(batch: pa.RecordBatch):
-        column, spans = batch.column(batch.schema.get_field_index(text)), batch.column(batch.schema.get_field_index("spans"))
-        size = np.diff(np.asarray(spans.offsets))
-        rows = np.flatnonzero(size)
-        texts = column
-        if len(rows):
-            values = column.to_pylist()
-            for r in rows:
-                out, end = [], 0
-                for x in sorted(spans[int(r)].as_py(), key=lambda x: (x["start"], -x["end"])):
-                    if x["start"] >= end:
-                        out += [values[r][end : x["start"]], f"[{x['kind']}]"]
-                    end = max(end, x["end"])
-                values[r] = "".join([*out, values[r][end:]])
-            texts = pa.array(values, pa.string())
-        names = [f for f in batch.schema.names if f not in ("base", "spans")]
-        return pa.RecordBatch.from_arrays([texts if c == text else batch.column(batch.schema.get_field_index(c)) for c in names], names=names)
-
-    return found.mapInArrow(common.batched(work), docs.schema)
+        k = batch.schema.get_field_index(text)
+        changed: dict[int, str] = {}
+        for r, t, (_, spans) in _read(batch, text, shared.value):
+            out, end = [], 0
+            for kind, start, stop in sorted(spans, key=lambda x: (x[1], -x[2])):
+                if start >= end:
+                    out += [t[end:start], f"[{kind}]"]
+                end = max(end, stop)
+            if spans:
+                changed[r] = "".join([*out, t[end:]])
+        columns = list(batch.columns)
+        if changed:
+            values = columns[k].to_pylist()
+            for r, t in changed.items():
+                values[r] = t
+            columns[k] = pa.array(values, batch.schema.field(k).type)
+        return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(common.batched(work), docs.schema)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -431,4 +537,4 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
     line = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") > 0).alias("private"))
