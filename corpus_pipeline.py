@@ -27,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Judged row by row in one pass over the texts, so null and repeated ids stay apart. A
     document that states no language gets the one found; null and empty texts are rejected.
     """
+    common.small_batches(spark)
     model = language.train(docs.select("doc_id", "text", "lang"))
     stated = docs.withColumnRenamed("lang", "stated")
     found = language.identify(stated, model, host=F.col("source"), keep_text=True).where("not rejected")
@@ -39,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows of one id are one document; a row without an id stands for itself and stays.
     Texts without words are like no other, so they stay.
     """
+    common.small_batches(spark)
     return _without(docs, ngram_join.join(docs).where("component_id <> doc_id"))
 
 
@@ -51,12 +53,14 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by the name of its kind; null texts stay null."""
+    common.small_batches(spark)
     clean = pii.masked(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of all documents, and whether they decode to the text they came from; null and empty texts have none."""
+    common.small_batches(spark)
     ranks, pattern = bpe.vocabulary()
     docs = docs.select("doc_id", "lang", "source", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("sha"), "text")
     found = bpe.round_trip(docs, ranks, pattern)
