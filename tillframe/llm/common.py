@@ -9,6 +9,9 @@ number is fixed by a parameter.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +24,20 @@ from ..sources.files import discard, shared_folder, written  # noqa: F401
 CHUNK_BYTES = 1 << 20
 
 
+#: Bytes of an Arrow batch at most, as texts can be very long; a smaller setting of the session stays.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that the session's Python functions are given, in both processes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    n = re.fullmatch(r"(\d+)b?", spark.conf.get(key).lower())
+    if n is None or not 0 < int(n[1]) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -186,6 +202,13 @@ kept: dict = {}
 _owner = [""]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batched(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], owner: str = ""):
     """A mapInArrow function from a function of one batch. Only tasks of one owner share what is kept."""
 
@@ -193,6 +216,7 @@ def batched(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordB
         if _owner[0] != owner:
             kept.clear()
             _owner[0] = owner
+            give_back()
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
@@ -200,6 +224,7 @@ def batched(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordB
                     yield out
                 else:
                     yield from out
+        give_back()
 
     return run
 

@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Points that pivots are drawn from at most; a label gets a pivot for each CELL points.
-SAMPLE, CELL, MAX_PIVOTS = 4096, 4096, 64
+#: Points that pivots are drawn from at most, over all labels by their sizes; a label gets a
+#: pivot for each CELL of its points, as far as the sample goes.
+SAMPLE, CELL = 4096, 4096
 TILE = 2048
 
 
@@ -63,7 +64,7 @@ def draw_pivots(points: DataFrame) -> dict[tuple, np.ndarray]:
     found: dict[tuple, list[bytes]] = {}
     for r in sorted(drawn.select("label", "rep", "vec").collect(), key=lambda r: r.rep):
         found.setdefault((r.label, len(r.vec)), []).append(bytes(r.vec))
-    return {k: units(found[k][: min(MAX_PIVOTS, -(-n // CELL))]) for k, n in counts.items() if k in found}
+    return {k: units(found[k][: -(-n // CELL)]) for k, n in counts.items() if k in found}
 
 
 def _cells(points: DataFrame, pivots: dict, r: float, radii: dict | None) -> DataFrame:
@@ -146,8 +147,8 @@ def join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
 
     Vectors are compared when labels are equal and not null and lengths equal, by cosine
     in double precision; one that is null, empty, zero or holds a null or a non-finite
-    component links with nothing. Repeated rows count as vectors of their own; rows of one
-    key are one node. Rows with a null key are left out; other columns are not read.
+    component links with nothing. Each row is a vector of its own: rows of one key don't
+    link by their key, and each has the component of its own vector. Rows with a null key are left out; other columns are not read.
     """
     spark = df.sparkSession
     r = float(np.sqrt(2 - 2 * threshold))

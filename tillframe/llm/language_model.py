@@ -6,7 +6,7 @@ the training texts is deleted from the counts for a while; expectation-maximisat
 those held-out events gives each bucket its weight, and the final estimates count all
 training texts.
 
-Documents are dealt to blocks by a hash of their id. Each block asks for the counts of
+Documents are dealt to blocks by a hash of their id and text. Each block asks for the counts of
 its distinct words and bigrams with one packed array per bucket of hashes; a bucket adds
 up what all blocks have and answers each in the order it asked. So counts are whole, no
 table of words is ever broadcast, and what moves is a few bytes for each distinct bigram
@@ -59,7 +59,7 @@ def bigrams_of(tokens: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 def packed(docs: DataFrame, key: str, text: str, n_blocks: int, deleted: bool = False) -> DataFrame:
     """(block, ids, folds, sizes, texts): the documents (the deleted ones alone, if asked) of a batch and block in one row of compressed bytes."""
-    rows = docs.select(F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("block"), F.col(key).cast("long").alias("id"), F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT)).cast("int").alias("fold"), F.col(text))
+    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(n_blocks)).cast("int").alias("block"), F.col(key).cast("long").alias("id"), F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS, F.lit(HELD_OUT)).cast("int").alias("fold"), F.col(text))
     rows = rows.where(F.col("fold") == DELETED) if deleted else rows
 
     def work(batch: pa.RecordBatch):
@@ -221,7 +221,7 @@ def interpolation_weights(histogram: np.ndarray, rounds: int = 200) -> np.ndarra
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row for each row of docs: key (cast to long), held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from rows whose crc32(key as text) mod 10 is not 0. Null and empty texts are an
     end alone. Rows with a null key are scored, and held out. Repeated rows count, and are

@@ -407,3 +407,25 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document, by word 5-grams."""
     return join(common.read(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w
+  from documents where doc_id is not null),
+s as (
+  select distinct doc_id, hash(list_slice(w, i, i + least(len(w), 5) - 1)) h
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) i from d where len(w) > 0)),
+n as (select doc_id, count(*) n, min(h) least_h, sum(h) sum_h from s group by doc_id),
+c as (select n, least_h, sum_h, min(doc_id) rep from n group by n, least_h, sum_h),
+r as (select s.doc_id, s.h, c.n from s join c on s.doc_id = c.rep),
+p as (
+  select a.doc_id x, b.doc_id y from r a join r b on a.h = b.h and a.doc_id < b.doc_id and 100 * a.n >= 75 * b.n and 100 * b.n >= 75 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e as (select x, y from p union all select y, x from p),
+t as (select x, y from e union select t.x, e.y from t join e on t.y = e.x),
+m as (select x, min(y) y from t group by x)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles,
+  case when n.n is null then d.doc_id else least(c.rep, coalesce(m.y, c.rep)) end component_id
+from d left join n on d.doc_id = n.doc_id left join c on n.n = c.n and n.least_h = c.least_h and n.sum_h = c.sum_h left join m on c.rep = m.x
+"""

@@ -7,12 +7,12 @@ from .decontamination import OP4_SQL, op4_decontamination
 from .embedding_join import OP1_SQL, op1_embedding_join
 from .language import op3_language_id
 from .language_model import op8_lm_scoring
-from .ngram_join import op10_ngram_jaccard_join
+from .ngram_join import OP10_SQL, op10_ngram_jaccard_join
 from .pii import op2_pii
-from .suffix_dedup import op5_suffix_dedup
+from .suffix_dedup import OP5_SQL, op5_suffix_dedup
 from .token_counts import op9_token_counts
 from .toxicity import op7_toxicity
 
 QUERIES = {f.__name__: f for f in (op1_embedding_join, op2_pii, op3_language_id, op4_decontamination, op5_suffix_dedup, op6_bpe_encode_decode, op7_toxicity, op8_lm_scoring, op9_token_counts, op10_ngram_jaccard_join)}
 
-ORACLE_SQL: dict[str, str] = {"op1_embedding_join": OP1_SQL, "op4_decontamination": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_embedding_join": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_suffix_dedup": OP5_SQL, "op10_ngram_jaccard_join": OP10_SQL}

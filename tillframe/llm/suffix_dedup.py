@@ -398,3 +398,23 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the strings of 400 bytes that occur elsewhere."""
     done = remove_repeats(common.read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x from documents),
+p as (select doc_id, i, hash(substr(x, 2 * i - 1, 800)) h from (select doc_id, x, unnest(range(1, len(x) // 2 - 398)) i from d where len(x) >= 800)),
+r as (select doc_id, i from p where h in (select h from p group by h having count(*) > 1)),
+g as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) > 400 gap from r),
+k as (select doc_id, i, sum(case when coalesce(gap, true) then 1 else 0 end) over (partition by doc_id order by i) run from g),
+s as (select doc_id, min(i) b, max(i) + 400 e from k group by doc_id, run),
+l as (
+  select doc_id, b, coalesce(lag(e) over (partition by doc_id order by b), 1) after, e from s
+  union all select doc_id, null, max(e), null from s group by doc_id),
+t as (
+  select l.doc_id, string_agg(substr(d.x, 2 * l.after - 1, 2 * (coalesce(l.b, len(d.x) // 2 + 1) - l.after)), '' order by l.after) x
+  from l join d on l.doc_id = d.doc_id group by l.doc_id),
+z as (select doc_id, sum(e - b) n_removed, count(*) n_spans from s group by doc_id)
+select d.doc_id, cast(len(d.x) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans,
+  sha256(unhex(coalesce(t.x, d.x))) kept_sha256
+from d left join z on d.doc_id = z.doc_id left join t on d.doc_id = t.doc_id
+"""

@@ -65,13 +65,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _fit_linear(of: np.ndarray, word: np.ndarray, dense: np.ndarray, y: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression by accelerated gradient steps; classes weigh the same in sum."""
-    n, ratio = len(y), np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    n = len(y)
+    ratio = np.clip(y.mean(), 1e-3, 1 - 1e-3) if n else 0.5
     weight = np.where(y > 0, 0.5 / ratio, 0.5 / (1 - ratio))
     w, d, b = np.zeros(n_words), np.zeros(dense.shape[1]), 0.0
     gw, gd, gb = np.full(n_words, 1e-4), np.full(dense.shape[1], 1e-4), 1e-4
     for _ in range(150):
         p = _sigmoid(np.bincount(of, w[word], n) + dense @ d + b)
-        e = weight * (p - y) / n
+        e = weight * (p - y) / max(n, 1)
         dw = np.bincount(word, e[of], n_words) + 1e-5 * w
         dd, db = dense.T @ e + 1e-4 * d, e.sum()
         gw, gd, gb = gw + dw**2, gd + dd**2, gb + db**2
@@ -118,10 +119,12 @@ def fit(hashes: list[np.ndarray], labels: np.ndarray, categories: list[str]) ->
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: str = "doc_id", text: str = "text") -> Chain:
     """Fit on at most TRAIN_DOCUMENTS labelled rows; categories: name to boolean SQL over labels.
 
-    Rows without a text or label are left out; of repeated keys one row counts.
+    Rows without a text or label are left out. Of rows of labels with one key, a category
+    holds if it holds in any; of documents with one key, the one of the most words counts.
     """
     ids = common.sample_ids(labels, key, TRAIN_DOCUMENTS)
-    known = {r[0]: list(r[1:]) for r in labels.where(F.col(key).isin(ids)).select(key, *(F.coalesce(F.expr(x), F.lit(False)).cast("int") for x in categories.values())).collect()} if ids else {}
+    marks = [F.max(F.coalesce(F.expr(x), F.lit(False)).cast("int")) for x in categories.values()]
+    known = {r[0]: list(r[1:]) for r in labels.where(F.col(key).isin(ids)).groupBy(key).agg(*marks).collect()} if ids else {}
 
     def words(batches):
         for batch in batches:
@@ -133,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), blobs], names=["key", "words"])
 
     rows = docs.where(F.col(key).isin(list(known)) & F.col(text).isNotNull()).select(key, text).mapInArrow(words, f"key {docs.schema[key].dataType.simpleString()}, words binary").collect() if known else []
-    rows = sorted({r.key: bytes(r.words) for r in rows}.items())
+    rows = sorted({k: w for k, w in sorted(((r.key, bytes(r.words)) for r in rows), key=lambda x: (len(x[1]), x[1]))}.items())
     y = np.array([known[k] for k, _ in rows], float).reshape(len(rows), len(categories))
     return fit([np.frombuffer(w, np.uint64) for _, w in rows], y, list(categories))
 
