@@ -212,6 +212,49 @@ def test_row_numbers_beyond_the_sample_of_bounds(spark):
     assert ranked.agg(F.count("b"), wrong, F.sum("a"), F.min("i_total"), F.max("i_total")).first() == (n, 0, n * (n - 1) // 2, n, n)
 
 
+@pytest.mark.parametrize("sf,partitions", [("sf0.01", 4), ("sf0.01", 8), ("sf0.01", 200), ("sf0.1", 4), ("sf0.1", 200)])
+def test_ranks_at_any_number_of_partitions(spark, sf, partitions):
+    before, folder = spark.conf.get("spark.sql.shuffle.partitions"), f"/root/testdata/{sf}"
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        for name in ("rfm_cells", "pareto_products", "abc_products", "encode_categories"):
+            parity.same(registry.QUERIES[name](spark, folder), registry.ORACLE_SQL[name], parity.connect(folder))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Unset:
+        def isDefined(self):  # noqa: N802
+            return False
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    return type("Sc", (), {"getCheckpointDir": lambda self: Unset()})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.shared_folder(Session())
+
+
+def test_discarded_tables_are_gone(spark):
+    one = files.written(spark.range(3), "one")
+    assert one.count() == 3
+    files.discard(one)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(one._written_to)
+
+
 # ---------------------------------------------------------------- plans
 
 
