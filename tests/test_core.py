@@ -223,6 +223,47 @@ def test_ranks_at_any_number_of_partitions(spark, sf, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_quantiles_and_ranks_match_spark(spark):
+    """Nulls, ties, a value that half of the rows have, a group of one row and one of nulls alone."""
+    from pyspark.sql import Window
+
+    df = spark.range(0, 5000, 1, 6).select(F.col("id"), F.when(F.col("id") % 7 != 0, (F.col("id") % 4).cast("int")).alias("k"), F.when(F.col("id") % 2 == 0, 3.5).when(F.col("id") % 11 != 0, F.pmod(F.hash("id"), F.lit(900)) / 7).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(-1, 8, 2.0), (-2, 9, None)], "id long, k int, v double"))
+    shares = {"a": 0.1, "m": 0.5, "z": 1.0}
+    want = df.where("v is not null").groupBy("k").agg(*(F.round(F.percentile("v", F.lit(q)), 9).alias(n) for n, q in shares.items()))
+    got = sg.quantiles(df, "v", shares, ("k",)).select("k", *(F.round(n, 9).alias(n) for n in shares))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert round(sg.quantiles(df, "v", {"m": 0.3}).first().m, 9) == round(df.agg(F.percentile("v", F.lit(0.3))).first()[0], 9)
+    w = Window.partitionBy("k").orderBy("v")
+    want = df.withColumn("pct_rank", F.percent_rank().over(w)).withColumn("cume_dist", F.cume_dist().over(w))
+    assert sg.pct_rank(df, "v", ["k"]).exceptAll(want).count() == 0 and sg.pct_rank(df, "v", ["k"]).count() == 5002
+
+
+def test_generated_margin_equals_sql_over_its_tables(spark, tmp_path):
+    import duckdb
+
+    for name, df in generator.generate(spark, 5000).items():
+        if name in ("orders", "products"):
+            df.write.parquet(str(tmp_path / name))
+    sql = f"""with l as (select unnest(items) i from '{tmp_path}/orders/*.parquet' where status = 'complete'),
+    r as (select category_id, i.qty * i.unit_price::double * (1 - i.discount) revenue, i.qty * unit_cost::double as cost from l join '{tmp_path}/products/*.parquet' on i.product_id = product_id)
+    select category_id, round(sum(revenue), 4), round(sum(cost), 4), round(1 - sum(cost) / sum(revenue), 9) from r group by 1 order by 1"""
+    got = registry.QUERIES["generated_margin"](spark, SF).orderBy("category_id").select("category_id", F.round("revenue", 4), F.round("cost", 4), F.round("margin", 9)).collect()
+    assert [tuple(r) for r in got] == duckdb.sql(sql).fetchall()
+
+
+def test_stored_bytes_shrink_with_narrower_types(spark):
+    df = spark.range(0, 20000, 1, 1).select((F.xxhash64("id") % 100).alias("v"), F.col("id").cast("string").alias("s"))
+    assert 0 < dq.stored_bytes(df.select("v")) < dq.stored_bytes(df)
+
+
+def test_some_streamed_rows_come_too_late(duck):
+    late, closed = "event_id % 10 <> 0 or day + interval 1 day > w1.w", "day + interval 1 day <= w2.w"
+    sql = registry.ORACLE_SQL["stream_late_rows"]
+    count = lambda q: duck.sql(f"select coalesce(sum(n), 0) from ({q})").fetchall()[0][0]
+    assert 0 < count(sql) < count(sql.replace(late, "true")) < count(sql.replace(late, "true").replace(closed, "true"))
+
+
 def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     class Conf:
         def get(self, key, default):

@@ -34,7 +34,10 @@ def group_transform(df: DataFrame, keys: list[str], name: str, expression: Colum
 
 
 def group_apply(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
-    """A pandas function of each group; for what expressions can't say, as groups must fit a worker."""
+    """A pandas function of each group; for what expressions can't say, as groups must fit a worker.
+
+    Groups without a bound are divided by a further key, and the partial results merged.
+    """
     return df.groupBy(*keys).applyInPandas(fn, schema)
 
 
@@ -43,9 +46,19 @@ def weighted_mean(value: Column, weight: Column) -> Column:
 
 
 @F.pandas_udf(DoubleType())
-def weighted_mean_udf(value: pd.Series, weight: pd.Series) -> float:
-    """The same as a grouped pandas UDF, for comparison with the expression."""
-    return float((value * weight).sum() / weight.sum())
+def _weighted_sum(value: pd.Series, weight: pd.Series) -> float:
+    return float((value * weight).sum())
+
+
+@F.pandas_udf(DoubleType())
+def _weights(value: pd.Series, weight: pd.Series) -> float:
+    return float(weight[value.notna()].sum())
+
+
+def weighted_mean_udf(df: DataFrame, keys: list[str], value: str, weight: str, part: Column, name: str) -> DataFrame:
+    """The same by grouped pandas UDFs, for comparison with the expression: of the parts of each group, then of the group."""
+    parts = df.groupBy(*keys, part.alias("_part")).agg(_weighted_sum(value, weight).alias("_s"), _weights(value, weight).alias("_w"))
+    return parts.groupBy(*keys).agg(F.try_divide(F.sum("_s"), F.sum("_w")).alias(name))
 
 
 def pivot(df: DataFrame, rows: list[str], columns: str, values: list[str], outputs: Mapping[str, Column], fill: object = None) -> DataFrame:
@@ -76,12 +89,18 @@ def explode_items(orders: DataFrame, items: str = "items") -> DataFrame:
 
 def describe_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """A row per column: count, mean, sample and population deviation, quartiles, skewness, kurtosis, range."""
+    from .segments import quantiles
+
     stats = {
-        "n": lambda c: F.count(c).cast("double"), "mean": F.avg, "std_samp": F.stddev_samp, "std_pop": F.stddev_pop, "var_samp": F.var_samp, "min": lambda c: F.min(c).cast("double"), "p25": lambda c: F.percentile(c, F.lit(0.25)),
-        "median": lambda c: F.percentile(c, F.lit(0.5)), "p75": lambda c: F.percentile(c, F.lit(0.75)), "max": lambda c: F.max(c).cast("double"), "skewness": F.skewness, "kurtosis": F.kurtosis,
+        "n": lambda c: F.count(c).cast("double"), "mean": F.avg, "std_samp": F.stddev_samp, "std_pop": F.stddev_pop, "var_samp": F.var_samp, "min": lambda c: F.min(c).cast("double"),
+        "max": lambda c: F.max(c).cast("double"), "skewness": F.skewness, "kurtosis": F.kurtosis,
     }
+    quarters = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    names = ["n", "mean", "std_samp", "std_pop", "var_samp", "min", *quarters, "max", "skewness", "kurtosis"]
     one = df.agg(*(f(F.col(c)).alias(f"{c}__{k}") for c in columns for k, f in stats.items()))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{c}__{k}").alias(k) for k in stats)) for c in columns))).alias("s")).select("s.*")
+    for c in columns:
+        one = one.crossJoin(F.broadcast(quantiles(df, c, {f"{c}__{k}": q for k, q in quarters.items()})))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), *(F.col(f"{c}__{k}").alias(k) for k in names)) for c in columns))).alias("s")).select("s.*")
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.files import discard, written
+
 log = logging.getLogger("tillframe.quality")
 
 
@@ -54,16 +56,19 @@ class Flag:
 
 
 def handle_nulls(df: DataFrame, strategy: Mapping[str, Drop | Impute | Flag]) -> DataFrame:
-    """The stated strategy for each column; NaN counts as null. Statistics are one broadcast row."""
+    """The stated strategy for each column; NaN counts as null. Statistics are one broadcast row, medians exact."""
+    from .segments import quantiles
+
     kinds = dict(df.dtypes)
     for c in strategy:
         if kinds[c] in ("double", "float"):
             df = df.withColumn(c, F.when(~F.isnan(c), F.col(c)))
     df = df.dropna(subset=[c for c, s in strategy.items() if isinstance(s, Drop)]) if any(isinstance(s, Drop) for s in strategy.values()) else df
-    how = {"mean": F.avg, "median": F.median, "mode": lambda c: F.mode(c, True)}
-    stats = {c: how[s.how](c).alias(f"_{c}") for c, s in strategy.items() if isinstance(s, Impute) and s.how != "constant"}
-    if stats:
-        df = df.crossJoin(F.broadcast(df.agg(*stats.values())))
+    how = {"mean": F.avg, "mode": lambda c: F.mode(c, True)}
+    stats = {c: s.how for c, s in strategy.items() if isinstance(s, Impute) and s.how != "constant"}
+    rows = [df.agg(*(how[h](c).alias(f"_{c}") for c, h in stats.items() if h in how))] if set(stats.values()) & set(how) else []
+    for row in rows + [quantiles(df, c, {f"_{c}": 0.5}) for c, h in stats.items() if h == "median"]:
+        df = df.crossJoin(F.broadcast(row))
     for c, s in strategy.items():
         if isinstance(s, Impute):
             df = df.withColumn(c, F.coalesce(F.col(c), (F.lit(s.value) if s.how == "constant" else F.col(f"_{c}")).cast(kinds[c])))
@@ -91,6 +96,15 @@ def downcast(df: DataFrame) -> tuple[DataFrame, list[tuple[str, str, str, int]]]
     return df, report
 
 
+def stored_bytes(df: DataFrame) -> int:
+    """The bytes df takes as Parquet: written to the shared folder, measured and deleted."""
+    table = written(df, "measured")
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_to)
+    size = path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    discard(table)
+    return size
+
+
 def dictionary_encode(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """(df with <column>_code, the ordered dictionary). Codes count from 0 by value; null has none."""
     from .segments import running_over_all

@@ -7,6 +7,8 @@ before it, so only one number a partition meets in one place.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +72,39 @@ def top_n(df: DataFrame, keys: list[str], value: str, n: int, tie: str, bottom:
     return df.withColumn("rank", rank().over(w)).where(F.col("rank") <= n)
 
 
+def positions(df: DataFrame, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Each distinct value of a group with _before, the rows below it, _upto, those up to it, and _rows, all of the group's.
+
+    Equal values are counted before they move, and a group may lie in many partitions.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    run = running_over_all(counts, [F.asc(c) for c in (*keys, value)], F.col("_c"), "_n")
+    ends = run.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min(F.col("_n") - F.col("_c")).alias("_s"), F.sum("_c").alias("_rows"))
+    if keys:
+        joined = run.join(ends, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    else:
+        joined = run.crossJoin(F.broadcast(ends))
+    return joined.select(*keys, value, (F.col("_n") - F.col("_c") - F.col("_s")).alias("_before"), (F.col("_n") - F.col("_s")).alias("_upto"), "_rows")
+
+
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
+    """Exact quantiles by group, interpolated between neighbours; a column for each named share. Nulls don't count.
+
+    No task holds the distinct values of a group, as it would in percentile().
+    """
+    at = positions(df.where(F.col(value).isNotNull()), value, keys)
+    out = {}
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("_rows") - 1)
+        low, high = (F.max(F.when((F.col("_before") <= i) & (i < F.col("_upto")), F.col(value))).cast("double") for i in (F.floor(place), F.ceil(place)))
+        out[name] = low + (high - low) * F.max(place - F.floor(place))
+    return at.groupBy(*keys).agg(*(c.alias(name) for name, c in out.items()))
+
+
 def pct_rank(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(value)
-    return df.withColumn("pct_rank", F.percent_rank().over(w)).withColumn("cume_dist", F.cume_dist().over(w))
+    """df with pct_rank and cume_dist of each row in its group, nulls lowest; from counts, so a large group is no single task."""
+    at = positions(df, value, tuple(keys)).select(*(F.col(c).alias(f"_{c}") for c in (*keys, value)), F.when(F.col("_rows") > 1, F.col("_before") / (F.col("_rows") - 1)).otherwise(0.0).alias("pct_rank"), (F.col("_upto") / F.col("_rows")).alias("cume_dist"))
+    return df.join(at, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*keys, value)]).drop(*(f"_{c}" for c in (*keys, value)))
 
 
 def first_purchase(orders: DataFrame, customer: str, ts: str) -> DataFrame:
@@ -95,8 +127,7 @@ def retention(cohort_counts: DataFrame) -> DataFrame:
 
 def outliers_iqr(df: DataFrame, value: str, k: float = 1.5, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows outside the quartiles by more than k times their distance, with the bounds."""
-    q = [F.percentile(value, F.lit(0.25)).alias("_a"), F.percentile(value, F.lit(0.75)).alias("_b")]
-    stats = df.groupBy(*keys).agg(*q) if keys else df.agg(*q)
+    stats = quantiles(df, value, {"_a": 0.25, "_b": 0.75}, keys)
     joined = df.join(stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))
     low, high = F.col("_a") - k * (F.col("_b") - F.col("_a")), F.col("_b") + k * (F.col("_b") - F.col("_a"))
     return joined.withColumn("low", low).withColumn("high", high).where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))).drop("_a", "_b")

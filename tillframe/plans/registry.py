@@ -13,6 +13,7 @@ from ..operators import quality as dq
 from ..operators import relational as rel
 from ..operators import segments as sg
 from ..operators import timeseries as ts
+from ..sources import files
 from ..sources.files import table
 from ..streaming import live
 
@@ -41,6 +42,11 @@ def _r(c, n: int = 2):
     return F.round(c, n)
 
 
+def _part(key: str):
+    """A stretch of 50,000 values of a row's key: with the key distinct, groups divided by it are bounded."""
+    return F.floor(F.col(key) / 50_000)
+
+
 _STAR = "lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey"
 _MONTHS = "select cast(date_trunc('month', o_orderdate) as date) m, sum(o_totalprice) v from orders group by 1"
 
@@ -174,18 +180,19 @@ def custom_weighted_mean(s, d):
 
 @query("select event_type, round(sum(value * (event_id % 7 + 1)) / sum(event_id % 7 + 1), 6) wmean from events group by 1")
 def udaf_weighted_mean(s, d):
-    """The same as a grouped pandas UDF."""
+    """The same by grouped pandas UDFs, over parts of each type."""
     e = table(s, d, "events").withColumn("w", (F.col("event_id") % 7 + 1).cast("double"))
-    return e.groupBy("event_type").agg(_r(ag.weighted_mean_udf("value", "w"), 6).alias("wmean"))
+    return ag.weighted_mean_udf(e, ["event_type"], "value", "w", _part("event_id"), "wmean").select("event_type", _r("wmean", 6).alias("wmean"))
 
 
 @query("select event_type, round(max(value) - min(value), 6) as spread from events group by 1")
 def group_apply_spread(s, d):
-    """A pandas function of each group."""
-    def spread(p):
-        return p.groupby("event_type", as_index=False)["value"].agg(lambda v: round(float(v.max() - v.min()), 6)).rename(columns={"value": "spread"})
+    """A pandas function of the parts of each group, whose results are merged."""
+    def ends(p):
+        return p.groupby("event_type", as_index=False, dropna=False).agg(low=("value", "min"), high=("value", "max"))
 
-    return ag.group_apply(table(s, d, "events").select("event_type", "value"), ["event_type"], spread, "event_type string, spread double")
+    parts = ag.group_apply(table(s, d, "events").select("event_type", "value", _part("event_id").alias("part")), ["event_type", "part"], ends, "event_type string, low double, high double")
+    return parts.groupBy("event_type").agg(_r(F.max("high") - F.min("low"), 6).alias("spread"))
 
 
 _FLAGS = ["A", "N", "R"]
@@ -453,11 +460,14 @@ def forecast_6_months(s, d):
     return ts.forecast_trend_seasonal(table(s, d, "orders"), "o_orderdate", "o_totalprice", 6).select("period", _r("forecast", 0).alias("forecast"))
 
 
-@query()
+@query(f"""with recursive m as ({_MONTHS}), n as (select row_number() over (order by m) i, v from m),
+h(i, level, trend) as (select cast(1 as bigint), a.v, coalesce(b.v - a.v, 0) from n a left join n b on b.i = 2 where a.i = 1
+union all select n.i, 0.5 * n.v + 0.5 * (level + trend), 0.3 * (0.5 * n.v + 0.5 * (level + trend) - level) + 0.7 * trend from h join n on n.i = h.i + 1)
+select cast(k as integer) as step, round(level + k * trend, 2) forecast from (select * from h order by i desc limit 1), (select unnest(range(1, 4)) k)""")
 def forecast_holt(s, d):
-    """The next three months by double exponential smoothing (C11); tested by a loop."""
+    """The next three months by double exponential smoothing (C11)."""
     months = table(s, d, "orders").groupBy(ts.period("o_orderdate", "month").alias("period")).agg(F.sum("o_totalprice").alias("v"))
-    return ts.holt(months, "period", "v", 0.5, 0.3, 3)
+    return ts.holt(months, "period", "v", 0.5, 0.3, 3).select("step", _r("forecast").alias("forecast"))
 
 
 @query(f"with t as (select r_name, sum(l_extendedprice * (1 - l_discount)) v from {_STAR} group by 1) select r_name, round(v, 2) revenue, round(v / sum(v) over (), 6) as share from t")
@@ -515,6 +525,43 @@ def null_strategies(s, d):
     return out.select("o_orderkey", _r("p").alias("p"), "q", F.col("f_missing").alias("p_was_null"))
 
 
+@query("select case when c_custkey % 10 <> 0 then c_custkey end as c_custkey, c_custkey % 10 <> 0 as accepted, case when c_custkey % 10 = 0 then 'x' else '' end || c_custkey || ',' || c_nationkey || ',' || c_mktsegment as line from customer")
+def csv_quarantine(s, d):
+    """Customers as CSV, every tenth malformed: the rows that load, and the others' raw lines."""
+    customers = table(s, d, "customer")
+    key = F.concat(F.when(F.col("c_custkey") % 10 == 0, "x").otherwise(""), F.col("c_custkey").cast("string"))
+    path = files.scratch(s, "customers")
+    customers.select(key.alias("c_custkey"), "c_nationkey", "c_mktsegment").write.option("header", True).csv(path)
+    good, bad = files.load_csv(s, path, _schema("c_custkey long, c_nationkey int, c_mktsegment string"))
+    lines = good.select("c_custkey", F.lit(True).alias("accepted"), F.concat_ws(",", *good.columns).alias("line"))
+    return lines.unionByName(bad.select("c_custkey", F.lit(False).alias("accepted"), F.col(files.CORRUPT).alias("line")))
+
+
+@query("select o_orderstatus, count(*) n, round(sum(o_totalprice), 2) total from orders where o_orderstatus <> 'P' group by 1")
+def processed_zone(s, d):
+    """Orders written to the processed zone by status, and read back with whole folders left out."""
+    path = files.scratch(s, "processed")
+    files.write_processed(table(s, d, "orders"), path, ("o_orderstatus",))
+    back = files.load_parquet(s, path).where("o_orderstatus <> 'P'")
+    return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("o_totalprice")).alias("total"))
+
+
+@query("select unnest(['missing: o_channel', 'unexpected: o_orderpriority', 'type of o_totalprice: double, not decimal(18,2)']) as violation")
+def schema_violations(s, d):
+    """How orders differ from a declared schema."""
+    declared = _schema("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice decimal(18,2), o_orderdate timestamp_ntz, o_channel string")
+    return s.createDataFrame([(v,) for v in dq.validate_schema(table(s, d, "orders"), declared)], "violation string")
+
+
+@query("select count(*) as rows, cast(count(*) filter (l_discount between 0 and 0.08) as bigint) accepted, cast(count(*) filter (not (l_discount between 0 and 0.08)) as bigint) rejected from lineitem")
+def logged_counts(s, d):
+    """Rows in, accepted and rejected, counted by the pass that writes a stage's rows."""
+    lines, seen = dq.logged(table(s, d, "lineitem").select("l_orderkey", "l_discount"), "lines", F.col("l_discount").between(0, 0.08))
+    files.discard(files.written(lines, "lines"))
+    dq.report("lines", seen)
+    return s.createDataFrame([tuple(seen.get[c] for c in ("rows", "accepted", "rejected"))], "rows long, accepted long, rejected long")
+
+
 @query("select event_id, try_cast(case when event_id % 3 = 0 then 'x' || event_id else cast(event_id as varchar) end as bigint) as n, try_cast(case when event_id % 5 = 0 then 'nan?' else cast(user_id as varchar) end as double) as v from events")
 def convert_types(s, d):
     """Dirty text to numbers, null where it isn't one (P5)."""
@@ -535,7 +582,10 @@ def encode_categories(s, d):
     return encoded.groupBy("p_type", F.col("p_type_code").cast("long").alias("p_type_code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_WHOLE = {"l_orderkey": ("bigint", 8), "l_partkey": ("bigint", 8), "l_suppkey": ("bigint", 8), "l_linenumber": ("int", 4)}
+
+
+@query("with t as (" + " union all ".join(f"select '{c}' as \"column\", '{k}' as was, {b} as wide, case when min({c}) >= -128 and max({c}) <= 127 then 1 when min({c}) >= -32768 and max({c}) <= 32767 then 2 when min({c}) >= -2147483648 and max({c}) <= 2147483647 then 4 else 8 end as width from lineitem" for c, (k, b) in _WHOLE.items()) + ") select \"column\", was, case width when 1 then 'tinyint' when 2 then 'smallint' else 'int' end as now, cast(wide - width as integer) as bytes_saved from t where width < wide")
 def downcast_report(s, d):
     """What narrower types save a row."""
     _, report = dq.downcast(table(s, d, "lineitem"))
@@ -584,9 +634,9 @@ def date_functions(s, d):
 
 @query("select o_custkey, round(sum(o_totalprice * o_totalprice), 0) as energy, cast(count(*) as bigint) as n from orders group by 1")
 def array_functions(s, d):
-    """An inner product over an array of each customer's orders."""
-    a = table(s, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("v"))
-    return a.select("o_custkey", _r(fn.dot(F.col("v"), F.col("v")), 0).alias("energy"), F.size("v").cast("long").alias("n"))
+    """Inner products over arrays of a customer's orders, each of one stretch of order keys, and their sum."""
+    a = table(s, d, "orders").groupBy("o_custkey", _part("o_orderkey").alias("part")).agg(F.collect_list("o_totalprice").alias("v"))
+    return a.groupBy("o_custkey").agg(_r(F.sum(fn.dot(F.col("v"), F.col("v"))), 0).alias("energy"), F.sum(F.size("v")).cast("long").alias("n"))
 
 
 @query("select c_nationkey as k from customer intersect select s_nationkey from supplier")
@@ -636,6 +686,50 @@ def sessions(s, d):
     return out.select("user_id", F.unix_timestamp(F.col("session_window.start").cast("timestamp")).alias("start"), "n")
 
 
+def _events(s, path: str):
+    """Events and their schema, the local time of each as an instant, as watermarks want it, in whatever zone the session is."""
+    ts = F.expr("timestampadd(microsecond, timestampdiff(microsecond, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz)), timestamp'1970-01-01T00:00:00Z')")
+    kept = table(s, path, "events").select("event_id", ts.alias("ts"), "event_type", "value")
+    return kept, kept.schema
+
+
+@query("""with b as (select event_id, event_type, value, ts, cast(date_trunc('day', ts) as date) as day from events), w1 as (select max(ts) - interval 30 day as w from b where event_id % 10 <> 0), w2 as (select max(ts) - interval 30 day as w from b)
+select day, event_type, count(*) n, round(sum(value), 4) total from b, w1, w2 where (event_id % 10 <> 0 or day + interval 1 day > w1.w) and day + interval 1 day <= w2.w group by 1, 2""")
+def stream_late_rows(s, d):
+    """Daily events from a stream: closed days alone, and rows left out that come after their day was closed."""
+    events, schema = _events(s, d)
+    feed, out, check = (files.scratch(s, n) for n in ("feed", "days", "days-state"))
+    for late in (False, True):
+        events.where((F.col("event_id") % 10 == 0) == late).write.mode("append").parquet(feed)
+        stream = s.readStream.schema(schema).parquet(feed)
+        days = live.tumbling(stream, "ts", "1 day", "30 days", ("event_type",), n=F.count(F.lit(1)), total=F.sum("value"))
+        live.run_to_end(days.select(F.col("window.start").alias("start"), "event_type", "n", "total"), out, check)
+    day = F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86400).cast("int"))
+    return s.read.parquet(out).select(day.alias("day"), "event_type", "n", _r("total", 4).alias("total"))
+
+
+@query("select event_type, count(*) n, cast(sum(event_id) as bigint) ids from events group by 1")
+def stream_dedup(s, d):
+    """Events delivered twice by a stream, each counted once."""
+    events, schema = _events(s, d)
+    feed, out, check = (files.scratch(s, n) for n in ("twice", "once", "once-state"))
+    for _ in range(2):
+        events.write.mode("append").parquet(feed)
+        live.run_to_end(live.dedup_stream(s.readStream.schema(schema).parquet(feed), ["event_id"], "ts", "30 days"), out, check)
+    return s.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("select event_type, count(*) n, round(sum(value), 4) total from events group by 1")
+def stream_state(s, d):
+    """Running totals by type, kept in state between two deliveries of a stream."""
+    events, schema = _events(s, d)
+    feed, out, check = (files.scratch(s, n) for n in ("deliveries", "totals", "totals-state"))
+    for half in range(2):
+        events.where(F.pmod("event_id", F.lit(2)) == half).write.mode("append").parquet(feed)
+        totals = live.latest_by_key(live.stateful_totals(s.readStream.schema(schema).parquet(feed), "event_type", "value"), out, check, ["event_type"])
+    return totals.select("event_type", "n", _r("total", 4).alias("total"))
+
+
 @query()
 def generated_margin(s, d):
     """Revenue, cost and margin by category of the generated data."""

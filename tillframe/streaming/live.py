@@ -65,6 +65,25 @@ def start_buffer(stream: DataFrame, path: str, checkpoint: str, every: str = "2
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Process all that the source holds now, append closed results to a table of files, and stop; a later run goes on from there."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def latest_by_key(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """The last update of each key of a stream in update mode, whose batches are written to files under their number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    columns = [c for c in stream.columns if c not in keys]
+    updates = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(path)
+    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_last"))
+    return last.select(*keys, "_last.*")
+
+
 def tumbling(df: DataFrame, ts: str, width: str, delay: str | None = None, keys: tuple[str, ...] = (), **outputs) -> DataFrame:
     df = df.withWatermark(ts, delay) if delay and df.isStreaming else df
     return df.groupBy(F.window(ts, width), *keys).agg(*(c.alias(k) for k, c in outputs.items()))
