@@ -693,7 +693,7 @@ def _events(s, path: str):
     return kept, kept.schema
 
 
-@query("""with b as (select event_id, event_type, value, ts, cast(date_trunc('day', ts) as date) as day from events), w1 as (select max(ts) - interval 30 day as w from b where event_id % 10 <> 0), w2 as (select max(ts) - interval 30 day as w from b)
+@query("""with b as (select event_id, event_type, value, ts, cast(date_trunc('day', ts) as date) as day from events), w1 as (select max(ts) - interval 10 day as w from b where event_id % 10 <> 0), w2 as (select max(ts) - interval 10 day as w from b)
 select day, event_type, count(*) n, round(sum(value), 4) total from b, w1, w2 where (event_id % 10 <> 0 or day + interval 1 day > w1.w) and day + interval 1 day <= w2.w group by 1, 2""")
 def stream_late_rows(s, d):
     """Daily events from a stream: closed days alone, and rows left out that come after their day was closed."""
@@ -702,7 +702,7 @@ def stream_late_rows(s, d):
     for late in (False, True):
         events.where((F.col("event_id") % 10 == 0) == late).write.mode("append").parquet(feed)
         stream = s.readStream.schema(schema).parquet(feed)
-        days = live.tumbling(stream, "ts", "1 day", "30 days", ("event_type",), n=F.count(F.lit(1)), total=F.sum("value"))
+        days = live.tumbling(stream, "ts", "1 day", "10 days", ("event_type",), n=F.count(F.lit(1)), total=F.sum("value"))
         live.run_to_end(days.select(F.col("window.start").alias("start"), "event_type", "n", "total"), out, check)
     day = F.date_from_unix_date(F.floor(F.unix_seconds("start") / 86400).cast("int"))
     return s.read.parquet(out).select(day.alias("day"), "event_type", "n", _r("total", 4).alias("total"))
@@ -715,7 +715,7 @@ def stream_dedup(s, d):
     feed, out, check = (files.scratch(s, n) for n in ("twice", "once", "once-state"))
     for _ in range(2):
         events.write.mode("append").parquet(feed)
-        live.run_to_end(live.dedup_stream(s.readStream.schema(schema).parquet(feed), ["event_id"], "ts", "30 days"), out, check)
+        live.run_to_end(live.dedup_stream(s.readStream.schema(schema).parquet(feed), ["event_id"], "ts", "10 days"), out, check)
     return s.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
