@@ -45,10 +45,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs; null and empty texts have none."""
+    """Documents in which no window of a benchmark item occurs; null and empty texts have none.
+
+    Rows are told apart by id and a hash of the text, so rows without an id are judged like
+    all others, and of two rows with one id only that with a hit goes.
+    """
     windows = decontamination.benchmark_windows(common.read(spark, sf_dir, "benchmark"))
-    scanned = decontamination.scan(docs.select("doc_id", "text"), windows)
-    return _without(docs, scanned.where(F.size("hits") > 0))
+    text_hash = F.xxhash64("text")
+    scanned = decontamination.scan(docs.select("doc_id", text_hash.alias("text_hash"), "text"), windows)
+    hit = common.small(common.written(scanned.where(F.size("hits") > 0).select("doc_id", "text_hash").distinct(), "left_out"))
+    same = docs["doc_id"].eqNullSafe(hit["doc_id"]) & (F.xxhash64(docs["text"]) == hit["text_hash"])
+    return docs.join(hit, same, "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

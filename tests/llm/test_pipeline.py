@@ -55,6 +55,15 @@ def test_no_benchmark_window_stays(spark, stages):
     assert {r.doc_id for r in stages["benchmark_decontamination"]} == {r.doc_id for r in stages["near_duplicates"]} - dirty
 
 
+def test_rows_without_an_id_are_decontaminated_too(spark):
+    docs, item = common.read(spark, SF, "documents"), common.read(spark, SF, "benchmark").where("size(split(text, ' ')) > 12").first().text
+    odd = [(None, item, "en", "s", 1), (None, "nothing of note here", "en", "s", 1), (-5, item, "en", "s", 1), (-5, "clean words alone", "en", "s", 1), (None, None, None, None, None)]
+    odd = spark.createDataFrame(odd, docs.schema)
+    rows = cp.benchmark_decontamination(spark, common.written(odd, "odd"), SF).collect()
+    assert sorted((r.text or "", r.doc_id) for r in rows if r.doc_id) == [("clean words alone", -5)]
+    assert sorted(r.text or "" for r in rows if r.doc_id is None) == ["", "nothing of note here"]
+
+
 def test_personal_data_is_masked(stages):
     from tillframe.llm import pii
 
