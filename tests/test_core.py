@@ -322,6 +322,14 @@ def test_tools(spark, tmp_path):
         tools.chart_spec(df, "id", "no", "How many?")
 
 
+def test_measurements_have_time_and_memory(spark):
+    from tillframe.plans import measurements
+
+    rows = tools.bench(spark, {k: v for k, v in measurements.cases(spark, SF).items() if k in ("filter", "if/else")}, runs=1, warmup=0).collect()
+    assert {r.engine for r in rows} == {"spark", "pandas", "numpy", "spark, Python UDF"} and all(r.median_s > 0 and r.jvm_mb > 0 for r in rows)
+    assert measurements.savings(spark, SF).where("what like 'pandas%' and bytes_after < bytes_before").count() == 1
+
+
 def test_pages(spark):
     t = {n: files.table(spark, SF, n) for n in ("lineitem", "orders", "customer", "nation", "region", "part", "events")}
     for name, page in pages.PAGES.items():

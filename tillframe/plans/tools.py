@@ -54,18 +54,44 @@ class Settings(BaseModel):
 
 
 def bench(spark: SparkSession, cases: Mapping[str, Mapping[str, Callable[[], object]]], runs: int = 5, warmup: int = 1) -> DataFrame:
-    """(operation, engine, median_s, spread_s, runs); a DataFrame that a case returns is written to nowhere."""
+    """(operation, engine, median_s, spread_s, runs, jvm_mb, python_mb); a DataFrame that a case returns is written to nowhere.
+
+    jvm_mb is the largest peak of the driver's heap and other pools, python_mb the growth of
+    this process at its peak. In local mode that is all the memory but that of Python workers.
+    """
     rows = []
     for operation, engines in cases.items():
         for engine, fn in engines.items():
-            took = []
+            took, jvm, python = [], 0.0, 0.0
             for k in range(warmup + runs):
+                peaks = _peaks(spark)
                 began = time.perf_counter()
                 if isinstance(out := fn(), DataFrame):
                     out.write.format("noop").mode("overwrite").save()
                 took += [time.perf_counter() - began] if k >= warmup else []
-            rows.append((operation, engine, statistics.median(took), max(took) - min(took), runs))
-    return spark.createDataFrame(rows, "operation string, engine string, median_s double, spread_s double, runs int")
+                jvm, python = map(max, (jvm, python), peaks())
+            rows.append((operation, engine, statistics.median(took), max(took) - min(took), runs, jvm, python))
+    return spark.createDataFrame(rows, "operation string, engine string, median_s double, spread_s double, runs int, jvm_mb double, python_mb double")
+
+
+def _peaks(spark: SparkSession) -> Callable[[], tuple[float, float]]:
+    """Start to watch memory; the result gives the JVM's and this process's peaks in MB since then. Linux alone tells the latter."""
+
+    def resident(line: str) -> float:
+        try:
+            with open("/proc/self/status", encoding="ascii") as f:
+                return next(int(x.split()[1]) / 1024 for x in f if x.startswith(line))
+        except (OSError, StopIteration):
+            return 0.0
+
+    spark._jvm.System.gc()
+    pools = list(spark._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans())
+    for pool in pools:
+        pool.resetPeakUsage()
+    with contextlib.suppress(OSError), open("/proc/self/clear_refs", "w", encoding="ascii") as f:
+        f.write("5")
+    before = resident("VmRSS")
+    return lambda: (sum(p.getPeakUsage().getUsed() for p in pools) / 2**20, max(0.0, resident("VmHWM") - before))
 
 
 def chart_spec(df: DataFrame, x: str, y: str, question: str, series: str | None = None, kind: str = "line") -> dict:
