@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import discard, shared_folder, written  # noqa: F401
@@ -193,6 +193,11 @@ def sample_ids(df: DataFrame, key: str, n: int) -> list:
     return [r[0] for r in df.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(n).collect()]
 
 
+def carried(columns: list[str]) -> Column:
+    """A caller's columns as one struct, so that none of their names meets an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(0).alias("_"))
+
+
 def schema_of(df: DataFrame, more: str, without: tuple[str, ...] = ()) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in without), more])
 
@@ -209,14 +214,19 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def own(owner: str) -> None:
+    """Claim what the worker keeps; what another owner has left goes."""
+    if _owner[0] != owner:
+        kept.clear()
+        _owner[0] = owner
+        give_back()
+
+
 def batched(fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], owner: str = ""):
     """A mapInArrow function from a function of one batch. Only tasks of one owner share what is kept."""
 
     def run(batches):
-        if _owner[0] != owner:
-            kept.clear()
-            _owner[0] = owner
-            give_back()
+        own(owner)
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)

@@ -66,7 +66,7 @@ def scan(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
     if (total or 0) <= MAX_BROADCAST_BYTES:
         windows = F.broadcast(windows)
     kept = [c for c in docs.columns if c not in (text, "n_words", "hits", "items")]
-    row = F.struct(F.struct(*(F.col(f"`{c}`") for c in kept), F.lit(0).alias("_")).alias("kept"), F.monotonically_increasing_id().alias("row"))
+    row = F.struct(common.carried(kept).alias("kept"), F.monotonically_increasing_id().alias("row"))
     rows = docs.select(row.alias("key"), words(F.col(f"`{text}`")).alias("w"))
     begins = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1, F.lit(SEGMENT))).otherwise(F.array(F.lit(0)))
     # a segment: the words before it, and its own with those that its last windows go on into
