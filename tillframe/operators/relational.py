@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranges import asof, interval_join
+
 
 def net(price: str = "l_extendedprice", discount: str = "l_discount") -> Column:
     return F.col(price) * (1 - F.col(discount))
@@ -72,23 +74,13 @@ def with_match(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFram
 
 
 def band(df: DataFrame, value: str, bands: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
-    """df joined to the band with low <= value < high; bands is a handful of rows."""
-    return df.join(F.broadcast(bands), (F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)), "left")
+    """df joined to the band with low <= value < high; a few bands are broadcast, behind a count, many are joined by bins."""
+    return interval_join(df, bands, value, low, high, how="left")
 
 
 def nearest_before(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
-    """As-of join: the values of right's last row at or before each left row, by keys.
-
-    One union and one window by key, so neither side is multiplied.
-    """
-    from pyspark.sql import Window
-
-    values_ = F.struct(*values)
-    marked = left.select(*keys, F.col(left_ts).alias("_ts"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(values_.alias("v")).schema["v"].dataType).alias("_v"), F.lit(1).alias("_side"))
-    source = right.select(*keys, F.col(right_ts).alias("_ts"), F.lit(None).cast(marked.schema["_row"].dataType).alias("_row"), values_.alias("_v"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*keys).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    found = marked.unionByName(source).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return found.select("_row.*", *(F.col(f"_last.{v}").alias(v) for v in values))
+    """As-of join: the values of right's last row at or before each left row, by keys."""
+    return asof(left, right, keys, left_ts, right_ts, values)
 
 
 def star(lines: DataFrame, orders: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:

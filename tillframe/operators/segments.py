@@ -1,8 +1,8 @@
 """Ranking, Pareto and ABC, cohorts, RFM and outliers.
 
 Ranks and running shares over a whole table run in one task in Spark; here they are
-computed over a range partitioning instead, each partition adding the totals of those
-before it, so only one number a partition meets in one place.
+computed by ranges of the order (ranges.running), so only one number a range meets in
+one place.
 """
 
 from __future__ import annotations
@@ -12,23 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.files import written
-
-
-def running_over_all(df: DataFrame, order: list[Column], value: Column | None = None, name: str = "running") -> DataFrame:
-    """df with the running sum of value (the row number, if none) in a total order, and <name>_total.
-
-    Rows are range-partitioned, summed within partitions, and shifted by the totals before.
-    The partitioned rows are written once: read from two plans, each would draw its own bounds.
-    """
-    value = F.lit(1).cast("long") if value is None else value
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = written(df.withColumn("_v", value).repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
-    within = parts.withColumn("_w", F.sum("_v").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    totals = parts.groupBy("_p").agg(F.sum("_v").alias("_t"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.select(F.col("_p"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"), F.sum("_t").over(Window.partitionBy(F.lit(0))).alias(f"{name}_total"))
-    return within.join(F.broadcast(shifts), "_p").withColumn(name, F.col("_w") + F.col("_s")).drop("_v", "_p", "_w", "_s")
+from .ranges import running as running_over_all
 
 
 def pareto(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fn
 from ..operators import aggregates as ag
 from ..operators import quality as dq
+from ..operators import ranges as rg
 from ..operators import relational as rel
 from ..operators import segments as sg
 from ..operators import timeseries as ts
@@ -146,6 +147,47 @@ def asof_last_purchase(s, d):
     return rel.nearest_before(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), bought, ["user_id"], "ts", "ts", ["purchase_id"]).select("event_id", "purchase_id")
 
 
+_HOT = "case when user_id % 10 = 0 then user_id % 3 else -1 end"
+_ASOF = f"""with u as (
+  select {_HOT} k, ts, event_id, case when event_type = 'purchase' then event_id end p, case when event_type = 'purchase' then 0 else 1 end side from events where event_type in ('error', 'purchase')),
+n as (
+  select *, last_value(case when side = 0 then (ts, p) end ignore nulls) over (partition by k order by ts, side, p rows unbounded preceding) b,
+    last_value(case when side = 0 then (ts, p) end ignore nulls) over (partition by k order by ts desc, side desc, p desc rows between unbounded preceding and 1 preceding) f from u)"""
+
+
+def _errors_and_purchases(s, d):
+    e = table(s, d, "events").withColumn("k", F.expr(_HOT))
+    return e.where("event_type = 'error'").select("event_id", "k", "ts"), e.where("event_type = 'purchase'").select("k", F.col("ts").alias("bought"), F.col("event_id").alias("purchase_id"))
+
+
+@query(f"{_ASOF} select event_id, case when b[1] >= ts - interval 10 minute then b[2] end as purchase_id from n where side = 1")
+def asof_within_minutes(s, d):
+    """For each error the last purchase in the ten minutes before it, in a group that nine tenths of the rows share."""
+    errors, bought = _errors_and_purchases(s, d)
+    return rg.asof(errors, bought, ["k"], "ts", "bought", ["purchase_id"], tolerance=600_000_000).select("event_id", "purchase_id")
+
+
+@query(f"{_ASOF} select event_id, case when f is null or ts - b[1] <= f[1] - ts then b[2] else f[2] end as purchase_id from n where side = 1")
+def asof_nearest(s, d):
+    """For each error the purchase nearest in time, before or after, in such a group."""
+    errors, bought = _errors_and_purchases(s, d)
+    return rg.asof(errors, bought, ["k"], "ts", "bought", ["purchase_id"], "nearest").select("event_id", "purchase_id")
+
+
+_OFFERS = "select p_partkey, timestamp '1995-01-01' + to_days(cast(p_partkey * 37 % 2400 as integer)) as since, timestamp '1995-01-01' + to_days(cast(p_partkey * 37 % 2400 + p_size % 9 as integer)) as upto, p_retailprice price from part"
+
+
+@query(f"select o_orderkey, count(p_partkey) offers, round(min(price), 2) cheapest from orders left join ({_OFFERS}) on o_orderdate >= since and o_orderdate < upto group by 1")
+def offers_at_order(s, d):
+    """How many products were on offer when an order came in, by an interval join in bins."""
+    day = lambda c: F.timestamp_add("DAY", c, F.expr("timestamp_ntz'1995-01-01'"))
+    start = F.col("p_partkey") * 37 % 2400
+    offers = table(s, d, "part").select("p_partkey", day(start).alias("since"), day(start + F.col("p_size") % 9).alias("upto"), F.col("p_retailprice").alias("price"))
+    orders = table(s, d, "orders").select("o_orderkey", "o_orderdate")
+    found = rg.interval_join(orders, offers, "o_orderdate", "since", "upto", how="left")
+    return found.groupBy("o_orderkey").agg(F.count("p_partkey").alias("offers"), _r(F.min("price")).alias("cheapest"))
+
+
 @query(f"select r_name, c_mktsegment, cast(grouping(r_name) as bigint) g_region, cast(grouping(c_mktsegment) as bigint) g_segment, count(*) orders from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by cube (r_name, c_mktsegment)")
 def cube_region_segment(s, d):
     """Orders by region and segment with all totals."""
@@ -366,6 +408,30 @@ def top_3_by_type(s, d):
     return sg.top_n(table(s, d, "part"), ["p_type"], "p_retailprice", 3, "p_partkey").select("p_type", "p_partkey", "p_retailprice", F.col("rank").cast("long").alias("rank"))
 
 
+@query("select event_id, count(*) over w n, round(avg(value) over w, 4) mean, min(value) over w low, max(value) over w high from events window w as (order by ts, event_id rows between 49 preceding and current row)")
+def rolling_50_events(s, d):
+    """What the last fifty events, of whatever user, were worth (W1, W2), over raw rows in ranges with a halo."""
+    e = table(s, d, "events").select("event_id", "ts", "value")
+    out = rg.rolling_rows(e, ["ts", "event_id"], 50, {"n": F.count(F.lit(1)), "mean": F.avg("value"), "low": F.min("value"), "high": F.max("value")})
+    return out.select("event_id", "n", _r("mean", 4).alias("mean"), "low", "high")
+
+
+@query("select event_id, count(*) over w n, round(sum(value) over w, 4) total, round(stddev_samp(value) over w, 4) sd from events window w as (partition by event_type order by ts range between interval 6 hour preceding and current row)")
+def rolling_hours_by_type(s, d):
+    """Events of a type in the six hours up to each (W2, W3); a type is as many tasks as it has ranges."""
+    e = table(s, d, "events").select("event_id", "event_type", "ts", "value")
+    out = rg.rolling_span(e, "ts", 6 * 3_600_000_000, {"n": F.count(F.lit(1)), "total": F.sum("value"), "sd": F.stddev_samp("value")}, ("event_type",))
+    return out.select("event_id", "n", _r("total", 4).alias("total"), _r("sd", 4).alias("sd"))
+
+
+@query("select event_id, cast(row_number() over w as bigint) as number, round(sum(value) over (order by ts, event_id rows unbounded preceding), 3) as running from events window w as (order by ts, event_id)")
+def running_events(s, d):
+    """Each event's number and what all up to it were worth (W14), by carried totals."""
+    e = table(s, d, "events").select("event_id", "ts", "value")
+    numbered = rg.running(e, ["ts", "event_id"], None, "number")
+    return rg.running(numbered, ["ts", "event_id"], F.col("value")).select("event_id", "number", _r("running", 3).alias("running"))
+
+
 @query(f"with t as ({_DAILY}) select o_date, round(v - lag(v) over w, 2) delta, round(lead(v) over w, 2) as following from t window w as (order by o_date)")
 def lag_lead(s, d):
     """Change on the day before, and the day after."""
