@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, common
-from .token_counts import tokenizer_of
+from .token_counts import NO_CUT, tokenizer_of
 
 CAPACITY, END = 1024, 2
 #: Numbers of pieces of one length lie below 2 ** this.
@@ -33,25 +33,55 @@ NUMBERS = 44
 # ---------------------------------------------------------------- tokens
 
 
+#: Bounds of the pieces, and their tokens, that a worker keeps; beyond, it begins anew.
+MAX_PIECES, MAX_TOKENS = 600_000, 3_000_000
+#: Pieces are given to the library in texts of so many.
+TOGETHER = 100
+
+
 class LibraryEncoder(bpe.Encoder):
-    """Encodes whole texts as the tokenizers library does: pieces from a bounded table, the rest by the library."""
+    """Encodes whole texts as the tokenizers library does: pieces from a bounded table, the rest by the library.
+
+    Pieces that begin with a space and a non-space are encoded alike wherever they stand,
+    so the library gets many as one text, whose tokens are told apart by their bytes.
+    """
 
     def __init__(self, spec: str):
         self.tokenizer = tokenizer_of(spec)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
+        special = {i: t.content.encode() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = list(special.values())
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # one character of the vocabulary stands for a byte
+            self.bytes_of[i] = len(special.get(i, token))
+        super().forget()
+
+    def forget(self) -> None:
+        if self.start.n > MAX_PIECES or self.tokens.n > MAX_TOKENS:
+            super().forget()
 
     def library(self, texts: list[bytes]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def learn(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> None:
-        raw = data.tobytes()
-        found = self.library([raw[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)])
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.start.extend(self.tokens.n + np.cumsum(size) - size)
-        self.size.extend(size)
-        self.tokens.extend(np.fromiter((t for x in found for t in x), np.int32, int(size.sum())))
-        self.known.add(hashes, np.arange(self.start.n - len(found) + 1, self.start.n + 1, dtype=np.int32))
+        size = end - begin
+        free = (data[begin] == 0x20) & (size > 1)
+        free[free] = ~NO_CUT[data[begin[free] + 1]]
+        order = np.r_[np.flatnonzero(free), np.flatnonzero(~free)]
+        n_free, stops = int(free.sum()), np.cumsum(size[order])
+        raw = data[bpe._runs(begin[order], size[order])].tobytes()
+        cuts = np.r_[0, stops[np.r_[np.arange(TOGETHER - 1, n_free - 1, TOGETHER), np.arange(max(n_free - 1, 0), len(order))]]].tolist()
+        ids = np.concatenate([np.array(x, np.int32) for x in self.library([raw[b:e] for b, e in zip(cuts[:-1], cuts[1:], strict=True)])])
+        last = np.searchsorted(ends := np.cumsum(self.bytes_of[ids]), stops)
+        if not (ends[last] == stops).all():
+            raise ValueError("a token crosses the border of two pieces")
+        count, start = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        count[order] = np.diff(np.r_[-1, last])
+        start[order] = np.r_[0, last[:-1] + 1]
+        self.start.extend(self.tokens.n + start)
+        self.size.extend(count)
+        self.tokens.extend(ids)
+        self.known.add(hashes, np.arange(self.start.n - len(order) + 1, self.start.n + 1, dtype=np.int32))
 
     def encode_all(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ids, counts = super().encode_all(data, at)
