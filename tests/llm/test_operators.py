@@ -108,6 +108,14 @@ def test_embedding_join_edges_and_brute_force(spark, monkeypatch):
     assert Counter(map(tuple, got)) == want
 
 
+def test_rows_of_one_key_are_vectors_of_their_own(spark):
+    """Of two vectors of key 1, one has a neighbour and the other none; keys 3 and 4 have two each, in two components."""
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 1), (1, b, 1), (2, [1.0, 0.01, 0.0], 1), (3, c, 1), (4, [0.0, 0.01, 1.0], 1), (3, [0.0, -1.0, 0.0], 1), (4, [0.01, -1.0, 0.0], 1), (3, c, 2), (4, b, 2)]
+    got = Counter(map(tuple, embedding_join.join(vectors(spark, [(*x, None, 0) for x in rows])).collect()))
+    assert got == Counter([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (3, 1, 3, True), (4, 1, 3, False), (3, 0, 3, True), (4, 0, 4, True)])
+
+
 def test_embedding_join_of_nothing(spark):
     assert embedding_join.join(vectors(spark, [])).count() == 0
 
@@ -296,6 +304,18 @@ def test_declared_language_stands_anywhere(spark, tmp_path):
     assert {r.page_id: r.declared and r.declared.lower() for r in seen[0]} == {k: "fr" for k in range(len(fronts))} | {8: None, 9: None}
 
 
+def test_language_keeps_clashing_columns(spark):
+    """Columns named like the operator's own come back as they went in; those of its outputs are replaced."""
+    model = language.train(common.read(spark, SF, "documents"))
+    names = ["stated", "n_host", "host_", "by_text", "score_", "top_", "ll", "row", "_", "host"]
+    rows = spark.createDataFrame([(1, "la maison est belle", *range(len(names)), "mine")], "doc_id long, text string" + "".join(f", `{c}` int" for c in names) + ", confidence string")
+    for keep in (False, True):
+        out = language.identify(rows, model, host=F.lit("h.fr"), suffix=F.lit("fr"), keep_text=keep)
+        assert out.columns == ["doc_id", *["text"] * keep, *names, "lang", "confidence", "letters", "lang_by_text", "rejected"]
+        r = out.first()
+        assert [r[c] for c in names] == list(range(len(names))) and r.confidence > 0.5
+
+
 def test_address(spark):
     df = spark.createDataFrame([("https://m.a.example.com:80/x",), ("nonsense",), (None,)], "url string")
     host, domain, suffix = language.address(F.col("url"))
@@ -318,9 +338,13 @@ def test_decontamination_of_short_items(spark, docs, empty):
     assert got == [(1, 5, [2, 3, 4], ["1", "5"]), (2, 12, list(range(2, 12)), ["2"]), (3, 0, [], []), (4, 0, [], []), (4, 2, [1, 2], ["5"])]
     scanned = decontamination.scan(texts, decontamination.benchmark_windows(bench))
     assert sorted(scanned.columns) == sorted({*texts.columns, "n_words"} - {"text"})
-    texts = texts.drop("a.b")
-    cut = {r.doc_id: r.text for r in decontamination.remove_spans(texts.where("doc_id < 3"), scanned, "doc_id").collect()}
+    windows = decontamination.benchmark_windows(bench)
+    cut = {r.doc_id: r.text for r in decontamination.remove_spans(texts.where("doc_id < 3"), windows).collect()}
     assert cut == {1: "see  ,  fox", 2: "x           y"}
+    again = texts.union(texts).withColumn("_key", F.lit(8)).withColumn("_cut", F.lit("c")).withColumn("row", F.lit(1)).withColumn("left", F.lit("l"))
+    kept = decontamination.remove_spans(again, windows)
+    assert kept.columns == again.columns and Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, "see  ,  fox"), (2, "x           y"), (3, None), (4, ""), (4, " ")] * 2)
+    assert {(r._key, r._cut, r.row, r.left, r["items"], r.hits, r["a.b"]) for r in kept.collect()} == {(8, "c", 1, "l", 1, "x", 4)}
     assert decontamination.scan(empty, decontamination.benchmark_windows(bench)).count() == 0
     assert decontamination.scan(docs, decontamination.benchmark_windows(bench.where("false"))).where(F.size("hits") > 0).count() == 0
 

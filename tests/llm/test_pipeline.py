@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.test_operators import plain_classes
@@ -79,6 +80,20 @@ def test_tokens_round_trip(stages):
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in stages["bpe_tokens"])
 
 
+def test_stages_keep_other_columns(spark):
+    names = ["stated", "n_host", "host_", "by_text", "letters", "confidence", "score_", "text_hash", "hits", "items", "key", "row", "component_id", "left_out"]
+    docs = common.read(spark, SF, "documents").limit(40)
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{k}:"), F.col("doc_id").cast("string")))
+    docs = common.written(docs, "clashes")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{k}:{r.doc_id}" for r in rows for k, c in enumerate(names)), name
+    assert cp.bpe_tokens(spark, docs, SF).count() == 40
+
+
 def test_run_and_empty_input(spark, stages):
     assert {r.doc_id for r in cp.run(spark, SF).collect()} == {r.doc_id for r in stages["bpe_tokens"]}
     for _, stage in cp.STAGES:

@@ -87,15 +87,24 @@ def covered(hits: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
 
 
-def remove_spans(docs: DataFrame, scanned: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with the words inside hits taken out of their texts, what stands between staying."""
-    cut = scanned.where(F.size("hits") > 0).select(F.col(key).alias("_key"), covered(F.col("hits")).alias("_cut"))
-    parts = F.regexp_extract_all(text, F.lit(rf"{WORD}|[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-    word_first = F.col(text).rlike(rf"^{WORD}")
+def remove_spans(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
+    """docs with the words inside windows taken out of their texts, what stands between staying.
+
+    What is cut depends on the text alone, so each different text is scanned once, and its
+    rows find their cuts by its hash and length: rows, repeated ones and those of one key
+    among them, stay as many as they are. Null and empty texts have no words and stay as
+    they are; so does every other column, whatever it is called.
+    """
+    key = F.struct(F.xxhash64("text").alias("hash"), F.length("text").alias("length"))
+    rows = docs.select(common.carried([c for c in docs.columns if c != text]).alias("row"), F.col(f"`{text}`").alias("text")).withColumn("key", key)
+    scanned = scan(rows.where("text is not null").select("key", "text"), windows).where(F.size("hits") > 0)
+    cut = common.small(common.written(scanned.groupBy("key").agg(covered(F.first("hits")).alias("cut")), "cuts"))
+    parts = F.regexp_extract_all("text", F.lit(rf"{WORD}|[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    word_first = F.col("text").rlike(rf"^{WORD}")
     number = lambda i: F.when(word_first, F.when(i % 2 == 0, i / 2 + 1)).otherwise(F.when(i % 2 == 1, (i + 1) / 2))
-    left = F.array_join(F.filter(parts, lambda p, i: ~F.coalesce(F.array_contains("_cut", number(i).cast("int")), F.lit(False))), "")
-    joined = docs.join(cut, docs[key] == cut["_key"], "left")
-    return joined.withColumn(text, F.when(F.col("_cut").isNull(), F.col(text)).otherwise(left)).select(*docs.columns)
+    left = F.array_join(F.filter(parts, lambda p, i: ~F.coalesce(F.array_contains("cut", number(i).cast("int")), F.lit(False))), "")
+    joined = rows.join(cut, "key", "left").withColumn("left", F.when(F.col("cut").isNull(), F.col("text")).otherwise(left))
+    return joined.select(*(F.col("left").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

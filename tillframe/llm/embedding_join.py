@@ -105,14 +105,14 @@ def _cells(points: DataFrame, pivots: dict, r: float, radii: dict | None) -> Dat
     return points.mapInArrow(common.batched(work), common.schema_of(points, "cell int, home boolean, distance double"))
 
 
-def link_tile(rep: np.ndarray, weight: np.ndarray, home: np.ndarray, block: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each point of a tile: the vectors it links with, and the least rep linked (over any number of links).
+def link_tile(rep: np.ndarray, tag: np.ndarray, weight: np.ndarray, home: np.ndarray, block: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each point of a tile: the vectors it links with, and the place of the least point (by rep, tag) linked over any number of links.
 
     Points of two blocks are compared across, of one among themselves; two guests never.
     """
     n = len(rep)
-    order = np.argsort(rep, kind="stable")
-    rep, weight, home, block, v = rep[order], weight[order], home[order], block[order], v[order]
+    order = np.lexsort((tag, rep))
+    weight, home, block, v = weight[order], home[order], block[order], v[order]
     two = block.min() != block.max()
     links, least, pairs = np.zeros(n, np.int64), np.arange(n), []
     for b in range(0, n, 256):
@@ -139,7 +139,7 @@ def link_tile(rep: np.ndarray, weight: np.ndarray, home: np.ndarray, block: np.n
         least = now
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
-    return links[back], rep[least][back]
+    return links[back], order[least][back]
 
 
 def join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98) -> DataFrame:
@@ -154,7 +154,8 @@ def join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
     r = float(np.sqrt(2 - 2 * threshold))
     rows = common.written(points_of(df.where(F.col(key).isNotNull()), key, vector, label), "vectors")
     points = rows.where("vec is not null").groupBy("label", "mark").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
-    points = common.written(points, "points")
+    # a key can have several vectors, so a point is known by its least key and a hash of what it is
+    points = common.written(points.withColumn("tag", F.xxhash64("label", "mark")), "points")
     pivots = draw_pivots(points)
     where = ["label", F.length("vec").alias("size"), "cell"]
     radii = {(x.label, x.size, x.cell): x.radius for x in _cells(points, pivots, r, None).groupBy(*where).agg(F.max("distance").alias("radius")).where(F.col("label").isin([k[0] for k in pivots])).collect()} if pivots else {}
@@ -162,13 +163,13 @@ def join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
     sizes = placed.groupBy(*where).agg(F.count(F.lit(1)).alias("n"))
     blocks = F.when(F.col("n") <= TILE, F.lit(1)).otherwise(F.ceil(F.col("n") / (TILE / 2))).cast("int").alias("blocks")
     placed = placed.withColumn("size", F.length("vec")).join(sizes.select("label", "size", "cell", blocks), ["label", "size", "cell"])
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = placed.select("label", "size", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "rep", "weight", "vec")
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("tag"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = placed.select("label", "size", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "home", "rep", "tag", "weight", "vec")
     tiles = tiles.withColumn("tile", F.xxhash64("label", "size", "cell", "i", "j")).withColumn("part", F.pmod("tile", F.lit(8 * common.shuffle_partitions(spark))))
 
     def link(table: pa.Table) -> pa.Table:
         tile = table.column("tile").to_numpy()
-        rep, weight, home, own = (np.asarray(table.column(c).to_numpy()) for c in ("rep", "weight", "home", "own"))
+        rep, tag, weight, home, own = (np.asarray(table.column(c).to_numpy()) for c in ("rep", "tag", "weight", "home", "own"))
         vec = table.column("vec").to_pylist()
         order = np.argsort(tile, kind="stable")
         cuts = np.flatnonzero(np.r_[True, tile[order][1:] != tile[order][:-1]]).tolist()
@@ -176,16 +177,17 @@ def join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
         for b, e in zip(cuts, [*cuts[1:], len(order)], strict=True):
             at = order[b:e]
             if len(at) > 1:
-                links, least = link_tile(rep[at], weight[at], home[at], own[at], units([vec[k] for k in at]), threshold)
+                links, least = link_tile(rep[at], tag[at], weight[at], home[at], own[at], units([vec[k] for k in at]), threshold)
                 hit = links > 0
-                out.append((rep[at][hit], links[hit], least[hit]))
-        rep, links, least = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"rep": rep, "links": links, "least": least})
-
-    found = common.written(tiles.groupBy("part").applyInArrow(link, "rep long, links long, least long"), "links")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = common.components(found, "rep", "least", "vectors").select(F.col("node").alias("rep"), F.col("component_id").alias("least"))
-    classes = points.select("label", "mark", "rep", "weight").join(counts, "rep", "left").join(linked, "rep", "left")
+                out.append((at[hit], links[hit], at[least[hit]]))
+        at, links, least = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({"rep": rep[at], "tag": tag[at], "links": links, "to_rep": rep[least], "to_tag": tag[least]})
+
+    found = common.written(tiles.groupBy("part").applyInArrow(link, "rep long, tag long, links long, to_rep long, to_tag long"), "links")
+    counts = found.groupBy("rep", "tag").agg(F.sum("links").alias("links"))
+    edges = found.select(F.struct("rep", "tag").alias("a"), F.struct(F.col("to_rep").alias("rep"), F.col("to_tag").alias("tag")).alias("b"))
+    linked = common.components(edges, "a", "b", "vectors").select("node.rep", "node.tag", F.col("component_id.rep").alias("least"))
+    classes = points.select("label", "mark", "rep", "tag", "weight").join(counts, ["rep", "tag"], "left").join(linked, ["rep", "tag"], "left")
     classes = classes.select("label", "mark", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"), F.coalesce("least", "rep").alias("least"))
     joined = rows.select("id", "label", "mark").join(classes, ["label", "mark"], "left")
     component = F.coalesce("least", "id")

@@ -132,18 +132,20 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", host: Column |
     evidence. What a row's own text suggests is left out of the counts that judge it. A
     row is rejected if its text has no letter, or the most likely language's posterior is
     below MIN_CONFIDENCE. Ties go to the first language by name. Columns of the new names
-    are replaced; repeated rows stay repeated; an empty table gives an empty table.
+    are replaced, whatever the others are called; repeated rows stay repeated; an empty table gives an empty table.
     """
-    names = ("ll", "letters", "by_text", "lang", "confidence", "lang_by_text", "rejected")
+    outputs = ("lang", "confidence", "letters", "lang_by_text", "rejected")
+    kept = [c for c in df.columns if c not in outputs and c != text]
     none = F.lit(None).cast("string")
     given = {"host_": host, "domain_": domain, "suffix_": suffix, "declared_": declared}
-    df = df.select("*", *((none if c is None else F.lower(c)).alias(k) for k, c in given.items())).drop(*names)
+    # the caller's columns travel in a struct, so that none is taken for one of these
+    order, df = [c for c in df.columns if c in kept or keep_text and c == text and c not in outputs], df.select(common.carried(kept).alias("row"), F.col(f"`{text}`").alias("text"), *((none if c is None else F.lower(c)).alias(k) for k, c in given.items()))
     languages = model.languages
     zeros = F.array(*(F.lit(0.0) for _ in languages))
     best = lambda c: F.element_at(F.array(*(F.lit(x) for x in languages)), F.array_position(c, F.array_max(c)).cast("int"))
     judged = lambda e: e.withColumn("by_text", F.when(F.col("letters") > 0, best(F.col("ll"))))
-    seen = common.written(judged(text_evidence(df.select(*given, text) if keep_text else df, model, text)), "language")
-    rows = judged(text_evidence(df, model, text, True)) if keep_text else seen
+    seen = common.written(judged(text_evidence(df.select(*given, "text") if keep_text else df, model, "text")), "language")
+    rows = judged(text_evidence(df, model, "text", True)) if keep_text else seen
     total = seen.where("by_text is not null").agg(*(F.sum(F.when(F.col("by_text") == x, 1.0).otherwise(0.0)) for x in languages)).first()
     total = [float(x or 0) + 1.0 for x in total]
     share = F.array(*(F.lit(x / sum(total)) for x in total))
@@ -170,8 +172,7 @@ def identify(df: DataFrame, model: TextModel, text: str = "text", host: Column |
     rows = rows.withColumn("confidence", 1 / F.aggregate(F.transform("score_", lambda x: F.exp(x - F.col("top_"))), F.lit(0.0), lambda a, x: a + x))
     rows = rows.withColumn("lang", best(F.col("score_"))).withColumn("lang_by_text", F.col("by_text"))
     rows = rows.withColumn("rejected", (F.col("letters") == 0) | (F.col("confidence") < MIN_CONFIDENCE))
-    drop = {*given, *((), (text,))[not keep_text]}
-    return rows.select(*(F.col(f"`{c}`") for c in df.columns if c not in drop), "lang", "confidence", "letters", "lang_by_text", "rejected")
+    return rows.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in order), *outputs)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
