@@ -29,9 +29,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     common.small_batches(spark)
     model = language.train(docs.select("doc_id", "text", "lang"))
-    stated = docs.withColumnRenamed("lang", "stated")
-    found = language.identify(stated, model, host=F.col("source"), keep_text=True).where("not rejected")
-    return found.withColumn("lang", F.coalesce("stated", "lang")).select(*docs.columns)
+    # the row travels in one column, so that no column of docs is taken for the operator's
+    rows = docs.select(common.carried([c for c in docs.columns if c != "text"]).alias("row"), "text", F.col("source").alias("host"))
+    found = language.identify(rows, model, host=F.col("host"), keep_text=True).where("not rejected")
+    kept = {"text": F.col("text"), "lang": F.coalesce("row.lang", "lang").alias("lang")}
+    return found.select(*(kept.get(c, F.col("row")[c].alias(c)) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
