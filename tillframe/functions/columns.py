@@ -6,6 +6,8 @@ import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 
 def clean_text(c: Column) -> Column:
@@ -45,3 +47,60 @@ class _Calendar:
 def calendar(start: datetime.date, end: datetime.date) -> DataFrame:
     """Every day of a range, from a table function."""
     return F.udtf(_Calendar, returnType="date: date, weekend: boolean")(F.lit(start), F.lit(end))
+
+
+def calendar_of(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """spans with a row for each day from start to end, by a lateral join with the table function; spans without a start or end have none."""
+    spans = spans.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    days = F.udtf(_Calendar, returnType="date: date, weekend: boolean")(F.col(start).outer(), F.col(end).outer())
+    return spans.lateralJoin(days)
+
+
+class _Runs:
+    """A table function over a table dealt out by key and sorted by date: its runs, of dates at most so many days apart."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, day: AnalyzeArgument, gap: AnalyzeArgument) -> AnalyzeResult:
+        """The key keeps its name and type; a column that isn't there, or is no date, is an error before anything runs."""
+        kinds = {f.name: f.dataType for f in rows.dataType.fields}
+        for a in (key, day):
+            if a.value not in kinds:
+                raise ValueError(f"the table has no column {a.value!r}")
+        if not isinstance(kinds[day.value], T.DateType):
+            raise ValueError(f"{day.value} is {kinds[day.value].simpleString()}, not a date")
+        if not isinstance(gap.value, int) or gap.value < 0:
+            raise ValueError("gap is a number of days")
+        out = T.StructType().add(key.value, kinds[key.value]).add("run", T.LongType()).add("first_day", T.DateType()).add("last_day", T.DateType()).add("n", T.LongType())
+        return AnalyzeResult(schema=out)
+
+    def __init__(self):
+        self.key, self.run, self.first, self.last, self.n = None, 0, None, None, 0
+
+    def eval(self, row, key: str, day: str, gap: int):
+        self.key, at = row[key], row[day]
+        if at is None:
+            return
+        if self.n and (at - self.last).days > gap:
+            yield self._found()
+            self.first, self.n = None, 0
+        if not self.n:
+            self.run += 1
+            self.first = at
+        self.last, self.n = at, self.n + 1
+
+    def terminate(self):
+        if self.n:
+            yield self._found()
+
+    def _found(self):
+        return self.key, self.run, self.first, self.last, self.n
+
+
+def runs(df: DataFrame, key: str, day: str, gap: int) -> DataFrame:
+    """(key, run, first_day, last_day, n): runs of a key's dates, each at most gap days after the one before.
+
+    A key's rows stream through one task in order of date, which holds a few numbers;
+    rows without a date count for nothing, those without a key are a key.
+    """
+    table = df.select(key, day).asTable().partitionBy(key).orderBy(day)
+    return F.udtf(_Runs)(table, F.lit(key), F.lit(day), F.lit(gap))

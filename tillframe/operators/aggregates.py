@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .ranges import interval_join
+
 
 def aggregate(df: DataFrame, keys: list[str], outputs: Mapping[str, Column]) -> DataFrame:
     return df.groupBy(*keys).agg(*(c.alias(k) for k, c in outputs.items()))
@@ -154,3 +157,67 @@ def exec_kpis(lines: DataFrame, order: str, customer: str, revenue: str, units:
         F.sum("r").alias("revenue"), F.sum("o").cast("long").alias("orders"), F.sum("u").alias("units"), F.try_divide(F.sum("r"), F.sum("o")).alias("aov"),
         F.count(F.lit(1)).alias("active_customers"), F.try_divide(F.sum(F.when(F.col("o") > 1, 1).otherwise(0)), F.count(F.lit(1))).alias("repeat_rate"),
     )
+
+
+# ---------------------------------------------------------------- sketches, regression, variants
+
+
+def daily_sketches(df: DataFrame, ts: str, value: str, keys: tuple[str, ...] = (), precision: int = 16) -> DataFrame:
+    """(keys..., day, sketch): what a day's distinct values leave, some 64 KB at most at this precision, mergeable over any days."""
+    return df.where(F.col(ts).isNotNull()).groupBy(*keys, F.col(ts).cast("date").alias("day")).agg(F.hll_sketch_agg(value, precision).alias("sketch"))
+
+
+def distinct_in_spans(sketches: DataFrame, spans: DataFrame, first: str, end: str) -> DataFrame:
+    """spans with estimate: how many distinct values the days from first up to end (left out) have together, 0 if none.
+
+    Days meet the spans in an interval join, and sketches are united, so no row of the
+    data is read again. The estimate's deviation is 1.04 / sqrt(2 ** precision), 0.4 % at 16.
+    """
+    at = interval_join(sketches.select("day", "sketch"), spans, "day", first, end)
+    found = at.groupBy(*(F.col(c).alias(f"_{c}") for c in spans.columns)).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in spans.columns]
+    return spans.join(found, same, "left").select(*spans.columns, F.coalesce("estimate", F.lit(0)).cast("long").alias("estimate"))
+
+
+def regression(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
+    """(term, coefficient, std_error, t): least squares of y on xs and a constant, over rows without a null.
+
+    One pass gives the sums of products, as many as the square of the regressors; the
+    normal equations are solved by Cholesky's method on the driver. Regressors that depend
+    on each other, or fewer rows than terms, are an error.
+    """
+    rows = df.select(*(F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate([y, *xs]))).dropna()
+    c = [F.lit(1.0), *(F.col(f"c{i}") for i in range(1, len(xs) + 1)), F.col("c0")]
+    sums = rows.agg(*(F.sum(c[i] * c[j]).alias(f"s{i}_{j}") for i in range(len(c)) for j in range(i, len(c)))).first()
+    p = len(c) - 1
+    if sums.s0_0 is None or sums.s0_0 < p:
+        raise ValueError("fewer rows than terms")
+    full = np.array([[sums[f"s{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)])
+    scale = np.sqrt(np.diag(full))
+    scale[scale == 0] = 1
+    gram_, right = (full / np.outer(scale, scale))[:p, :p], (full / np.outer(scale, scale))[:p, p]
+    try:
+        lower = np.linalg.cholesky(gram_)
+    except np.linalg.LinAlgError:
+        lower = np.zeros((p, p))
+    if np.diag(lower).min() < 1e-7:
+        raise ValueError("regressors depend on each other")
+    inverse = np.linalg.solve(lower.T, np.linalg.solve(lower, np.eye(p)))
+    solved = np.linalg.solve(lower.T, np.linalg.solve(lower, right))
+    rest = max(0.0, full[p, p] - scale[p] ** 2 * float(solved @ right))
+    spread = rest / (sums.s0_0 - p) if sums.s0_0 > p else float("nan")
+    b, e = solved * scale[p] / scale[:p], np.sqrt(spread * np.diag(inverse)) / scale[:p]
+    out = [(t, float(b[i]), float(e[i]), float(b[i] / e[i]) if e[i] else None) for i, t in enumerate(["constant", *xs])]
+    return df.sparkSession.createDataFrame(out, "term string, coefficient double, std_error double, t double")
+
+
+def properties(df: DataFrame, variant: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys..., property, kind, n, total): the top-level properties of objects in a VARIANT column, by the type their values have; total adds up numbers.
+
+    Values that are no objects, and null, have none.
+    """
+    each = df.select(*keys, F.col(variant).alias("_v")).lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_v").outer()))
+    kind = F.schema_of_variant("value")
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    kind = F.when(number, "number").when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise(F.lower(kind))
+    return each.where("key is not null").groupBy(*keys, F.col("key").alias("property"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(number, F.try_variant_get("value", "$", "double"))).alias("total"))

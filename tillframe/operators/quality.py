@@ -22,6 +22,34 @@ def validate_schema(df: DataFrame, schema: T.StructType) -> list[str]:
     return out + [f"type of {c}: {have[c].simpleString()}, not {want[c].simpleString()}" for c in want if c in have and have[c].simpleString() != want[c].simpleString()]
 
 
+def schema_report(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """(column, violation, rows): where df, as read, departs from a declared schema, and how many rows that concerns, in one pass.
+
+    missing and unexpected columns concern all rows; a column of another type those whose
+    value is not the same in the declared one; null those without a value in a column
+    declared without nulls. Types that differ and fit every row have 0.
+    """
+    have, want = {f.name: f.dataType for f in df.schema.fields}, {f.name: f for f in schema.fields}
+    every, found = F.count(F.lit(1)), []
+    for name, field in want.items():
+        if name not in have:
+            found.append((name, "missing", every))
+            continue
+        c = F.col(f"`{name}`")
+        if have[name].simpleString() != field.dataType.simpleString():
+            there = c.try_cast(field.dataType)
+            same = there.isNotNull() & there.try_cast(have[name]).eqNullSafe(c)
+            found.append((name, f"{have[name].simpleString()}, not {field.dataType.simpleString()}", F.count(F.when(c.isNotNull() & ~same, 1))))
+        if not field.nullable:
+            found.append((name, "null", F.count(F.when(c.isNull(), 1))))
+    found += [(name, "unexpected", every) for name in have if name not in want]
+    rows = F.array(*(F.struct(F.lit(name).alias("column"), F.lit(what).alias("violation"), n.alias("rows")) for name, what, n in found))
+    if not found:
+        return df.sparkSession.createDataFrame([], "column string, violation string, rows long")
+    out = df.agg(rows.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    return out.where("violation <> 'null' or rows > 0")
+
+
 def with_reasons(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """df with reasons: the names of the rules a row breaks. A rule that is null counts as broken."""
     return df.withColumn("reasons", F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()))))
@@ -80,20 +108,29 @@ def handle_nulls(df: DataFrame, strategy: Mapping[str, Drop | Impute | Flag]) ->
 _WHOLE = [("tinyint", -(2**7), 2**7 - 1, 1), ("smallint", -(2**15), 2**15 - 1, 2), ("int", -(2**31), 2**31 - 1, 4), ("bigint", -(2**63), 2**63 - 1, 8)]
 
 
-def downcast(df: DataFrame) -> tuple[DataFrame, list[tuple[str, str, str, int]]]:
-    """df with whole numbers in the narrowest type that holds them, and (column, from, to, bytes saved a row)."""
+def narrowest(df: DataFrame) -> DataFrame:
+    """(column, was, now, bytes_saved) for each column of whole numbers that a narrower type would hold, from its least and greatest value."""
     whole = [(c, k) for c, k in df.dtypes if k in ("bigint", "int", "smallint")]
     if not whole:
-        return df, []
-    ends = df.agg(*(f(c).alias(f"{c}_{n}") for c, _ in whole for n, f in (("min", F.min), ("max", F.max)))).first()
-    width, report = {k: b for k, _, _, b in _WHOLE}, []
+        return df.sparkSession.createDataFrame([], "column string, was string, now string, bytes_saved int")
+    width = {k: b for k, _, _, b in _WHOLE}
+    ends = []
     for c, kind in whole:
-        low, high = ends[f"{c}_min"], ends[f"{c}_max"]
-        to = next(k for k, a, b, _ in _WHOLE if low is None or a <= low and high <= b)
-        if width[to] < width[kind]:
-            df = df.withColumn(c, F.col(c).cast(to))
-            report.append((c, kind, to, width[kind] - width[to]))
-    return df, report
+        low, high = F.coalesce(F.min(c), F.lit(0)), F.coalesce(F.max(c), F.lit(0))
+        now = F.lit(kind)
+        for k, a, b, n in reversed([x for x in _WHOLE if x[3] < width[kind]]):
+            now = F.when((low >= a) & (high <= b), k).otherwise(now)
+        ends.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("was"), now.alias("now")))
+    found = df.agg(F.array(*ends).alias("c")).select(F.explode("c").alias("c")).select("c.*").where("was <> now")
+    bytes_of = F.create_map(*(F.lit(x) for k, n in width.items() for x in (k, n)))
+    return found.withColumn("bytes_saved", (bytes_of[F.col("was")] - bytes_of[F.col("now")]).cast("int"))
+
+
+def downcast(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df with whole numbers in the narrowest type that holds them, and what narrowest() says of it."""
+    report = narrowest(df)
+    to = {r["column"]: r.now for r in report.collect()}  # a row for each column at most
+    return df.select(*(F.col(f"`{c}`").cast(to[c]).alias(c) if c in to else F.col(f"`{c}`") for c in df.columns)), report
 
 
 def stored_bytes(df: DataFrame) -> int:

@@ -114,3 +114,29 @@ def page(df: DataFrame, order: list[str], n: int, after: tuple | None = None) ->
             later = (c > v) | ((c == v) & later)
         df = df.where(later)
     return df.orderBy(*(F.asc_nulls_last(c) for c in order)).limit(n)
+
+
+def hot_keys(df: DataFrame, on: list[str], share: float) -> DataFrame:
+    """The keys, null ones too, of more than that share of df's rows: at most 1 / share of them."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = df.count()
+    rows = counts.where(F.col("_n") > share * total).drop("_n").collect()
+    return df.sparkSession.createDataFrame(rows, counts.drop("_n").schema)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", salts: int = 16, share: float = 0.05) -> DataFrame:
+    """Equi-join (inner or left) in which a hot key of left is dealt over salts, and its rows of right are there for each.
+
+    For joins whose sides are both too large to broadcast; only rows of right whose key
+    is hot are repeated. Null keys match nothing, and are dealt out as well.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError(f"no such join: {how}")
+    hot = hot_keys(left, on, share).select(*(F.col(k).alias(f"_{k}") for k in on), F.lit(True).alias("_hot"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in on))
+    flagged = lambda df: df.join(F.broadcast(hot), same, "left").drop(*(f"_{k}" for k in on))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*(F.col(c) for c in left.columns)), F.lit(salts)).cast("int")).otherwise(0)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    a = flagged(left).withColumn("_salt", salt).drop("_hot")
+    b = flagged(right).withColumn("_salt", F.explode(every)).drop("_hot")
+    return a.join(b, [*on, "_salt"], how).drop("_salt")

@@ -50,7 +50,7 @@ def savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = table(spark, sf_dir, "lineitem")
     narrow, report = dq.downcast(wide)
     frame = pd.read_parquet(f"{sf_dir}/lineitem.parquet")
-    small = frame.astype({c: {"tinyint": "int8", "smallint": "int16", "int": "int32"}[to] for c, _, to, _ in report} | {c: "category" for c in frame.columns if frame[c].dtype == object or str(frame[c].dtype).startswith("str")})
+    small = frame.astype({c: {"tinyint": "int8", "smallint": "int16", "int": "int32"}[to] for c, _, to, _ in report.collect()} | {c: "category" for c in frame.columns if frame[c].dtype == object or str(frame[c].dtype).startswith("str")})
     size = lambda f: int(f.memory_usage(deep=True).sum())
     return spark.createDataFrame([("parquet, whole numbers narrowed", dq.stored_bytes(wide), dq.stored_bytes(narrow)), ("pandas, narrowed and categorical", size(frame), size(small))], "what string, bytes_before long, bytes_after long")
 

@@ -16,7 +16,8 @@ from ..operators import segments as sg
 from ..operators import timeseries as ts
 from ..sources import files
 from ..sources.files import table
-from ..streaming import live
+from ..streaming import live, state
+from .cache import FileCache
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -597,7 +598,7 @@ def csv_quarantine(s, d):
     customers = table(s, d, "customer")
     key = F.concat(F.when(F.col("c_custkey") % 10 == 0, "x").otherwise(""), F.col("c_custkey").cast("string"))
     path = files.scratch(s, "customers")
-    customers.select(key.alias("c_custkey"), "c_nationkey", "c_mktsegment").write.option("header", True).csv(path)
+    files.export_csv(customers.select(key.alias("c_custkey"), "c_nationkey", "c_mktsegment"), path)
     good, bad = files.load_csv(s, path, _schema("c_custkey long, c_nationkey int, c_mktsegment string"))
     lines = good.select("c_custkey", F.lit(True).alias("accepted"), F.concat_ws(",", *good.columns).alias("line"))
     return lines.unionByName(bad.select("c_custkey", F.lit(False).alias("accepted"), F.col(files.CORRUPT).alias("line")))
@@ -612,11 +613,15 @@ def processed_zone(s, d):
     return back.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("o_totalprice")).alias("total"))
 
 
-@query("select unnest(['missing: o_channel', 'unexpected: o_orderpriority', 'type of o_totalprice: double, not decimal(18,2)']) as violation")
+@query("""select "column", violation, rows from (values
+  ('o_channel', 'missing', (select count(*) from orders)), ('o_orderpriority', 'unexpected', (select count(*) from orders)),
+  ('o_custkey', 'bigint, not smallint', (select count(*) from orders where o_custkey > 32767)),
+  ('o_totalprice', 'double, not decimal(18,1)', (select count(*) from orders where round(o_totalprice, 1) <> o_totalprice)),
+  ('o_orderdate', 'timestamp_ntz, not date', (select count(*) from orders where o_orderdate <> date_trunc('day', o_orderdate)))) t("column", violation, rows)""")
 def schema_violations(s, d):
-    """How orders differ from a declared schema."""
-    declared = _schema("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice decimal(18,2), o_orderdate timestamp_ntz, o_channel string")
-    return s.createDataFrame([(v,) for v in dq.validate_schema(table(s, d, "orders"), declared)], "violation string")
+    """Where orders, as read, depart from a declared schema, and in how many rows."""
+    declared = _schema("o_orderkey long not null, o_custkey smallint, o_orderstatus string, o_totalprice decimal(18,1), o_orderdate date, o_channel string")
+    return dq.schema_report(table(s, d, "orders"), declared)
 
 
 @query("select count(*) as rows, cast(count(*) filter (l_discount between 0 and 0.08) as bigint) accepted, cast(count(*) filter (not (l_discount between 0 and 0.08)) as bigint) rejected from lineitem")
@@ -654,8 +659,7 @@ _WHOLE = {"l_orderkey": ("bigint", 8), "l_partkey": ("bigint", 8), "l_suppkey":
 @query("with t as (" + " union all ".join(f"select '{c}' as \"column\", '{k}' as was, {b} as wide, case when min({c}) >= -128 and max({c}) <= 127 then 1 when min({c}) >= -32768 and max({c}) <= 32767 then 2 when min({c}) >= -2147483648 and max({c}) <= 2147483647 then 4 else 8 end as width from lineitem" for c, (k, b) in _WHOLE.items()) + ") select \"column\", was, case width when 1 then 'tinyint' when 2 then 'smallint' else 'int' end as now, cast(wide - width as integer) as bytes_saved from t where width < wide")
 def downcast_report(s, d):
     """What narrower types save a row."""
-    _, report = dq.downcast(table(s, d, "lineitem"))
-    return s.createDataFrame(report, "column string, was string, now string, bytes_saved int")
+    return dq.narrowest(table(s, d, "lineitem"))
 
 
 @query("select cast(count(*) as bigint) as lines, cast(sum(cast(json_extract_string(props, '$.k') as bigint)) as bigint) k from events")
@@ -717,12 +721,115 @@ def union_parties(s, d):
     return rel.append_all(table(s, d, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance")), table(s, d, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
 
 
-@query("select cast(unnest(range(timestamp '2024-01-01', timestamp '2024-03-01', interval 1 day)) as date) as date, dayofweek(cast(unnest(range(timestamp '2024-01-01', timestamp '2024-03-01', interval 1 day)) as date)) in (0, 6) as weekend")
+@query("""with d as (select cast(unnest(range(date_trunc('day', min(o_orderdate)), max(o_orderdate) + interval 1 second, interval 1 day)) as date) as date from orders)
+select date, dayofweek(date) in (0, 6) as weekend from d""")
 def calendar_udtf(s, d):
-    """The days of two months, from a table function."""
-    import datetime
-
-    return fn.calendar(datetime.date(2024, 1, 1), datetime.date(2024, 2, 29))
+    """The days from the first order to the last, from a table function in a lateral join."""
+    span = table(s, d, "orders").agg(F.min("o_orderdate").cast("date").alias("first"), F.max("o_orderdate").cast("date").alias("last"))
+    return fn.calendar_of(span, "first", "last").select("date", "weekend")
+
+
+@query("""with g as (select o_custkey, cast(o_orderdate as date) as d from orders),
+r as (select *, case when d - lag(d) over (partition by o_custkey order by d) <= 60 then 0 else 1 end b from g),
+n as (select *, sum(b) over (partition by o_custkey order by d rows unbounded preceding) run from r)
+select o_custkey, cast(run as bigint) run, min(d) first_day, max(d) last_day, count(*) n from n group by 1, 2""")
+def order_runs(s, d):
+    """Runs of a customer's orders, each at most sixty days after the one before, from a table function over the table, dealt out by customer."""
+    orders = table(s, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
+    return fn.runs(orders, "o_custkey", "day", 60)
+
+
+# ------------------------------------------------------------- layouts, sketches, models, variants, caches
+
+
+@query("select o_orderstatus, count(*) n, round(sum(l_extendedprice), 2) total from orders join lineitem on l_orderkey = o_orderkey group by 1")
+def bucketed_join(s, d):
+    """Lines and orders joined where they lie, in buckets of the order key."""
+    orders = files.bucketed(table(s, d, "orders").select("o_orderkey", "o_orderstatus"), "orders", ["o_orderkey"], 8)
+    lines = files.bucketed(table(s, d, "lineitem").select("l_orderkey", "l_extendedprice"), "lines", ["l_orderkey"], 8)
+    joined = rel.hinted(orders, "merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("l_extendedprice")).alias("total"))
+
+
+@query(f"with e as (select event_id, event_type, {_HOT} k from events), t as (select k, event_type, count(*) n from e group by 1, 2) select event_id, t.event_type as other, n from e left join t on e.k = t.k and t.event_type <> e.event_type")
+def salted_join(s, d):
+    """Each event with what else its group did, by a join whose hot key is dealt over salts."""
+    e = table(s, d, "events").select("event_id", "event_type", F.expr(_HOT).alias("k"))
+    others = e.groupBy("k", F.col("event_type").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    return rel.salted_join(e, others, ["k"], "left").where("other <> event_type").select("event_id", "other", "n")
+
+
+_SPANS = "select cast(i % 15 as integer) a, cast(i % 15 + 1 + i // 2 as integer) b from (select unnest(range(0, 30)) i)"
+
+
+@query(f"""with s as (select cast(timestamp '2024-01-01' + to_days(a) as date) since, cast(timestamp '2024-01-01' + to_days(b) as date) upto from ({_SPANS}))
+select since, upto, count(distinct user_id) users, true as within from s left join events on ts >= since and ts < upto group by 1, 2""")
+def active_users_by_sketch(s, d):
+    """Active users of thirty spans of days, counted, and whether the day's sketches, united, come within 2 %."""
+    e = table(s, d, "events").select("ts", "user_id")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    i = F.col("id")
+    spans = s.range(30).select(day(i % 15).alias("since"), day(i % 15 + 1 + F.floor(i / 2)).alias("upto"))
+    sketches = ag.daily_sketches(e, "ts", "user_id")
+    estimated = ag.distinct_in_spans(sketches, spans, "since", "upto")
+    days = e.select("user_id", F.col("ts").cast("date").alias("day")).distinct()
+    counted = rg.interval_join(days, spans, "day", "since", "upto").groupBy("since", "upto").agg(F.countDistinct("user_id").alias("users"))
+    both = estimated.join(counted, ["since", "upto"], "left").withColumn("users", F.coalesce("users", F.lit(0)))
+    return both.select("since", "upto", "users", (F.abs(F.col("estimate") - F.col("users")) <= 0.02 * F.col("users")).alias("within"))
+
+
+def _solved(y: str, xs: list[str]) -> str:
+    """SQL that solves the normal equations of y on xs by elimination, and gives the errors of the coefficients."""
+    c, p = ["1.0", *xs], len(xs) + 1
+    rows = [[f"sum({a} * {b})" for b in c] + [f"sum({a} * {y})"] + [f"{float(i == j)}" for j in range(p)] for i, a in enumerate(c)]
+    name = lambda i, j: f"m{i}_{j}"
+    steps = [f"t0 as (select {', '.join(f'cast({x} as double) {name(i, j)}' for i, r in enumerate(rows) for j, x in enumerate(r))}, count(*) n, sum({y} * {y}) yy, {', '.join(f'sum({a} * {y}) r{i}' for i, a in enumerate(c))} from lineitem)"]
+    for k in range(p):
+        reduced = lambda i, j, k=k: f"{name(k, j)} / {name(k, k)}" if i == k else f"{name(i, j)} - {name(i, k)} * {name(k, j)} / {name(k, k)}"
+        steps.append(f"t{k + 1} as (select {', '.join(f'{reduced(i, j)} {name(i, j)}' for i in range(p) for j in range(2 * p + 1))}, n, yy, {', '.join(f'r{i}' for i in range(p))} from t{k})")
+    rest = f"(yy - {' - '.join(f'r{i} * {name(i, p)}' for i in range(p))}) / (n - {p})"
+    out = " union all ".join(f"select '{t}' as term, {name(i, p)} b, sqrt({rest} * {name(i, p + 1 + i)}) e from t{p}" for i, t in enumerate(["constant", *xs]))
+    return f"with {', '.join(steps)} select term, round(b, 3) coefficient, round(e, 3) std_error from ({out})"
+
+
+_XS = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(_solved("l_extendedprice", _XS))
+def price_regression(s, d):
+    """What a line's price depends on: three regressors and their errors, from one pass."""
+    out = ag.regression(table(s, d, "lineitem"), "l_extendedprice", _XS)
+    return out.select("term", _r("coefficient", 3).alias("coefficient"), _r("std_error", 3).alias("std_error"))
+
+
+@query("""with e as (select event_type, event_id % 3 = 0 vip, event_id % 4 c, cast(json_extract_string(props, '$.k') as bigint) k, round(value, 2) v from events)
+select event_type, 'k' as property, 'number' as kind, count(*) n, round(sum(k), 2) total from e group by 1 union all select event_type, 'v', 'number', count(*), round(sum(v), 2) from e group by 1
+union all select event_type, 'user', 'object', count(*), null from e group by 1 union all select event_type, 'vip', 'boolean', count(*), null from e group by 1
+union all select event_type, 'channel', 'string', count(*), null from e where c < 2 group by 1 union all select event_type, 'channel', 'number', count(*), round(sum(c), 2) from e where c >= 2 group by 1""")
+def variant_properties(s, d):
+    """What properties events have and of what types, parsed once to VARIANT (F8)."""
+    e = table(s, d, "events")
+    channel = F.when(F.col("event_id") % 4 < 2, F.concat(F.lit('"c'), F.col("event_id") % 4, F.lit('"'))).otherwise((F.col("event_id") % 4).cast("string"))
+    more = F.concat(F.lit('{"vip": '), (F.col("event_id") % 3 == 0).cast("string"), F.lit(', "v": '), F.format_string("%.2f", F.round("value", 2)), F.lit(', "user": {"id": '), F.col("user_id").cast("string"), F.lit('}, "channel": '), channel, F.lit(", "), F.substring("props", 2, 1 << 20))
+    parsed = e.select("event_type", F.try_parse_json(more).alias("props"))
+    return ag.properties(parsed, "props", ("event_type",)).withColumn("total", _r("total"))
+
+
+@query("select step, n, round(total, 2) total, hit from (select 1 as step, count(*) n, sum(c_acctbal) total, false as hit from customer union all select 2, count(*), sum(c_acctbal), true from customer union all select 3, count(*), sum(c_acctbal), false from customer where c_acctbal > 0)")
+def cache_follows_files(s, d):
+    """A table read through the cache twice, rewritten, and read again: the third time it sees the new rows."""
+    path, found = files.scratch(s, "cached"), []
+    cache = FileCache(s)
+    customers = table(s, d, "customer").select("c_custkey", "c_acctbal")
+    for step, rows in enumerate((customers, None, customers.where("c_acctbal > 0")), 1):
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(path)
+        before = cache.hits
+        total = cache.get(("customers",), [path], lambda: s.read.parquet(path)).agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("total"))
+        seen = files.written(total, "seen")  # as it is now, whatever becomes of the files
+        found.append(seen.select(F.lit(step).alias("step"), "n", _r("total").alias("total"), F.lit(cache.hits > before).alias("hit")))
+    cache.clear()
+    return rel.append_all(*found)
 
 
 # ------------------------------------------------------------- time windows, in batch as on a stream
@@ -755,14 +862,14 @@ def sessions(s, d):
 def _events(s, path: str):
     """Events and their schema, the local time of each as an instant, as watermarks want it, in whatever zone the session is."""
     ts = F.expr("timestampadd(microsecond, timestampdiff(microsecond, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz)), timestamp'1970-01-01T00:00:00Z')")
-    kept = table(s, path, "events").select("event_id", ts.alias("ts"), "event_type", "value")
+    kept = table(s, path, "events").select("event_id", ts.alias("ts"), "event_type", "value", "user_id")
     return kept, kept.schema
 
 
 @query("""with b as (select event_id, event_type, value, ts, cast(date_trunc('day', ts) as date) as day from events), w1 as (select max(ts) - interval 10 day as w from b where event_id % 10 <> 0), w2 as (select max(ts) - interval 10 day as w from b)
 select day, event_type, count(*) n, round(sum(value), 4) total from b, w1, w2 where (event_id % 10 <> 0 or day + interval 1 day > w1.w) and day + interval 1 day <= w2.w group by 1, 2""")
 def stream_late_rows(s, d):
-    """Daily events from a stream: closed days alone, and rows left out that come after their day was closed."""
+    """Daily events from a stream: closed days alone, and rows left out that come after their day was closed."""
     events, schema = _events(s, d)
     feed, out, check = (files.scratch(s, n) for n in ("feed", "days", "days-state"))
     for late in (False, True):
@@ -787,13 +894,79 @@ def stream_dedup(s, d):
 
 @query("select event_type, count(*) n, round(sum(value), 4) total from events group by 1")
 def stream_state(s, d):
-    """Running totals by type, kept in state between two deliveries of a stream."""
+    """Running totals by type, kept in state between two deliveries of a stream, a type's rows dealt over salts."""
     events, schema = _events(s, d)
     feed, out, check = (files.scratch(s, n) for n in ("deliveries", "totals", "totals-state"))
-    for half in range(2):
-        events.where(F.pmod("event_id", F.lit(2)) == half).write.mode("append").parquet(feed)
-        totals = live.latest_by_key(live.stateful_totals(s.readStream.schema(schema).parquet(feed), "event_type", "value"), out, check, ["event_type"])
-    return totals.select("event_type", "n", _r("total", 4).alias("total"))
+    with state.rocksdb(s):
+        for half in range(2):
+            events.where(F.pmod("event_id", F.lit(2)) == half).write.mode("append").parquet(feed)
+            totals = live.latest_by_key(live.stateful_totals(s.readStream.schema(schema).parquet(feed), "event_type", "ts", "value"), out, check, ["event_type", "salt"])
+    return totals.groupBy("event_type").agg(F.sum("n").alias("n"), _r(F.sum("total"), 4).alias("total"))
+
+
+_MIDDLE = "2024-01-16"
+
+
+def _halves(events, ts: str = "ts"):
+    """A table in two deliveries, the earlier rows first."""
+    middle = F.lit(f"{_MIDDLE}T00:00:00Z").cast("timestamp")
+    return events.where(F.col(ts) < middle), events.where(F.col(ts) >= middle)
+
+
+@query(f"""with e as (select user_id, ts, value, event_type, ts < timestamp '{_MIDDLE}' early from events),
+r as (select *, row_number() over (partition by user_id order by ts desc) k, row_number() over (partition by user_id, early order by ts desc) ke from e),
+g as (
+  select user_id, 'total' as what, null as w, max(ts) last_ts, count(*) n, sum(value) t, count(*) filter (event_type = 'click') clicks, sum(value) filter (k <= 3) recent from r group by 1
+  union all select user_id, 'inactive', (select max(ts) from e), max(ts), count(*), sum(value), count(*) filter (event_type = 'click'), sum(value) filter (k <= 3) from r group by 1
+  union all select user_id, 'inactive', (select max(ts) from e where early), max(ts), count(*), sum(value), count(*) filter (event_type = 'click'), sum(value) filter (ke <= 3) from r where early group by 1)
+select user_id, what, n, round(t, 4) total, epoch_us(last_ts) last_us, clicks, round(recent, 4) recent from g where w is null or last_ts + interval 12 hour <= w - interval 1 day""")
+def stream_activity(s, d):
+    """Each user's totals from a stream in two deliveries, and an alert for those who were inactive for twelve hours."""
+    events, schema = _events(s, d)
+    feed, out, check = (files.scratch(s, n) for n in ("halves", "activity", "activity-state"))
+    with state.rocksdb(s):
+        for half in _halves(events):
+            half.write.mode("append").parquet(feed)
+            stream = s.readStream.schema(schema).parquet(feed)
+            rows = live.run_updates(state.activity(stream, {"user_id": F.col("user_id")}, "ts", F.col("value"), F.col("event_type"), 12 * 3_600_000), out, check)
+    totals = live.latest(rows.where("what = 'total'"), ["user_id"])
+    both = totals.unionByName(rows.where("what = 'inactive'").drop("batch"))
+    sums = F.aggregate("recent", F.lit(0.0), lambda a, x: a + x)
+    return both.select("user_id", "what", "n", _r("total", 4).alias("total"), "last_us", F.coalesce(F.col("kinds")["click"], F.lit(0)).alias("clicks"), _r(sums, 4).alias("recent"))
+
+
+@query("""with v as (select event_id, user_id, ts from events where event_type = 'view'), p as (select event_id as purchase_id, user_id, ts from events where event_type = 'purchase'),
+w as (select least((select max(ts) from v), (select max(ts) from p)) - interval 2 day w)
+select v.event_id, purchase_id from v left join p on v.user_id = p.user_id and p.ts >= v.ts and p.ts <= v.ts + interval 1 day, w where purchase_id is not null or v.ts + interval 1 day < w""")
+def stream_follow_ups(s, d):
+    """Views joined to their user's purchases of the next day, as two streams; views that nothing followed, once that is certain."""
+    events, _ = _events(s, d)
+    views = events.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    bought = events.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase_id"), F.col("ts").alias("bought"))
+    feed, feed_too, out, check = (files.scratch(s, n) for n in ("views", "purchases", "follow-ups", "follow-ups-state"))
+    with state.rocksdb(s):
+        for a, b in zip(_halves(views), _halves(bought, "bought"), strict=True):
+            a.write.mode("append").parquet(feed)
+            b.write.mode("append").parquet(feed_too)
+            streams = (s.readStream.schema(x.schema).parquet(path) for x, path in ((views, feed), (bought, feed_too)))
+            live.run_to_end(state.follow_ups(*streams, ["user_id"], "ts", "bought", "1 day", "2 days"), out, check)
+    return s.read.parquet(out).select("event_id", "purchase_id")
+
+
+@query("select cast(floor(epoch(date_trunc('hour', ts))) as bigint) as start, count(*) n, round(sum(value), 4) revenue, round(avg(value), 4) average from events where event_type = 'purchase' group by 1")
+def live_panel(s, d):
+    """The live panel: purchases by hour, updated as two deliveries come in (T4)."""
+    events, _ = _events(s, d)
+    sales = events.where("event_type = 'purchase'").select("ts", F.col("value").alias("amount"))
+    feed, out, check = (files.scratch(s, n) for n in ("sales", "panel", "panel-state"))
+    for half in _halves(sales):
+        half.write.mode("append").parquet(feed)
+        stream = s.readStream.schema(sales.schema).parquet(feed)
+        query_ = live.start_live_panel(stream, out, check, "1 second", "1 hour")
+        query_.processAllAvailable()
+        query_.stop()
+    panel = live.live_panel(stream, out, "1 hour")
+    return panel.select(F.unix_seconds("start").alias("start"), "n", _r("revenue", 4).alias("revenue"), _r("average", 4).alias("average"))
 
 
 @query()

@@ -1,4 +1,4 @@
-"""Plans as text, timings, caching, settings and chart specifications."""
+"""Plans as text, timings, settings and chart specifications."""
 
 from __future__ import annotations
 
@@ -100,18 +100,3 @@ def chart_spec(df: DataFrame, x: str, y: str, question: str, series: str | None
     if missing or not question:
         raise ValueError(f"no such columns: {missing}" if missing else "a chart answers a question")
     return {"kind": kind, "x": x, "y": y, "series": series, "question": question, "data": df}
-
-
-_cache: dict[tuple, DataFrame] = {}
-
-
-def cached(key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """A persisted DataFrame by (table, version, filters): another version of a table is another key."""
-    if key not in _cache:
-        _cache[key] = build().persist()
-    return _cache[key]
-
-
-def invalidate(table: str) -> None:
-    for key in [k for k in _cache if k[0] == table]:
-        _cache.pop(key).unpersist()

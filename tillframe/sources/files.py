@@ -71,9 +71,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """A report as one CSV file; meant for results already aggregated."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+#: Rows of a report that are written as one file at most.
+ONE_FILE = 1_000_000
+
+
+def export_csv(df: DataFrame, path: str, one_file: int = ONE_FILE) -> None:
+    """A report as CSV: one file up to so many rows, counted first; beyond, as many files as df has tasks, all with a header."""
+    small = df.limit(one_file + 1).count() <= one_file
+    (df.coalesce(1) if small else df).write.mode("overwrite").option("header", True).csv(path)
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, sort: list[str] | None = None) -> DataFrame:
+    """df as a table laid out in buckets of its keys, sorted within: joins and groups by these keys need no exchange.
+
+    Its files lie in the shared folder, its name in the session's catalog.
+    """
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    # one task for each bucket, so a bucket is one file and its order can be used
+    df.repartition(buckets, *keys).write.format("parquet").option("path", scratch(df.sparkSession, name)).bucketBy(buckets, *keys).sortBy(*(sort or keys)).saveAsTable(table_name)
+    return df.sparkSession.table(table_name)
 
 
 def _report_rows(df: DataFrame, cap: int) -> tuple[list[str], list[tuple]]:

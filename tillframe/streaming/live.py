@@ -13,7 +13,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+from .state import activity
 
 FEED_SCHEMA = "event_id long, ts timestamp, customer_id long, product_id long, qty int, amount double"
 
@@ -70,18 +72,36 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def latest_by_key(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
-    """The last update of each key of a stream in update mode, whose batches are written to files under their number."""
+def updates_to(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """A writer of a stream in update mode: each batch's updates become files under its number, so a batch that is repeated replaces its own."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
-    spark = stream.sparkSession
-    columns = [c for c in stream.columns if c not in keys]
-    updates = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(path)
-    last = updates.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_last"))
-    return last.select(*keys, "_last.*")
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update")
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process all that the source holds now; the updates of all runs so far, each with its batch."""
+    updates_to(stream, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return updates(stream, path)
+
+
+def updates(stream: DataFrame, path: str) -> DataFrame:
+    """What updates_to() has written of a stream, with the number of each batch."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+    return stream.sparkSession.read.schema(f"{columns}, batch long").parquet(path)
+
+
+def latest(found: DataFrame, keys: list[str]) -> DataFrame:
+    """The last update of each key."""
+    columns = [c for c in found.columns if c not in (*keys, "batch")]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_last")).select(*keys, "_last.*")
+
+
+def latest_by_key(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """The last update of each key of a stream in update mode, at the end of what its source holds now."""
+    return latest(run_updates(stream, path, checkpoint), keys)
 
 
 def tumbling(df: DataFrame, ts: str, width: str, delay: str | None = None, keys: tuple[str, ...] = (), **outputs) -> DataFrame:
@@ -105,25 +125,22 @@ def live_kpis(df: DataFrame, ts: str = "ts", width: str = "1 minute", amount: st
     return out.select(F.col("window.start").alias("start"), "n", "revenue", F.try_divide("revenue", "n").alias("average"))
 
 
-def start_live_panel(stream: DataFrame, name: str, every: str = "5 seconds") -> StreamingQuery:
-    """The panel's table: open windows are updated, and read as spark.table(name)."""
-    return live_kpis(stream).writeStream.outputMode("update").format("memory").queryName(name).trigger(processingTime=every).start()
+def start_live_panel(stream: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", width: str = "1 minute") -> StreamingQuery:
+    """The panel's table, kept up to date at the given interval: open windows are updated, and read by live_panel()."""
+    return updates_to(live_kpis(stream, width=width), path, checkpoint).trigger(processingTime=every).start()
 
 
-def dedup_stream(df: DataFrame, ids: list[str], ts: str, delay: str) -> DataFrame:
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(ids)
+def live_panel(stream: DataFrame, path: str, width: str = "1 minute") -> DataFrame:
+    """The panel as it stands: each window once, by its last update."""
+    return latest(updates(live_kpis(stream, width=width), path), ["start"])
 
 
-def stateful_totals(stream: DataFrame, key: str, amount: str) -> DataFrame:
-    """Running totals by key, kept in state of their own."""
-    import pandas as pd
+def dedup_stream(df: DataFrame, ids: list[str], ts: str, delay: str) -> DataFrame:
+    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark(ids)
 
-    def add(k, batches, state):
-        n, total = state.get if state.exists else (0, 0.0)
-        for b in batches:
-            n, total = n + len(b), total + float(b[amount].sum())
-        state.update((n, total))
-        yield pd.DataFrame({key: [k[0]], "n": [n], "total": [total]})
 
-    kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(add, f"{key} {kind}, n long, total double", "n long, total double", "update", "NoTimeout")
+def stateful_totals(stream: DataFrame, key: str, ts: str, amount: str, salts: int = 8) -> DataFrame:
+    """Running totals by key, kept in state of their own; a key's rows are dealt over salts, whose totals are to be added up."""
+    salt = F.pmod(F.xxhash64(*stream.columns), F.lit(salts))
+    kept = activity(stream, {key: F.col(key), "salt": salt}, ts, F.col(amount), F.lit("row"))
+    return kept.select(key, "salt", "n", "total")
