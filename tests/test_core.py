@@ -301,6 +301,19 @@ def test_discarded_tables_are_gone(spark):
 # ---------------------------------------------------------------- plans
 
 
+def test_a_workspace_leaves_nothing(spark):
+    from pathlib import Path
+
+    folder = Path(files.shared_folder(spark))
+    before = set(folder.iterdir())
+    with files.workspace(spark):
+        registry.QUERIES["rfm_cells"](spark, SF).count()
+        with files.workspace(spark):
+            inner = files.written(spark.range(3), "inner")
+        assert len(set(folder.iterdir()) - before) >= 3 and not Path(inner._written_to).exists()
+    assert set(folder.iterdir()) == before
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     text = tools.plan_text(registry.QUERIES["sidebar_filters"](spark, SF))
     assert "GreaterThanOrEqual(o_totalprice,100000.0)" in text and "o_custkey" not in text.split("ReadSchema")[1].split("\n")[0]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,16 @@ def bands(c: Column, edges: list[float], labels: list[str]) -> Column:
     return F.when(c.isNotNull(), out)
 
 
+def bands_udf(edges: list[float], labels: list[str]):
+    """bands() as a vectorised Python function, to compare the two; null has no band in either."""
+
+    def banded(c: pd.Series) -> pd.Series:
+        at = np.searchsorted(edges, c.to_numpy(), "right")
+        return pd.Series(np.array(labels, object)[at]).where(c.notna(), None)
+
+    return F.pandas_udf(banded, "string")
+
+
 def weekday_sunday0(c: Column) -> Column:
     return (F.dayofweek(c) - 1).cast("long")
 

@@ -1,6 +1,8 @@
-"""Load, filter, group, join and if/else, timed with their memory in Spark and in pandas.
+"""Load, filter, group, join and if/else, timed with their memory in Spark and in pandas; and how long data take to generate.
 
-    python -m tillframe.plans.measurements FOLDER > MEASUREMENTS.md
+    python -m tillframe.plans.measurements FOLDER [ORDERS] > MEASUREMENTS.md
+
+FOLDER holds the tables; the same is measured on so many generated orders and their lines.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as dq
-from ..sources.files import table
+from ..sources.files import scratch, table, workspace
+from ..sources.generator import generate
 from .tools import bench
 
 COLUMNS = ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount"]
@@ -61,12 +64,28 @@ def markdown(df: DataFrame) -> str:
     return "\n".join(f"| {' | '.join(map(show, r))} |" for r in rows)
 
 
-def main(sf_dir: str) -> None:
-    spark = SparkSession.builder.master("local[8]").appName("measurements").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+def write_generated(spark: SparkSession, folder: str, n_orders: int) -> None:
+    """Generated orders and lines, under the names that cases() reads, as Parquet."""
+    orders = generate(spark, n_orders)["orders"]
+    orders.select(F.col("order_id").alias("o_orderkey"), F.col("customer_id").alias("o_custkey"), "order_ts", "status").write.mode("overwrite").parquet(f"{folder}/orders.parquet")
+    i = F.col("i")
+    lines = orders.select(F.col("order_id").alias("l_orderkey"), F.posexplode("items").alias("l_linenumber", "i"))
+    lines = lines.select("l_orderkey", "l_linenumber", i["product_id"].alias("l_partkey"), i["qty"].cast("double").alias("l_quantity"), (i["qty"] * i["unit_price"]).cast("double").alias("l_extendedprice"), i["discount"].alias("l_discount"))
+    lines.write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+
+
+def main(sf_dir: str, n_orders: int = 2_000_000) -> None:
+    spark = SparkSession.builder.master("local[8]").appName("measurements").config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    print(f"# Measurements\n\n`python -m tillframe.plans.measurements {sf_dir}`, local[8]; seconds are medians of 5 runs after one to warm up.\n")
-    print(f"{markdown(bench(spark, cases(spark, sf_dir)))}\n\n{markdown(savings(spark, sf_dir))}")
+    print(f"# Measurements\n\n`python -m tillframe.plans.measurements {sf_dir} {n_orders}`, local[8]; seconds are medians of 5 runs after one to warm up.\n")
+    with workspace(spark):
+        made = scratch(spark, "generated")
+        took = bench(spark, {f"generate and write {n:,} orders": {"spark": lambda n=n: write_generated(spark, made, n)} for n in (n_orders // 10, n_orders)}, runs=2)
+        print(f"## Generation\n\n{markdown(took)}\n")
+        for folder, what in ((sf_dir, "given tables"), (made, "generated tables")):
+            n = table(spark, folder, "lineitem").count()
+            print(f"## {n:,} lines of {what}\n\n{markdown(bench(spark, cases(spark, folder)))}\n\n{markdown(savings(spark, folder))}\n")
 
 
 if __name__ == "__main__":
-    main(sys.argv[1])
+    main(sys.argv[1], *map(int, sys.argv[2:]))

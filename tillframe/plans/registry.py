@@ -18,6 +18,7 @@ from ..sources import files
 from ..sources.files import table
 from ..streaming import live, state
 from .cache import FileCache
+from .tools import SETTINGS, Settings, chart_spec
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -742,6 +743,40 @@ def order_runs(s, d):
 # ------------------------------------------------------------- layouts, sketches, models, variants, caches
 
 
+_STRATEGIES = ["broadcast", "merge", "shuffle_hash", "shuffle_replicate_nl"]
+
+
+@query(" union all ".join(f"select '{x}' as strategy, count(*) n, round(sum(o_totalprice), 2) total from customer join orders on c_custkey = o_custkey where c_custkey <= 500" for x in _STRATEGIES))
+def join_strategies(s, d):
+    """One join by each of Spark's strategies, as they are measured; of some customers, as one of them is a nested loop."""
+    customers = table(s, d, "customer").where("c_custkey <= 500").select("c_custkey")
+    orders = table(s, d, "orders").select("o_custkey", "o_totalprice")
+    joined = lambda x: orders.join(rel.hinted(customers, x), F.col("c_custkey") == F.col("o_custkey"))
+    return rel.append_all(*(joined(x).agg(F.count(F.lit(1)).alias("n"), _r(F.sum("o_totalprice")).alias("total")).select(F.lit(x).alias("strategy"), "n", "total") for x in _STRATEGIES))
+
+
+@query("select case when l_quantity < 10 then 'small' when l_quantity < 30 then 'middle' else 'large' end as band, count(*) n, 0::bigint as different from lineitem group by 1")
+def vectorised_bands(s, d):
+    """Quantities banded by an expression and by a vectorised Python function, and where they differ."""
+    lines = table(s, d, "lineitem").select(fn.bands(F.col("l_quantity"), [10, 30], ["small", "middle", "large"]).alias("band"), fn.bands_udf([10, 30], ["small", "middle", "large"])("l_quantity").alias("other"))
+    return lines.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("band").eqNullSafe(F.col("other")), 1)).alias("different"))
+
+
+@query(f"{_ABC} select case when c <= 0.7 then 'A' when c <= 0.9 then 'B' else 'C' end as class, count(*) products, round(sum(total), 1) revenue from t group by 1")
+def abc_by_settings(s, d):
+    """The ABC classes by the thresholds of a settings file, which the environment may override."""
+    settings = Settings.load(SETTINGS, {"TILLFRAME_ABC_B": "0.9"})
+    found = sg.abc(_revenue_by_part(s, d), "l_partkey", "rev", settings.abc_a, settings.abc_b)
+    return found.groupBy("class").agg(F.count(F.lit(1)).alias("products"), _r(F.sum("total"), 1).alias("revenue"))
+
+
+@query(f"with m as ({_MONTHS}) select m as period, round(v, 2) revenue from m")
+def trend_chart(s, d):
+    """What the chart of the sales trend is drawn from, under the question it answers."""
+    months = table(s, d, "orders").groupBy(ts.period("o_orderdate", "month").alias("period")).agg(_r(F.sum("o_totalprice")).alias("revenue"))
+    return chart_spec(months, "period", "revenue", "How do sales develop?")["data"]
+
+
 @query("select o_orderstatus, count(*) n, round(sum(l_extendedprice), 2) total from orders join lineitem on l_orderkey = o_orderkey group by 1")
 def bucketed_join(s, d):
     """Lines and orders joined where they lie, in buckets of the order key."""
@@ -935,6 +970,19 @@ def stream_activity(s, d):
     return both.select("user_id", "what", "n", _r("total", 4).alias("total"), "last_us", F.coalesce(F.col("kinds")["click"], F.lit(0)).alias("clicks"), _r(sums, 4).alias("recent"))
 
 
+@query("select event_type, count(*) n, cast(sum(event_id) as bigint) ids from events group by 1")
+def live_buffer(s, d):
+    """Events that a stream appended to the live buffer in two deliveries, each once."""
+    events, schema = _events(s, d)
+    feed, out, check = (files.scratch(s, n) for n in ("source", "buffer", "buffer-state"))
+    for half in _halves(events):
+        half.write.mode("append").parquet(feed)
+        buffer = live.start_buffer(s.readStream.schema(schema).parquet(feed), out, check, "1 second")
+        buffer.processAllAvailable()
+        buffer.stop()
+    return s.read.schema(schema).parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("""with v as (select event_id, user_id, ts from events where event_type = 'view'), p as (select event_id as purchase_id, user_id, ts from events where event_type = 'purchase'),
 w as (select least((select max(ts) from v), (select max(ts) from p)) - interval 2 day w)
 select v.event_id, purchase_id from v left join p on v.user_id = p.user_id and p.ts >= v.ts and p.ts <= v.ts + interval 1 day, w where purchase_id is not null or v.ts + interval 1 day < w""")

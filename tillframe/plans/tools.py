@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import io
 import logging
+import os
 import statistics
 import time
 from collections.abc import Callable, Mapping
@@ -24,6 +25,10 @@ def get_logger(stage: str) -> logging.Logger:
     return logging.getLogger(f"tillframe.{stage}")
 
 
+#: The settings that come with the package.
+SETTINGS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "settings.yaml")
+
+
 class Settings(BaseModel):
     """Validated settings of a run."""
 

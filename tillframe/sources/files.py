@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +50,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths handed out within each workspace that is open, the innermost last.
+_workspaces: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted with the workspace it was asked for in, if any."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _workspaces:
+        _workspaces[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """What is written to the shared folder within, written() tables and scratch paths, is deleted at the end.
+
+    For a whole job: results that are to stay must have been written elsewhere by then.
+    """
+    _workspaces.append([])
+    try:
+        yield
+    finally:
+        for path in _workspaces.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: lineage ends here. discard() deletes it."""
+    """df as a table in the shared folder, read back: lineage ends here. discard() deletes it, or the end of a workspace()."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
@@ -66,9 +94,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete tables of written() that no later step reads."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._written_to)
 
 
 #: Rows of a report that are written as one file at most.
