@@ -244,13 +244,15 @@ def test_quantiles_and_ranks_match_spark(spark):
 def test_generated_margin_equals_sql_over_its_tables(spark, tmp_path):
     import duckdb
 
-    for name, df in generator.generate(spark, 5000).items():
-        if name in ("orders", "products"):
-            df.write.parquet(str(tmp_path / name))
+    made = generator.generate(spark, 5000)
+    for name in ("orders", "products"):
+        made[name].write.parquet(str(tmp_path / name))
     sql = f"""with l as (select unnest(items) i from '{tmp_path}/orders/*.parquet' where status = 'complete'),
     r as (select category_id, i.qty * i.unit_price::double * (1 - i.discount) revenue, i.qty * unit_cost::double as cost from l join '{tmp_path}/products/*.parquet' on i.product_id = product_id)
     select category_id, round(sum(revenue), 4), round(sum(cost), 4), round(1 - sum(cost) / sum(revenue), 9) from r group by 1 order by 1"""
-    got = registry.QUERIES["generated_margin"](spark, SF).orderBy("category_id").select("category_id", F.round("revenue", 4), F.round("cost", 4), F.round("margin", 9)).collect()
+    lines = ag.explode_items(made["orders"].where("status = 'complete'")).withColumn("revenue", F.col("qty") * F.col("unit_price").cast("double") * (1 - F.col("discount")))
+    joined = lines.join(made["products"].select("product_id", "category_id", "unit_cost"), "product_id").withColumn("cost", F.col("qty") * F.col("unit_cost").cast("double"))
+    got = ag.kpi_margin(joined, ["category_id"], "revenue", "cost").orderBy("category_id").select("category_id", F.round("revenue", 4), F.round("cost", 4), F.round("margin", 9)).collect()
     assert [tuple(r) for r in got] == duckdb.sql(sql).fetchall()
 
 
