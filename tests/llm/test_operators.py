@@ -182,6 +182,33 @@ def test_tagger_adds_what_patterns_miss(spark):
         assert [x[0] for x in pii.reconcile([], pii.tagged_spans(tagger, [line])[0])] == [kind]
 
 
+def test_secrets_are_marked_whole_or_not_at_all():
+    """Forms that the tagger hasn't been taught: what it marks of a token, it marks all of."""
+    r = random.Random(77)
+    some = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
+    both = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = {
+        "ghp": lambda: ("ghp_" + some(both, 36), "the key is {} ok"),
+        "aws": lambda: (some(both, 40), "AWS_SECRET_ACCESS_KEY={}\n"),
+        "bearer": lambda: (".".join(some(both + "_-", k) for k in (20, 40, 30)), "Authorization: Bearer {}\nnext"),
+        "live": lambda: ("sk_live_" + some(both, 24), "set {} in the file"),
+        "padded": lambda: (some(both, 43) + "=", "secret: {}."),
+    }
+    tagger, found = pii.trained(), Counter()
+    for name, form in forms.items():
+        for _ in range(20):
+            secret, around = form()
+            text = "some words before it and then " + around.format(secret) + " and words after that"
+            a, b = text.index(secret), text.index(secret) + len(secret)
+            marked = [(s, e) for _, _, s, e in pii.tagged_spans(tagger, [text])[0] if s < b and e > a]
+            assert all(s <= a and e >= b for s, e in marked), (name, text, marked)
+            found[name] += bool(marked)
+    assert sum(found.values()) >= 70, found
+    assert pii.whole_secrets("x ab.cd-ef. y", [(1.0, "secret", 3, 4), (2.0, "secret", 6, 8), (1.0, "ip", 0, 1)]) == [(1.0, "ip", 0, 1), (2.0, "secret", 2, 10)]
+    long = "a1" * 200_000
+    assert pii.whole_secrets(long, [(1.0, "secret", k, k + 20) for k in range(0, 300_000, 40)]) == [(1.0, "secret", 0, 400_000)]
+
+
 def test_tagger_gradients():
     """The analytic gradients equal finite differences of the CRF's loss."""
     tagger = pii.Tagger(1)

@@ -32,7 +32,7 @@ from . import common
 from .token_counts import NO_CUT, pieces
 
 #: Bounds of what a worker keeps: states, pairs of tokens, pieces and their tokens. Beyond, it begins anew.
-MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_TOKENS = 150_000, 200_000, 300_000, 1_500_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES, MAX_TOKENS = 100_000, 150_000, 200_000, 1_000_000
 #: Words take their steps together in lots of so many bytes, those up to LONG_WORD.
 TOGETHER, LONG_WORD = 1 << 20, 128
 #: Tokens are numbers of so many bits.

@@ -413,7 +413,7 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[tuple[float, str
         inside = lambda n, s, e: (k := bisect_right(keys, (n, s))) > 0 and keys[k - 1][0] == n and furthest[keys[k - 1]] >= e
         targets = [x for x in targets if not inside(*x)]
         windows = [(n, max(0, s - max(STRIDE, e - s)), min(len(texts[n]), e + max(STRIDE, e - s))) for n, s, e in targets]
-    return [_widest(found) for found in out]
+    return [whole_secrets(text, _widest(found)) for text, found in zip(texts, out, strict=True)]
 
 
 def _widest(found: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
@@ -427,6 +427,33 @@ def _widest(found: list[tuple[float, str, int, int]]) -> list[tuple[float, str,
     return out
 
 
+#: Characters that a secret goes on over; a dot as well, between two of them.
+_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+-")
+
+
+def whole_secrets(text: str, found: list[tuple[float, str, int, int]]) -> list[tuple[float, str, int, int]]:
+    """found, the secrets among them grown to the tokens that they are part of: half a secret, left in a text, is one."""
+
+    def joins(i: int) -> bool:
+        return text[i] in _TOKEN or text[i] == "." and 0 < i < len(text) - 1 and text[i - 1] in _TOKEN and text[i + 1] in _TOKEN
+
+    out, last = [x for x in found if x[1] != "secret"], None
+    for w, kind, s, e in sorted((x for x in found if x[1] == "secret"), key=lambda x: (x[2], -x[3])):
+        if last and s < last[3]:  # of a token that is whole already, or over its end
+            s = last[2]
+        else:
+            while s > 0 and joins(s - 1):
+                s -= 1
+        e = max(e, last[3]) if last and s == last[2] else e
+        while e < len(text) and (joins(e) or text[e] == "=" and text[e - 1] != " "):
+            e += 1
+        if last and s == last[2]:
+            w, out = max(w, last[0]), out[:-1]
+        last = (w, kind, s, e)
+        out.append(last)
+    return out
+
+
 def reconcile(base: list[tuple[str, int, int]], found: list[tuple[float, str, int, int]]) -> list[tuple[str, int, int]]:
     """The base spans, and the found spans of most weight that overlap neither them nor each other."""
     taken = sorted((s, e) for _, s, e in base)

@@ -397,7 +397,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the strings of 400 bytes that occur elsewhere."""
     done = remove_repeats(common.read(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeats"))
 
 
 OP5_SQL = """
@@ -415,6 +415,6 @@ t as (
   from l join d on l.doc_id = d.doc_id group by l.doc_id),
 z as (select doc_id, sum(e - b) n_removed, count(*) n_spans from s group by doc_id)
 select d.doc_id, cast(len(d.x) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, cast(coalesce(n_spans, 0) as bigint) n_spans,
-  sha256(unhex(coalesce(t.x, d.x))) kept_sha256
+  sha256(unhex(coalesce(t.x, d.x))) kept_sha256, coalesce(n_removed, 0) > 0 repeats
 from d left join z on d.doc_id = z.doc_id left join t on d.doc_id = t.doc_id
 """
