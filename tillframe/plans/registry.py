@@ -410,12 +410,12 @@ def top_3_by_type(s, d):
     return sg.top_n(table(s, d, "part"), ["p_type"], "p_retailprice", 3, "p_partkey").select("p_type", "p_partkey", "p_retailprice", F.col("rank").cast("long").alias("rank"))
 
 
-@query("select event_id, count(*) over w n, round(avg(value) over w, 4) mean, min(value) over w low, max(value) over w high from events window w as (order by ts, event_id rows between 49 preceding and current row)")
+@query("select event_id, count(*) over w n, round(avg(value) over w, 7) mean, min(value) over w low, max(value) over w high from events window w as (order by ts, event_id rows between 49 preceding and current row)")
 def rolling_50_events(s, d):
     """What the last fifty events, of whatever user, were worth (W1, W2), over raw rows in ranges with a halo."""
     e = table(s, d, "events").select("event_id", "ts", "value")
     out = rg.rolling_rows(e, ["ts", "event_id"], 50, {"n": F.count(F.lit(1)), "mean": F.avg("value"), "low": F.min("value"), "high": F.max("value")})
-    return out.select("event_id", "n", _r("mean", 4).alias("mean"), "low", "high")
+    return out.select("event_id", "n", _r("mean", 7).alias("mean"), "low", "high")
 
 
 @query("select event_id, count(*) over w n, round(sum(value) over w, 4) total, round(stddev_samp(value) over w, 4) sd from events window w as (partition by event_type order by ts range between interval 6 hour preceding and current row)")
@@ -1001,7 +1001,7 @@ def stream_follow_ups(s, d):
     return s.read.parquet(out).select("event_id", "purchase_id")
 
 
-@query("select cast(floor(epoch(date_trunc('hour', ts))) as bigint) as start, count(*) n, round(sum(value), 4) revenue, round(avg(value), 4) average from events where event_type = 'purchase' group by 1")
+@query("select cast(floor(epoch(date_trunc('hour', ts))) as bigint) as start, count(*) n, round(sum(value), 4) revenue, round(avg(value), 7) average from events where event_type = 'purchase' group by 1")
 def live_panel(s, d):
     """The live panel: purchases by hour, updated as two deliveries come in (T4)."""
     events, _ = _events(s, d)
@@ -1014,7 +1014,7 @@ def live_panel(s, d):
         query_.processAllAvailable()
         query_.stop()
     panel = live.live_panel(stream, out, "1 hour")
-    return panel.select(F.unix_seconds("start").alias("start"), "n", _r("revenue", 4).alias("revenue"), _r("average", 4).alias("average"))
+    return panel.select(F.unix_seconds("start").alias("start"), "n", _r("revenue", 4).alias("revenue"), _r("average", 7).alias("average"))
 
 
 @query("""with l as (select p_type, l_extendedprice * (1 - l_discount) revenue, l_extendedprice * (0.4 + (p_partkey * 37 % 100) / 250.0) as cost from lineitem join part on l_partkey = p_partkey)
