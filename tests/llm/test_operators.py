@@ -376,6 +376,29 @@ def test_decontamination_of_short_items(spark, docs, empty):
     assert decontamination.scan(docs, decontamination.benchmark_windows(bench.where("false"))).where(F.size("hits") > 0).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_decontamination_equals_plain_search(spark, monkeypatch, broadcast):
+    """Items of one to fourteen words in texts around the length of a segment, few different words, hits side by side and over each other."""
+    monkeypatch.setattr(decontamination, "SEGMENT", 16)
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_BYTES", broadcast)
+    r = random.Random(21)
+    items = [(k, " ".join(r.choice("abc") for _ in range(1 + k % 14 if k > 6 else 5 + k))) for k in range(40)]
+    texts = [(k, " ".join(r.choice("abcd") for _ in range(r.randrange(0, 70)))) for k in range(120)]
+    windows = {}
+    for k, t in items:
+        w = t.split()
+        for i in range(max(1, len(w) - 9)):
+            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(k))
+    want = {}
+    for k, t in texts:
+        w = t.split()
+        hits = {(i + 1, m) for m in {len(x) for x in windows} for i in range(len(w) - m + 1) if tuple(w[i : i + m]) in windows}
+        want[k] = (len(w), hits, sorted({x for i, m in hits for x in windows[tuple(w[i - 1 : i - 1 + m])]}))
+    df, bench = (spark.createDataFrame(x, f"{n} long, text string") for x, n in ((texts, "doc_id"), (items, "item_id")))
+    got = decontamination.scan(df, decontamination.benchmark_windows(bench)).collect()
+    assert {x.doc_id: (x.n_words, {tuple(h) for h in x.hits}, x["items"]) for x in got} == want and all(len(x.hits) == len(set(x.hits)) for x in got)
+
+
 def test_decontamination_of_long_texts(spark, monkeypatch):
     """Hits lie in any segment, or across two; time goes with the words."""
     bench = spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(12))), (None, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10")], "item_id long, text string")

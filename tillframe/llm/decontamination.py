@@ -1,11 +1,14 @@
 """Benchmark decontamination with DataFrame functions alone.
 
 Benchmark texts become a set of n-word windows, normalised as the documents are; an item
-of fewer words is one window. The set is broadcast, behind a check of its bytes, and
-every document's windows are probed by hash in the pass that reads it; a hit is verified
-word by word. A text is first divided into overlapping segments, so what a window costs
-does not depend on the length of its text. Documents are never shuffled: only a few
-numbers of each row are, to bring its hits together.
+of fewer words is one window. Wherever a window occurs in a document, it covers one of
+the document's blocks, of half as many words, that stand side by side. So blocks alone
+are scanned: their hashes are probed in a broadcast set of the hashes of all blocks that
+windows hold, behind a check of its size; a block that is there yields the windows
+around it, and these are verified word by word against the benchmark's. A text is first
+divided into overlapping segments, so what a word costs does not depend on the length of
+its text. Documents are never shuffled: only a few numbers of each row are, to bring its
+hits together.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from . import common
 WINDOW = 10
 #: Words of a segment, besides those it shares with the next.
 SEGMENT = 1024
-#: The windows with their items are broadcast up to so many bytes; beyond, Spark joins by shuffle.
+#: The windows with their items are broadcast up to so many bytes, and hashes of blocks up to as many, of 16 each; beyond, Spark joins by shuffle.
 MAX_BROADCAST_BYTES = 64 << 20
 
 #: Fixed values.
@@ -43,19 +46,42 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item: str = "i
     return grams.groupBy("gram", "size").agg(F.collect_set("item").alias("items")).withColumn("hash", F.xxhash64("gram"))
 
 
-def _grams(size: int) -> Column:
-    """The windows of so many words of a segment s, by their start in the text."""
-    n = F.size("s.w") - F.lit(size - 1)
-    starts = F.when(n > 0, F.sequence(F.lit(1), F.least(n, F.lit(SEGMENT)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct((F.col("s.before") + i).alias("start"), F.slice("s.w", i, F.lit(size)).alias("gram")))
+def _block(size: int) -> int:
+    """Words of a block: any so many words in a row hold one whole, wherever blocks begin."""
+    return (size + 1) // 2
+
+
+def _blocks(size: int) -> Column:
+    """The blocks of a segment s for windows of so many words: the words around each that windows over it can reach, the first one's place in the text, from 0, and the block's place among them."""
+    b, n = _block(size), F.size("s.w")
+    reach = size - b
+    # blocks that windows beginning in this segment can cover; the next segment has the others
+    places = F.when(n >= size, F.sequence(F.lit(0), F.least(n - b, F.lit(SEGMENT + b - 2)), F.lit(b))).otherwise(F.array().cast("array<int>"))
+    first = lambda p: F.greatest(p - reach, F.lit(0))
+    return F.transform(places, lambda p: F.struct((F.col("s.before") + first(p)).alias("first"), (p - first(p) + 1).alias("at"), F.lit(size).alias("size"), F.slice("s.w", first(p) + 1, p + size - first(p)).alias("around")))
+
+
+def _hash(size: Column, words_: Column) -> Column:
+    return F.xxhash64(size, words_)
+
+
+def block_hashes(windows: DataFrame) -> DataFrame:
+    """(block): the distinct hashes of the blocks, wherever they begin, that windows hold."""
+    by_size = F.floor((F.col("size") + 1) / 2).cast("int")
+    starts = F.transform(F.sequence(F.lit(1), F.col("size") - by_size + 1), lambda i: F.slice("gram", i, by_size))
+    return windows.select("size", F.explode(starts).alias("words")).select(_hash(F.col("size"), F.col("words")).alias("block")).distinct()
+
+
+def _broadcast(table: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(table) if n_bytes <= MAX_BROADCAST_BYTES else table
 
 
 def scan(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, with n_words, hits (array of struct<start,size>) and items.
 
-    hits holds the windows that occur, start counted in words from 1; items the ids of
-    the benchmark items they belong to, as sorted strings. Null and empty texts have no
-    words; rows are judged one by one, so repeated rows and keys stay as they are;
+    hits holds the windows that occur, each once, start counted in words from 1; items the
+    ids of the benchmark items they belong to, as sorted strings. Null and empty texts
+    have no words; rows are judged one by one, so repeated rows and keys stay as they are;
     columns of the new names are replaced, whatever the others are called. An empty
     table, or one without windows, gives no hits.
     """
@@ -63,8 +89,8 @@ def scan(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
     n_bytes = F.sum(F.size("gram") * 16 + F.octet_length(F.array_join("gram", "")) + 64 + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16))
     total, sizes = windows.agg(n_bytes, F.sort_array(F.collect_set("size"))).first()
     sizes = sizes or [WINDOW]
-    if (total or 0) <= MAX_BROADCAST_BYTES:
-        windows = F.broadcast(windows)
+    blocks = common.written(block_hashes(windows), "blocks")
+    windows, blocks = _broadcast(windows, total or 0), _broadcast(blocks, 16 * blocks.count())
     kept = [c for c in docs.columns if c not in (text, "n_words", "hits", "items")]
     row = F.struct(common.carried(kept).alias("kept"), F.monotonically_increasing_id().alias("row"))
     rows = docs.select(row.alias("key"), words(F.col(f"`{text}`")).alias("w"))
@@ -72,13 +98,23 @@ def scan(docs: DataFrame, windows: DataFrame, text: str = "text") -> DataFrame:
     # a segment: the words before it, and its own with those that its last windows go on into
     segments = F.transform(begins, lambda b: F.struct(b.alias("before"), F.slice("w", b + 1, F.lit(SEGMENT + max(sizes) - 1)).alias("w")))
     rows = rows.select("key", F.size("w").cast("long").alias("n_words"), F.explode(segments).alias("s"))
-    grams = F.concat(*(_grams(m) for m in sizes))
-    rows = rows.select("key", "n_words", (F.col("s.before") == 0).alias("first"), F.posexplode_outer(grams).alias("pos", "own"))
-    rows = rows.select("key", "n_words", (F.col("first") & (F.coalesce("pos", F.lit(0)) == 0)).alias("first"), "own", F.xxhash64("own.gram").alias("hash"))
+    every = F.concat(*(_blocks(m) for m in sizes))
+    rows = rows.select("key", "n_words", (F.col("s.before") == 0).alias("first"), F.posexplode_outer(every).alias("pos", "b"))
+    # one row of each document stays, hit or not
+    rows = rows.select("key", "n_words", (F.col("first") & (F.coalesce("pos", F.lit(0)) == 0)).alias("first"), "b")
+    block = _hash(F.col("b.size"), F.slice("b.around", F.col("b.at"), F.floor((F.col("b.size") + 1) / 2).cast("int")))
+    held = blocks.select("block", F.lit(True).alias("held"))
+    rows = rows.withColumn("block", block).join(held, "block", "left").where(F.coalesce("held", F.lit(False)) | F.col("first"))
+    size = F.col("b.size")
+    starts = F.when(F.col("held") & (F.size("b.around") >= size), F.sequence(F.lit(0), F.size("b.around") - size)).otherwise(F.array().cast("array<int>"))
+    own = F.transform(starts, lambda i: F.struct((F.col("b.first") + i + 1).alias("start"), F.slice("b.around", i + 1, size).alias("gram")))
+    rows = rows.select("key", "n_words", F.col("first").alias("keep"), F.posexplode_outer(own).alias("pos", "own"))
+    rows = rows.select("key", "n_words", (F.col("keep") & (F.coalesce("pos", F.lit(0)) == 0)).alias("first"), "own", F.xxhash64("own.gram").alias("hash"))
     same = F.coalesce(F.col("own.gram") == F.col("gram"), F.lit(False))
     joined = rows.join(windows, "hash", "left").where(same | F.col("first"))
     hits = joined.select("key", "n_words", F.when(same, F.struct(F.col("own.start"), F.col("size"))).alias("hit"), F.when(same, F.col("items")).alias("items"))
-    found = hits.groupBy("key.row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    # a window over two blocks is found by both
+    found = hits.groupBy("key.row").agg(F.first("key").alias("key"), F.first("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return found.select(*(F.col("key.kept")[c].alias(c) for c in kept), "n_words", "hits", "items")
 
 
