@@ -565,6 +565,50 @@ def test_toxicity_on_held_out_labels(spark, empty):
     assert toxicity.score(odd, toxicity.train(docs, labels.where("false"), toxicity.CATEGORIES)).count() == 4
 
 
+def plain_chain(texts, labels, folds, steps):
+    """Probabilities of a chain fitted with dense matrices, one category after the other, earlier ones out of fold while fitting."""
+    words = sorted({w for t in texts for w in re.findall(r"[a-z]+", t)})
+    x = np.array([[float(w in re.findall(r"[a-z]+", t)) for w in words] for t in texts])
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def fitted(x, dense, y):
+        ratio = y.mean()
+        weight = np.where(y > 0, 0.5 / ratio, 0.5 / (1 - ratio))
+        both, decay = np.hstack([x, dense, np.ones((len(y), 1))]), np.r_[np.full(x.shape[1], 1e-5), np.full(dense.shape[1], 1e-4), 0.0]
+        w, g = np.zeros(both.shape[1]), np.full(both.shape[1], 1e-4)
+        for _ in range(steps):
+            d = both.T @ (weight * (sigmoid(both @ w) - y) / len(y)) + decay * w
+            g += d * d
+            w -= 0.5 * d / np.sqrt(g)
+        return w
+
+    before, seen, out = np.zeros((len(texts), 0)), np.zeros((len(texts), 0)), []
+    for k in range(labels.shape[1]):
+        y, unseen = labels[:, k].astype(float), np.zeros(len(texts))
+        for f in range(folds):
+            own = np.arange(len(texts)) % folds == f
+            w = fitted(x[~own], before[~own], y[~own])
+            unseen[own] = sigmoid(np.hstack([x, before, np.ones((len(y), 1))])[own] @ w)
+        w = fitted(x, before, y)
+        out.append(sigmoid(np.hstack([x, seen, np.ones((len(y), 1))]) @ w))
+        before, seen = np.column_stack([before, unseen]), np.column_stack(out)
+    return seen
+
+
+def test_toxicity_equals_a_plain_chain(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SIGNIFICANT", 0.0)
+    r = random.Random(6)
+    vocabulary = [a + b for a in "bdfgk" for b in ("ab", "eb", "ob")]
+    texts = [" ".join(r.choices(vocabulary, k=r.randrange(3, 12))) for _ in range(60)]
+    labels = np.array([[("bab" in t) or r.random() < 0.1, ("dob" in t) != ("bab" in t)] for t in texts], int)
+    hashes = [toxicity.distinct_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[1] for t in texts]
+    chain = toxicity.fit(hashes, labels.astype(float), ["first", "second"])
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), chain).orderBy("doc_id").collect()
+    want = plain_chain(texts, labels, toxicity.FOLDS, 150)
+    assert np.allclose([[x.p_first, x.p_second] for x in got], want, atol=2e-5)
+    assert abs(chain.earlier[1, 0]) > 0.1
+
+
 # ---------------------------------------------------------------- 8
 
 

@@ -148,7 +148,8 @@ def join(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: s
     Vectors are compared when labels are equal and not null and lengths equal, by cosine
     in double precision; one that is null, empty, zero or holds a null or a non-finite
     component links with nothing. Each row is a vector of its own: rows of one key don't
-    link by their key, and each has the component of its own vector. Rows with a null key are left out; other columns are not read.
+    link by their key, and each has the component of its own vector. Keys are whole
+    numbers, cast to long; rows with a null key are left out; other columns are not read.
     """
     spark = df.sparkSession
     r = float(np.sqrt(2 - 2 * threshold))

@@ -349,7 +349,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     component_id is the least key reachable over links (Jaccard at least 3/4); null and
     empty texts, and those of white space alone, have no n-gram and link with nothing.
-    Rows of one key are one node; rows with a null key are left out. An empty table gives
+    Keys are whole numbers, cast to long. Rows of one key are one node; rows with a null key are left out. An empty table gives
     an empty table; other columns are not read.
     """
     docs = docs.where(F.col(key).isNotNull()).select(key, text)

@@ -119,6 +119,10 @@ def fit(hashes: list[np.ndarray], labels: np.ndarray, categories: list[str]) ->
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], key: str = "doc_id", text: str = "text") -> Chain:
     """Fit on at most TRAIN_DOCUMENTS labelled rows; categories: name to boolean SQL over labels.
 
+    Of their words those count whose shares in a category's two classes differ by
+    SIGNIFICANT deviations or more, and of these the FEATURES with the largest
+    difference, of equal ones those of the least hash. A probability of just one half
+    is for the caller to place; op7 takes it as toxic.
     Rows without a text or label are left out. Of rows of labels with one key, a category
     holds if it holds in any; of documents with one key, the one of the most words counts.
     """
