@@ -4,6 +4,7 @@ import datetime
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -182,3 +183,16 @@ def test_many_intervals_need_no_nested_loop(spark):
     assert ranges.interval_join(a, b.where("j < 0"), "x", "low", "high", how="left", few=0).where("j is null").count() == 5000
     with pytest.raises(ValueError):
         ranges.interval_join(a, b.withColumnRenamed("j", "id"), "x", "low", "high")
+
+
+def test_offers_at_order_joins_no_more_than_moments_and_spans(spark, tmp_path, monkeypatch):
+    c = duckdb.connect()
+    c.execute(f"copy (select o_orderkey + k * 15000 as o_orderkey, o_custkey, case when o_orderkey % 99 > 0 then o_orderdate end as o_orderdate from '{SF}/orders.parquet', range(3) r(k)) to '{tmp_path}/orders.parquet'")
+    c.execute(f"copy (select p_partkey + k * 2000 as p_partkey, p_size, p_retailprice from '{SF}/part.parquet', range(20) r(k)) to '{tmp_path}/part.parquet'")
+    for t in ("orders", "part"):
+        c.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    joined, join = [], ranges.interval_join
+    monkeypatch.setattr(ranges, "interval_join", lambda *a, **b: joined.append(join(*a, **b)) or joined[-1])
+    parity.same(registry.QUERIES["offers_at_order"](spark, str(tmp_path)), registry.ORACLE_SQL["offers_at_order"], c)
+    moments = c.sql("select count(distinct o_orderdate) from orders").fetchall()[0][0]
+    assert joined[0].count() <= 36 * moments

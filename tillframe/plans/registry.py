@@ -181,13 +181,20 @@ _OFFERS = "select p_partkey, timestamp '1995-01-01' + to_days(cast(p_partkey * 3
 
 @query(f"select o_orderkey, count(p_partkey) offers, round(min(price), 2) cheapest from orders left join ({_OFFERS}) on o_orderdate >= since and o_orderdate < upto group by 1")
 def offers_at_order(s, d):
-    """How many products were on offer when an order came in, by an interval join in bins."""
+    """How many products were on offer when an order came in, by an interval join in bins.
+
+    Offers of one interval are added up first, and moments are joined once each: however
+    many products there are, at most 36 intervals of whole days hold a moment.
+    """
     day = lambda c: F.timestamp_add("DAY", c, F.expr("timestamp_ntz'1995-01-01'"))
     start = F.col("p_partkey") * 37 % 2400
     offers = table(s, d, "part").select("p_partkey", day(start).alias("since"), day(start + F.col("p_size") % 9).alias("upto"), F.col("p_retailprice").alias("price"))
+    spans = offers.groupBy("since", "upto").agg(F.count("p_partkey").alias("n"), F.min("price").alias("least"))
     orders = table(s, d, "orders").select("o_orderkey", "o_orderdate")
-    found = rg.interval_join(orders, offers, "o_orderdate", "since", "upto", how="left")
-    return found.groupBy("o_orderkey").agg(F.count("p_partkey").alias("offers"), _r(F.min("price")).alias("cheapest"))
+    moments = orders.select(F.col("o_orderdate").alias("moment")).where("moment is not null").distinct()
+    found = rg.interval_join(moments, spans, "moment", "since", "upto").groupBy("moment").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    each = orders.join(found, F.col("o_orderdate") == F.col("moment"), "left")
+    return each.groupBy("o_orderkey").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("offers"), _r(F.min("least")).alias("cheapest"))
 
 
 @query(f"select r_name, c_mktsegment, cast(grouping(r_name) as bigint) g_region, cast(grouping(c_mktsegment) as bigint) g_segment, count(*) orders from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by cube (r_name, c_mktsegment)")
