@@ -4,16 +4,18 @@ import datetime
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tests import parity
 from tillframe.functions import columns as fn
 from tillframe.operators import aggregates as ag
 from tillframe.operators import quality as dq
 from tillframe.operators import relational as rel
-from tillframe.plans import tools
+from tillframe.plans import registry, tools
 from tillframe.plans.cache import FileCache, file_state
 from tillframe.sources import files
 
@@ -85,6 +87,14 @@ def test_runs_of_days(spark):
             fn.runs(df, *bad).count()
 
 
+def test_order_runs_of_orders_without_a_date(spark, tmp_path):
+    day = "timestamp '2024-01-01' + to_days({})"
+    c = duckdb.connect()
+    c.execute(f"create table orders as select * from (values (1, {day.format(1)}), (1, null), (1, {day.format(70)}), (1, {day.format(20)}), (1, null), (2, null), (null, {day.format(3)}), (null, null), (3, {day.format(9)})) t(o_custkey, o_orderdate)")
+    c.execute(f"copy orders to '{tmp_path}/orders.parquet'")
+    parity.same(registry.QUERIES["order_runs"](spark, str(tmp_path)), registry.ORACLE_SQL["order_runs"], c)
+
+
 def test_calendar_in_a_lateral_join(spark):
     d = datetime.date
     spans = spark.createDataFrame([(1, d(2024, 1, 5), d(2024, 1, 7)), (2, None, d(2024, 1, 1)), (3, d(2024, 1, 2), d(2024, 1, 1))], "id int, a date, b date")

@@ -72,7 +72,7 @@ class _Runs:
     """A table function over a table dealt out by key and sorted by date: its runs, of dates at most so many days apart."""
 
     @staticmethod
-    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, day: AnalyzeArgument, gap: AnalyzeArgument) -> AnalyzeResult:
+    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, day: AnalyzeArgument, gap: AnalyzeArgument, undated: AnalyzeArgument) -> AnalyzeResult:
         """The key keeps its name and type; a column that isn't there, or is no date, is an error before anything runs."""
         kinds = {f.name: f.dataType for f in rows.dataType.fields}
         for a in (key, day):
@@ -88,11 +88,11 @@ class _Runs:
     def __init__(self):
         self.key, self.run, self.first, self.last, self.n = None, 0, None, None, 0
 
-    def eval(self, row, key: str, day: str, gap: int):
+    def eval(self, row, key: str, day: str, gap: int, undated: bool):
         self.key, at = row[key], row[day]
-        if at is None:
+        if at is None and not undated:
             return
-        if self.n and (at - self.last).days > gap:
+        if self.n and (at is None or self.last is None or (at - self.last).days > gap):
             yield self._found()
             self.first, self.n = None, 0
         if not self.n:
@@ -108,11 +108,12 @@ class _Runs:
         return self.key, self.run, self.first, self.last, self.n
 
 
-def runs(df: DataFrame, key: str, day: str, gap: int) -> DataFrame:
+def runs(df: DataFrame, key: str, day: str, gap: int, undated: bool = False) -> DataFrame:
     """(key, run, first_day, last_day, n): runs of a key's dates, each at most gap days after the one before.
 
     A key's rows stream through one task in order of date, which holds a few numbers;
-    rows without a date count for nothing, those without a key are a key.
+    rows without a date count for nothing, or with undated are each a run, after the
+    others. Those without a key are a key.
     """
-    table = df.select(key, day).asTable().partitionBy(key).orderBy(day)
-    return F.udtf(_Runs)(table, F.lit(key), F.lit(day), F.lit(gap))
+    table = df.select(key, day).asTable().partitionBy(key).orderBy(F.col(day).asc_nulls_last())
+    return F.udtf(_Runs)(table, F.lit(key), F.lit(day), F.lit(gap), F.lit(undated))

@@ -744,7 +744,7 @@ select o_custkey, cast(run as bigint) run, min(d) first_day, max(d) last_day, co
 def order_runs(s, d):
     """Runs of a customer's orders, each at most sixty days after the one before, from a table function over the table, dealt out by customer."""
     orders = table(s, d, "orders").select("o_custkey", F.col("o_orderdate").cast("date").alias("day"))
-    return fn.runs(orders, "o_custkey", "day", 60)
+    return fn.runs(orders, "o_custkey", "day", 60, undated=True)
 
 
 # ------------------------------------------------------------- layouts, sketches, models, variants, caches
