@@ -1,7 +1,9 @@
 """Windows and joins along one long order, against Spark's own windows and plain loops, at several numbers of ranges."""
 
 import datetime
+import math
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -70,6 +72,29 @@ def test_rolling_spans_equal_windows(spark, parts, keys):
     assert rows(ranges.rolling_span(df, "t", 150, outputs, keys)) == rows(df.select("*", *(c.over(w).alias(k) for k, c in outputs.items())))
 
 
+@pytest.mark.parametrize("keys,span", [((), 150), (("k",), 150), (("k",), 1), (("k",), 5000)])
+def test_rolling_moments_equal_windows(spark, parts, keys, span):
+    df = series(spark).withColumn("t", F.when(F.col("id") % 50 != 0, F.col("t") - 1000))
+    w = Window.partitionBy(*keys).orderBy("t").rangeBetween(-span, 0)
+    outputs = {"n": F.count(F.lit(1)), "total": F.sum("v"), "sd": F.stddev_samp("v")}
+    assert rows(ranges.rolling_moments(df, "t", span, "v", keys)) == rows(df.select("*", *(c.over(w).alias(k) for k, c in outputs.items())))
+
+
+def test_rolling_moments_beside_a_huge_value(spark):
+    df = spark.createDataFrame([(i, 1e300 if i == 4 else float("nan") if i == 50 else 1.0 + i % 2) for i in range(100)], "t long, v double")
+    got = {r.t: (r.n, r.total, round(r.sd, 6)) for r in ranges.rolling_moments(df, "t", 3, "v").where("t between 8 and 40 or t > 53").collect()}
+    assert len(got) == 79 and set(got.values()) == {(4, 6.0, round(math.sqrt(1 / 3), 6))}
+    assert ranges.rolling_moments(df.where("false"), "t", 3, "v").count() == 0
+    for bad in (("v", 3, "t"), ("t", 0, "v")):
+        with pytest.raises(ValueError):
+            ranges.rolling_moments(df, *bad)
+
+
+def test_rolling_hours_go_through_no_frame_anew(spark):
+    plan = tools.plan_text(registry.QUERIES["rolling_hours_by_type"](spark, SF))
+    assert "RangeFrame, unboundedpreceding$(), currentrow$()" in plan and not re.search(r"RangeFrame, -\d", plan)
+
+
 def test_rolling_spans_of_times(spark):
     day = datetime.datetime(2024, 3, 1)
     df = spark.createDataFrame([(i, day + datetime.timedelta(minutes=7 * i)) for i in range(100)], "id long, ts timestamp")

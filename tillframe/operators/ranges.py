@@ -91,12 +91,8 @@ def rolling_rows(df: DataFrame, order: list[str], n: int, outputs: Mapping[str,
     return found.where("_own").drop("_own")
 
 
-def rolling_span(df: DataFrame, ts: str, span: int, outputs: Mapping[str, Column], keys: tuple[str, ...] = ()) -> DataFrame:
-    """df with aggregates over the rows up to span before each (microseconds, for a time), it and its peers included, by keys if given.
-
-    A range gets the rows of the span before it once more; rows of one key and time lie
-    in one range, as each other's peers. Rows without a time have each other as peers.
-    """
+def _in_ranges_with_halo(df: DataFrame, ts: str, span: int, keys: tuple[str, ...]) -> DataFrame:
+    """df by ranges along (keys, _t), each with the rows of the span before it once more."""
     parts = ranged(df.withColumn("_t", position(ts, df.schema[ts].dataType)), [*keys, "_t"])
     row = F.struct(F.struct(*keys, F.lit(0).alias("_")).alias("key"), F.col("_t").alias("t"))
     edges = {r[RANGE]: (r.first, r.last) for r in parts.groupBy(RANGE).agg(F.min_by(row, PLACE).alias("first"), F.max_by(row, PLACE).alias("last")).collect()}
@@ -113,12 +109,58 @@ def rolling_span(df: DataFrame, ts: str, span: int, outputs: Mapping[str, Column
     moves = df.sparkSession.createDataFrame(list(to.items()), T.StructType([T.StructField(RANGE, T.IntegerType()), T.StructField("_moves", T.ArrayType(move))]))
     rows = parts.join(F.broadcast(moves), RANGE)
     same = F.struct(*keys, F.lit(0).alias("_"))
-    both = _with_halo(rows, F.lit(0), F.transform(F.filter("_moves", lambda m: (F.col("_t") >= m["least"]) & m["key"].eqNullSafe(same)), lambda m: m["p"]))
+    return _with_halo(rows, F.lit(0), F.transform(F.filter("_moves", lambda m: (F.col("_t") >= m["least"]) & m["key"].eqNullSafe(same)), lambda m: m["p"]))
+
+
+def rolling_span(df: DataFrame, ts: str, span: int, outputs: Mapping[str, Column], keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with aggregates over the rows up to span before each (microseconds, for a time), it and its peers included, by keys if given.
+
+    A range gets the rows of the span before it once more; rows of one key and time lie
+    in one range, as each other's peers. Rows without a time have each other as peers.
+    Spark goes through a frame anew for each row: where frames grow with the table, take
+    rolling_moments() for counts, sums and deviations.
+    """
+    both = _in_ranges_with_halo(df, ts, span, keys)
     w = Window.partitionBy(RANGE, *keys).orderBy("_t").rangeBetween(-span, 0)
     found = both.select(*(F.col(f"`{c}`") for c in df.columns), "_own", *(c.over(w).alias(k) for k, c in outputs.items()))
     return found.where("_own").drop("_own")
 
 
+def rolling_moments(df: DataFrame, ts: str, span: int, value: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with n (rows), total (of value) and sd (of the sample) over the rows that rolling_span() takes, at a cost that doesn't grow with their number.
+
+    Time is cut into blocks as long as the span. The frame of a row is what its block has
+    up to it, and what the block before has from the frame's start on: two totals that run
+    once through a block, forwards and backwards, and are put together without any
+    subtraction of sums. Times and whole numbers only.
+    """
+    if span < 1:
+        raise ValueError(f"a span is at least 1: {span}")
+    if isinstance(df.schema[ts].dataType, (T.FractionalType, T.DecimalType)):
+        raise ValueError(f"{ts} is neither a time nor a whole number: {df.schema[ts].dataType.simpleString()}")
+    both = _in_ranges_with_halo(df, ts, span, keys)
+    sums = {"n": F.count(F.lit(1)), "k": F.count(f"`{value}`"), "s": F.sum(f"`{value}`"), "m": F.avg(f"`{value}`"), "v": F.var_pop(f"`{value}`")}
+    up_to = Window.partitionBy(RANGE, *keys, "_block").orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_block", F.col("_t") - F.pmod("_t", F.lit(span)))
+    rows = rows.withColumn("_a", F.struct(*(c.over(up_to).alias(k) for k, c in sums.items())))
+    # each own row looks from the start of its frame into the block before, and brings its columns along
+    own = F.struct(*(F.col(f"`{c}`") for c in df.columns), F.col("_a"), F.col("_t"))
+    data = F.struct(F.col("_block").alias("b"), F.col("_t").alias("t"), F.col(f"`{value}`").alias("x"), F.lit(1).alias("real"), F.lit(None).cast(rows.select(own.alias("own")).schema["own"].dataType).alias("own"))
+    look = F.struct((F.col("_block") - span).alias("b"), (F.col("_t") - span).alias("t"), F.lit(None).cast(df.schema[value].dataType).alias("x"), F.lit(None).cast("int").alias("real"), own.alias("own"))
+    rows = rows.select(RANGE, *(F.col(f"`{k}`") for k in keys), F.explode(F.when(F.col("_own"), F.array(data, look)).otherwise(F.array(data))).alias("_l"))
+    x, down = F.col("_l.x"), Window.partitionBy(RANGE, *keys, "_l.b").orderBy(F.desc("_l.t")).rangeBetween(Window.unboundedPreceding, 0)
+    sums = {"n": F.count("_l.real"), "k": F.count(x), "s": F.sum(x), "m": F.avg(x), "v": F.var_pop(x)}
+    rows = rows.select("_l.own", F.struct(*(c.over(down).alias(k) for k, c in sums.items())).alias("_b")).where("own is not null")
+    a, b = F.col("own._a"), F.col("_b")
+    timed = F.col("own._t").isNotNull()  # rows without a time are each other's peers, and look nowhere
+    k = a["k"] + F.when(timed, b["k"]).otherwise(0)
+    square = a["v"] * a["k"] + b["v"] * b["k"] + (a["m"] - b["m"]) * (a["m"] - b["m"]) * a["k"] * b["k"] / k
+    square = F.when(~timed | (b["k"] == 0), a["v"] * a["k"]).when(a["k"] == 0, b["v"] * b["k"]).otherwise(square)
+    total = F.when(~timed | (b["k"] == 0), a["s"]).when(a["k"] == 0, b["s"]).otherwise(a["s"] + b["s"])
+    n = a["n"] + F.when(timed, b["n"]).otherwise(0)
+    return rows.select(*(F.col("own")[c].alias(c) for c in df.columns), n.alias("n"), total.alias("total"), F.when(k > 1, F.sqrt(square / (k - 1))).alias("sd"))
+
+
 def running(df: DataFrame, order: list[str | Column], value: Column | None = None, name: str = "running") -> DataFrame:
     """df with the running sum of value (the row number, if none) in a total order, and <name>_total.
 

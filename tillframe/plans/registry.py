@@ -429,7 +429,7 @@ def rolling_50_events(s, d):
 def rolling_hours_by_type(s, d):
     """Events of a type in the six hours up to each (W2, W3); a type is as many tasks as it has ranges."""
     e = table(s, d, "events").select("event_id", "event_type", "ts", "value")
-    out = rg.rolling_span(e, "ts", 6 * 3_600_000_000, {"n": F.count(F.lit(1)), "total": F.sum("value"), "sd": F.stddev_samp("value")}, ("event_type",))
+    out = rg.rolling_moments(e, "ts", 6 * 3_600_000_000, "value", ("event_type",))
     return out.select("event_id", "n", _r("total", 4).alias("total"), _r("sd", 4).alias("sd"))
 
 
