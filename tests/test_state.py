@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tillframe.streaming import live, state
@@ -66,6 +67,33 @@ def test_salted_totals_and_the_sessions_provider(spark, tmp_path):
     assert spark.conf.get(key, None) == before
 
 
+class Kept:
+    """A state of one key that counts the calls it gets, as each goes from the worker to the executor and back."""
+
+    def __init__(self):
+        self.value, self.map, self.list, self.calls = None, {}, [], []
+
+    def __getattr__(self, name):
+        return lambda *a: self.calls.append(name) or {"get": lambda: self.list or self.value, "update": lambda v: setattr(self, "value", v), "put": lambda v: setattr(self, "list", v),
+            "iterator": lambda: iter(self.map.items()), "updateValue": self.map.__setitem__, "registerTimer": lambda t: None, "deleteTimer": lambda t: None}[name](*a)
+
+
+def test_a_key_reads_what_is_kept_once():
+    activity = state.Activity(1, 1000)
+    activity.handle, activity.totals, activity.kinds, activity.recent = (Kept() for _ in range(4))
+    activity.recent.get = lambda: activity.recent.calls.append("get") or iter(activity.recent.list)
+    row = Row("us", "amount", "kind")
+    states = (activity.totals, activity.kinds, activity.recent, activity.handle)
+    (first,) = activity.handleInputRows(("a",), iter([row(5000, 1.0, "x"), row(1000, None, "y"), row(None, 9.0, "x"), row(3000, 2.0, "x"), row(2000, 4.0, None)]), None)
+    assert (first.n, first.total, first.last_us, first.kinds, first.recent) == (4, 7.0, 5000, {"x": 2, "y": 1}, [4.0, 2.0, 1.0])
+    assert [x.calls for x in states] == [["get", "update"], ["updateValue"] * 2, ["put"], ["registerTimer"]]
+    for x in states:
+        x.calls.clear()
+    (then,) = activity.handleInputRows(("a",), iter([row(4000, 8.0, "y")]), None)
+    assert (then.n, then.total, then.last_us, then.kinds, then.recent) == (5, 15.0, 5000, {"x": 2, "y": 2}, [2.0, 8.0, 1.0])
+    assert [x.calls for x in states] == [["get", "update"], ["iterator", "updateValue"], ["get", "put"], []]
+
+
 def test_follow_ups_come_once_and_late(spark, tmp_path):
     views, bought = "k string, ts timestamp, id long", "k string, bought timestamp, pid long"
     out, check = f"{tmp_path}/out", f"{tmp_path}/check"

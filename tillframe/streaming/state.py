@@ -7,9 +7,10 @@ restored from the checkpoint. Timers and watermarks are in event time.
 from __future__ import annotations
 
 import contextlib
+import math
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,7 +35,7 @@ class Activity(StatefulProcessor):
     """For each key: number, sum and time of the last row (a value), rows by kind (a map), the last amounts (a list), and a timer."""
 
     def __init__(self, keys: int, gap_ms: int | None):
-        self.keys, self.gap_ms = keys, gap_ms
+        self.row, self.gap_ms = Row(*(f"key{i}" for i in range(keys)), "what", "n", "total", "last_us", "kinds", "recent"), gap_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -42,43 +43,48 @@ class Activity(StatefulProcessor):
         self.kinds = handle.getMapState("kinds", "kind string", "n long")
         self.recent = handle.getListState("recent", "us long, amount double")
 
-    def _row(self, key: tuple, what: str, n: int, total: float, last_us: int):
-        import pandas as pd
+    def _row(self, key: tuple, what: str, n: int, total: float, last_us: int, kinds: dict, recent: list) -> Row:
+        return self.row(*key, what, n, total, last_us, kinds, [a for _, a in recent])
 
-        row = {f"key{i}": [k] for i, k in enumerate(key)}
-        kinds = {k[0]: v[0] for k, v in self.kinds.iterator()}
-        recent = [a for _, a in sorted(self.recent.get())]
-        return pd.DataFrame(row | {"what": [what], "n": [n], "total": [total], "last_us": [last_us], "kinds": [kinds], "recent": [recent]})
+    def _kept(self) -> tuple[dict, list]:
+        """The key's rows by kind, and its last amounts by time."""
+        return {k[0]: v[0] for k, v in self.kinds.iterator()}, sorted(self.recent.get())
 
     def handleInputRows(self, key, rows, timerValues):
-        n, total, last_us, timer_ms = self.totals.get() if self.totals.exists() else (0, 0.0, None, None)
-        recent, kinds = list(self.recent.get()), {}
-        for frame in rows:
-            frame = frame[frame["us"].notna()]
-            n, total = n + len(frame), total + float(frame["amount"].sum())
-            if len(frame):
-                last_us = max(int(frame["us"].max()), last_us if last_us is not None else int(frame["us"].min()))
-                newest = frame.nlargest(RECENT, "us")
-                recent = sorted([*recent, *zip(newest["us"].astype(int).tolist(), newest["amount"].astype(float).tolist(), strict=True)])[-RECENT:]
-            for kind, count in frame["kind"].value_counts().items():
-                kinds[kind] = kinds.get(kind, 0) + int(count)
-        for kind, count in kinds.items():
-            before = self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0
-            self.kinds.updateValue((kind,), (before + count,))
+        # each call of a state goes to the executor and back: what is kept is read once, and only by a key that has some
+        known = self.totals.get()
+        n, total, last_us, timer_ms = known or (0, 0.0, None, None)
+        kinds, recent = self._kept() if known else ({}, [])
+        new = {}
+        for row in rows:
+            if row.us is None:
+                continue
+            valued = row.amount is not None and not math.isnan(row.amount)
+            n, total = n + 1, total + (row.amount if valued else 0.0)
+            last_us = row.us if last_us is None else max(last_us, row.us)
+            if len(recent) < RECENT or row.us >= recent[0][0]:
+                recent = sorted([*recent, (row.us, row.amount if valued else math.nan)])[-RECENT:]
+            if row.kind is not None:
+                new[row.kind] = new.get(row.kind, 0) + 1
+        for kind, count in new.items():
+            kinds[kind] = kinds.get(kind, 0) + count
+            self.kinds.updateValue((kind,), (kinds[kind],))
         if recent:
             self.recent.put(recent)
         if self.gap_ms is not None and last_us is not None:
-            if timer_ms is not None:
-                self.handle.deleteTimer(timer_ms)
-            timer_ms = last_us // 1000 + self.gap_ms
-            self.handle.registerTimer(timer_ms)
+            due = last_us // 1000 + self.gap_ms
+            if due != timer_ms:
+                if timer_ms is not None:
+                    self.handle.deleteTimer(timer_ms)
+                self.handle.registerTimer(due)
+            timer_ms = due
         self.totals.update((n, total, last_us, timer_ms))
-        yield self._row(key, "total", n, total, last_us)
+        yield self._row(key, "total", n, total, last_us, kinds, recent)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         n, total, last_us, _ = self.totals.get()
         self.totals.update((n, total, last_us, None))
-        yield self._row(key, "inactive", n, total, last_us)
+        yield self._row(key, "inactive", n, total, last_us, *self._kept())
 
     def close(self) -> None:
         pass
@@ -97,7 +103,7 @@ def activity(stream: DataFrame, keys: dict[str, Column], ts: str, amount: Column
     names = [f"k{i}" for i in range(len(keys))]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = ", ".join([*(f"key{i} {kinds[c]}" for i, c in enumerate(names)), "what string, n long, total double, last_us long, kinds map<string,long>, recent array<double>"])
-    found = rows.groupBy(*names).transformWithStateInPandas(Activity(len(keys), gap_ms), out, "Update", "None" if gap_ms is None else "EventTime")
+    found = rows.groupBy(*names).transformWithState(Activity(len(keys), gap_ms), out, "Update", "None" if gap_ms is None else "EventTime")
     return found.select(*(F.col(f"key{i}").alias(k) for i, k in enumerate(keys)), "what", "n", "total", "last_us", "kinds", "recent")
 
 
