@@ -727,6 +727,21 @@ def test_ngram_join_equals_brute_force(spark, empty, monkeypatch, tile, crowd, h
     assert ngram_join.join(empty).count() == 0
 
 
+def test_a_frequent_line_makes_no_family_of_short_texts(spark):
+    words = random.Random(5)
+    own = lambda n: " ".join("".join(words.choices("abcdefghij", k=6)) for _ in range(n))
+    lines = [own(9), own(9)]
+    rows = [(k, f"{lines[k % 2]}\n{own(8)}") for k in range(240)]
+    df = spark.createDataFrame([*rows, (240, rows[7][1])], "doc_id long, text string").repartition(3)
+    heavy = ngram_join.heavy_ngrams(df, "text")
+    sets = ngram_join.sets_of(df, "doc_id", "text", heavy)
+    nodes = sets.groupBy("fp").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "light", "last")))
+    # no two are similar, so few whole sets need to meet
+    families = common.components(ngram_join.candidate_links(df, "text", heavy, nodes), "a", "b").groupBy("component_id").count()
+    assert max((r["count"] for r in families.collect()), default=0) <= ngram_join.HEAVY
+    assert {(r.doc_id, r.component_id) for r in ngram_join.join(df).collect()} == {(k, k) for k in range(240)} | {(240, 7)}
+
+
 def test_ngram_join_of_repeated_rows(spark):
     df = spark.createDataFrame([(5, "a b c"), (5, "a b c"), (9, "A  b\tc"), (2, None), (None, "a b c")], "doc_id long, text string")
     assert sorted(map(tuple, ngram_join.join(df).collect())) == [(2, 0, 2), (5, 1, 5), (5, 1, 5), (9, 1, 5)]

@@ -4,8 +4,8 @@ Every text is a set of word n-grams, held as 64-bit hashes in one global order:
 the heavy ones (found in many texts) last. Two sets that reach the similarity share an
 n-gram among the first quarter of each, so:
 
-1. a pass counts how many sets each n-gram leads; the list of the heavy is bounded, and
-   serves the order alone;
+1. passes count how many sets each n-gram leads, until no more that lead are heavy; the
+   list of the heavy is bounded, and serves the order alone;
 2. a pass sends the leading n-grams to buckets, packed into one blob for each batch and
    bucket; a bucket counts the pairs that meet at an n-gram, or chains the sets where many
    meet, and pairs that share too few leading n-grams to be similar are left;
@@ -32,7 +32,9 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: Leading more sets than this, an n-gram is heavy; so many are known at most, the commonest
 #: first. The order they are put in changes the cost, never the result.
-HEAVY, MAX_HEAVY = 16, 400_000
+HEAVY, MAX_HEAVY = 16, 2_000_000
+#: The heavy are looked for so many times at most; a set leads with a quarter, so all of it has led after four.
+ROUNDS = 6
 #: Sets that meet at an n-gram are paired up to so many, and chained beyond.
 CROWD = 24
 SURE = 1 << 40
@@ -96,12 +98,18 @@ def sizes_and_prints(of: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.nd
     return size, fp.view(np.int64)
 
 
+def _among(heavy: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of h are among the sorted hashes."""
+    if not len(heavy):
+        return np.zeros(len(h), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
+
+
 def _ordered(of: np.ndarray, h: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same pairs with the heavy n-grams of each text last; heavy: sorted hashes."""
     if not len(heavy) or not len(h):
         return of, h, np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)
-    late = heavy[at] == h
+    late = _among(heavy, h)
     order = np.argsort(of << 1 | late, kind="stable")
     return of[order], h[order], late[order]
 
@@ -138,18 +146,29 @@ def sets_of(docs: DataFrame, key: str, text: str, heavy: np.ndarray) -> DataFram
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(common.batched(work), "id long, n long, fp long, light int, last long")
 
 
-def heavy_ngrams(docs: DataFrame, text: str) -> np.ndarray:
-    """Sorted hashes of the n-grams, at most MAX_HEAVY, that lead over HEAVY sets in the order by hash."""
+def _leading(of: np.ndarray, h: np.ndarray, size: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Which pairs are not heavy and lead their text once the heavy ones are last."""
+    light = ~_among(heavy, h)
+    before = np.cumsum(light) - light
+    first = np.r_[before, 0][np.minimum(np.cumsum(size) - size, len(h))]
+    return light & (before - first[of] < _leads(size)[of])
+
+
+def _crowded(docs: DataFrame, text: str, before: np.ndarray | None, heavy: np.ndarray, room: int) -> np.ndarray:
+    """Hashes of the n-grams, at most room, that lead over HEAVY sets with heavy last, counted where they didn't lead with before last."""
     n_buckets = common.shuffle_partitions(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((before, heavy))
 
     def send(batch: pa.RecordBatch):
+        before, heavy = shared.value
         parts = []
         for _, _, of, h, size, fp in _chunked(batch, 0):
-            first = np.cumsum(size) - size
             _, one = np.unique(fp, return_index=True)
             new = np.zeros(len(fp), bool)
             new[one] = True
-            keep = (np.arange(len(h)) - first[of] < _leads(size)[of]) & new[of]
+            keep = _leading(of, h, size, heavy) & new[of]
+            if before is not None:
+                keep &= ~_leading(of, h, size, before)
             parts.append(h[keep])
         h, n = np.unique(np.concatenate(parts), return_counts=True)
         bucket = (h % np.uint64(n_buckets)).astype(np.int32)
@@ -167,8 +186,26 @@ def heavy_ngrams(docs: DataFrame, text: str) -> np.ndarray:
         return pa.table({"h": u[n > HEAVY].view(np.int64), "n": n[n > HEAVY]})
 
     found = docs.select(text).mapInArrow(common.batched(send), "bucket int, h binary, n binary").groupBy("bucket").applyInArrow(count, "h long, n long")
-    top = found.orderBy(F.desc("n"), "h").limit(MAX_HEAVY).select("h").toPandas()
-    return np.sort(top["h"].to_numpy(np.int64).view(np.uint64))
+    found = common.written(found, "heavy")
+    top = found if found.count() <= room else found.orderBy(F.desc("n"), "h").limit(room)
+    hashes = top.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64)
+    common.discard(found)
+    return hashes
+
+
+def heavy_ngrams(docs: DataFrame, text: str) -> np.ndarray:
+    """Sorted hashes of the n-grams, at most MAX_HEAVY, that lead over HEAVY sets.
+
+    Once the heavy ones are last, others lead in their place, and of a line that many
+    texts have these are as heavy; so they are looked for again in the new order.
+    """
+    before, heavy = None, np.zeros(0, np.uint64)
+    for _ in range(ROUNDS):
+        new = _crowded(docs, text, before, heavy, MAX_HEAVY - len(heavy))
+        if not len(new):
+            break
+        before, heavy = heavy, np.union1d(heavy, new)
+    return heavy
 
 
 def candidate_links(docs: DataFrame, text: str, heavy: np.ndarray, nodes: DataFrame) -> DataFrame:
