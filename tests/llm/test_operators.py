@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -116,6 +117,28 @@ def test_rows_of_one_key_are_vectors_of_their_own(spark):
     assert got == Counter([(1, 1, 1, True), (1, 0, 1, True), (2, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False), (3, 1, 3, True), (4, 1, 3, False), (3, 0, 3, True), (4, 0, 4, True)])
 
 
+def test_embedding_join_writes_less_than_its_vectors(spark):
+    n, r = 4000, np.random.default_rng(2)
+    v = r.normal(size=(n, 64)).astype(np.float32)
+    v[1::100] = v[0::100] + np.float32(0.01) * r.normal(size=(n // 100, 64)).astype(np.float32)
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = held()
+    df = spark.createDataFrame([(k, x.tolist(), 1) for k, x in enumerate(v)], "vec_id long, embedding array<float>, label int").repartition(3)
+    assert sorted((x.vec_id, x.component_id) for x in embedding_join.join(df).where("n_links > 0").collect()) == [(k + j, k) for k in range(0, n, 100) for j in (0, 1)]
+    assert held() - before < v.nbytes
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 24, 25, 64, 300])
+def test_codes_of_similar_vectors_are_within_reach(size):
+    r = np.random.default_rng(size)
+    v, w = (embedding_join.units(r.normal(size=(3000, size))) for _ in "vw")
+    w = embedding_join.units(v + r.uniform(0, 0.21, (3000, 1)) * w)
+    similar = (v * w).sum(1) >= 0.98
+    x, y = (np.rint(embedding_join.STEPS * (z @ embedding_join.directions(size))) for z in (v, w))
+    assert similar.sum() > 500 and (np.sqrt(((x - y) ** 2).sum(1))[similar] <= embedding_join.reach_of(0.98, x.shape[1])).all()
+
+
 def test_embedding_join_of_nothing(spark):
     assert embedding_join.join(vectors(spark, [])).count() == 0
 
